@@ -54,3 +54,26 @@ def shuffle_key(seed, *cols) -> Column:
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str)
                                                 else c.cast("string") for c in cols])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def upper_median(df: DataFrame, keys, value: str, step: float, out: str) -> DataFrame:
+    """Element ``n div 2`` of each key's sorted values.
+
+    Values are counted per ``step`` first; only the step that holds the wanted
+    element is ranked row by row, so large keys are narrowed before any sort.
+    """
+    keys = list(keys)
+    stepped = df.select(*keys, value).withColumn("_step", F.floor(F.col(value) / F.lit(step)))
+    running = Window.partitionBy(*keys).orderBy("_step")
+    whole = Window.partitionBy(*keys)
+    found = (stepped.groupBy(*keys, "_step").agg(F.count("*").alias("_n"))
+             .withColumn("_upto", F.sum("_n").over(running))
+             .withColumn("_want", F.floor(F.sum("_n").over(whole) / 2))
+             .where((F.col("_want") >= F.col("_upto") - F.col("_n")) & (F.col("_want") < F.col("_upto")))
+             .withColumn("_at", F.col("_want") - F.col("_upto") + F.col("_n") + 1)
+             .select(*keys, "_step", "_at"))
+    inside = Window.partitionBy(*keys, "_step").orderBy(value)
+    return (stepped.join(found, [*keys, "_step"])
+            .withColumn("_rn", F.row_number().over(inside))
+            .where(F.col("_rn") == F.col("_at"))
+            .select(*keys, F.col(value).alias(out)))

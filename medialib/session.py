@@ -14,6 +14,9 @@ SETTINGS = {
 }
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on (UTC) and those that guard against skew."""
     for key, value in SETTINGS.items():
@@ -33,9 +36,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    local = tempfile.mkdtemp(prefix="medialib-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="medialib-")
+    return _LOCAL["dir"]
 
 
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
