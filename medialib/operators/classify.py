@@ -233,7 +233,7 @@ def acoustic_profile(windows: DataFrame, durations: DataFrame, key=("clip_id",))
         F.when(F.col("speech_ratio") < 0.12, "mostly music or ambience"),
         F.when(~talk & (F.col("speech_ratio") >= 0.12), "partly speaking"))
     pct = lambda c: F.floor(F.col(c) * 100 + 1e-9).cast("string")
-    return df.withColumn("tags", F.when("sampled", F.array_join(tags, ",")).otherwise("")) \
+    return df.withColumn("tags", F.when(F.col("sampled"), F.array_join(tags, ",")).otherwise("")) \
         .withColumn("summary", F.when(~F.col("sampled"), "audio not read").otherwise(F.concat(
             pct("speech_ratio"), F.lit("% speech, "),
             F.when(p > 0, F.concat(F.floor(p).cast("string"), F.lit(" Hz")))
@@ -277,7 +277,7 @@ def detection_gate(detections: DataFrame, key=("media_id",)) -> DataFrame:
     Ranking precedes the size test, so a small second box is not replaced by a third.
     """
     d = detections.withColumn("_area", F.col("w").cast("bigint") * F.col("h"))
-    two = top_k(d, key, [F.desc("_area"), F.asc("box_no")], 2, "size_rank", salt="box_no")
+    two = top_k(d, key, [F.desc("_area"), F.asc("box_no"), F.desc("w"), F.desc("sharpness")], 2, "size_rank", salt="box_no")
     return (two.where((F.col("w") >= 48) & (F.col("h") >= 48) & (F.col("sharpness") >= BLURRED_BELOW))
             .withColumn("quality", 0.6 * clamp01(F.col("_area") / (640.0 * 640.0))
                         + 0.4 * clamp01(F.col("sharpness") / 400.0)).drop("_area"))

@@ -2,6 +2,7 @@
 
 from medialib.plans import (  # noqa: F401
     catalog_queries,
+    classify_queries,
 )
 from medialib.plans.registry import QUERIES
 

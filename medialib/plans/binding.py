@@ -90,7 +90,7 @@ WHERE e.vec_id % 10 = 0
 """
 
 DETECTIONS = """
-SELECT l_orderkey AS media_id, l_linenumber AS box_no, CAST(l_quantity * 5 AS INT) AS w,
+SELECT l_orderkey AS media_id, l_linenumber AS box_no, CAST(floor(l_quantity * 5) AS INT) AS w,
   CAST(floor(l_extendedprice) AS BIGINT) % 300 AS h, CAST(l_discount * 200 AS DOUBLE) AS sharpness
 FROM {lineitem} WHERE l_orderkey % 4 = 0
 """

@@ -1,7 +1,7 @@
 """DuckDB statements that recompute each query from the source tables."""
 
-from oracles import catalog
+from oracles import catalog, classify
 
 ORACLES: dict[str, str] = {}
-for _module in (catalog,):
+for _module in (catalog, classify):
     ORACLES.update(_module.SQL)
