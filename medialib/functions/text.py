@@ -41,7 +41,7 @@ def blank_to_null(col) -> Column:
 def tag_list(col) -> Column:
     """Comma list to array: trimmed, empty entries dropped."""
     parts = F.split(F.coalesce(_c(col), F.lit("")), ",")
-    return F.filter(F.transform(parts, F.trim), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def word_tokens(col, pattern: str, min_len: int) -> Column:

@@ -134,4 +134,4 @@ def text_fingerprints(b):
 @query
 def detection_gate(b):
     return classify.detection_gate(b.detections()).select(
-        "media_id", *as_long("box_no", "size_rank"), r6("quality").alias("quality"))
+        "media_id", *as_long("box_no", "size_rank"), r6(F.col("quality") + 1e-9).alias("quality"))

@@ -125,7 +125,7 @@ SQL = {
         + ") / 56.0, 6)::DOUBLE AS sharpness FROM g",
     "text_fingerprints": with_views("SELECT id, phash FROM hashes", "hashes"),
     "detection_gate": with_views("""SELECT media_id, box_no, size_rank,
-      round(0.6 * least(1.0, w * h / 409600.0) + 0.4 * least(1.0, sharpness / 400.0), 6)::DOUBLE AS quality FROM (
+      round(0.6 * least(1.0, w * h / 409600.0) + 0.4 * least(1.0, sharpness / 400.0) + 1e-9, 6)::DOUBLE AS quality FROM (
         SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY w::BIGINT * h DESC, box_no, w DESC, sharpness DESC) AS size_rank FROM detections)
       WHERE size_rank <= 2 AND w >= 48 AND h >= 48 AND sharpness >= 8""", "detections"),
 }
