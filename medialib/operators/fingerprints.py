@@ -25,11 +25,14 @@ def simhash64(df: DataFrame, key: str, text: str, pattern: str, min_len: int) ->
         key,
         F.conv(F.substring("_m", 1, 8), 16, 10).cast("bigint").alias("_hi"),
         F.conv(F.substring("_m", 9, 8), 16, 10).cast("bigint").alias("_lo"))
-    votes = [F.sum(F.expr(f"(shiftright({'_hi' if b >= 32 else '_lo'}, {b % 32}) & 1L) * 2 - 1"))
-             .alias(f"_b{b}") for b in range(64)]
-    counted = halves.groupBy(key).agg(*votes)
-    bits = [F.when(F.col(f"_b{b}") > 0, F.lit(_bit(b)).cast("bigint"))
-            .otherwise(F.lit(0).cast("bigint")) for b in range(64)]
+    # One sum counts bit i of both halves, 32 bits of room each.
+    counts = [F.sum(F.expr(f"shiftleft(shiftright(_hi, {i}) & 1L, 32) + (shiftright(_lo, {i}) & 1L)"))
+              .alias(f"_c{i}") for i in range(32)]
+    counted = halves.groupBy(key).agg(F.count("*").alias("_n"), *counts)
+    half = F.col("_n") / 2
+    low = lambda i: F.col(f"_c{i}").bitwiseAND(F.lit(0xFFFFFFFF))
+    bits = [F.when((low(b) if b < 32 else F.shiftright(f"_c{b - 32}", 32)) > half,
+                   F.lit(_bit(b)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
     return counted.select(key, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("phash"))
 
 

@@ -3,6 +3,7 @@
 from medialib.plans import (  # noqa: F401
     catalog_queries,
     classify_queries,
+    dup_queries,
 )
 from medialib.plans.registry import QUERIES
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from medialib.functions.ranking import sliced_position
 from medialib.functions.text import UNICODE_BREAK
 from medialib.operators.fingerprints import simhash64
-from medialib.session import configure
+from medialib.session import configure, settle
 
 AS_OF = 1706659200  # 2024-01-31 00:00 UTC
 
@@ -130,6 +130,10 @@ class Binding:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{table}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """The test tables are single small files, one task each; use the cores there are."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism)
+
     def _sql(self, text: str, **extra) -> DataFrame:
         names = {t: f"parquet.`{self.dir}/{t}.parquet`" for t in TABLES}
         return self.spark.sql(text.format(**names, **extra))
@@ -139,9 +143,10 @@ class Binding:
         return self._sql(CLIPS_BASE)
 
     def fingerprints(self) -> DataFrame:
-        docs = self.raw("documents").select("doc_id", "text")
-        return simhash64(docs, "doc_id", "text", UNICODE_BREAK, 2).select(
-            F.col("doc_id").alias("id"), "phash")
+        """Stored fingerprints of the clips, written once like any other column of a library."""
+        docs = self.spread(self.raw("documents").select("doc_id", "text"))
+        return settle(simhash64(docs, "doc_id", "text", UNICODE_BREAK, 2).select(
+            F.col("doc_id").alias("id"), "phash"), "phash")
 
     def clips_hashed(self) -> DataFrame:
         return (self.clips().join(self.fingerprints(), "id", "left")

@@ -1,7 +1,7 @@
 """DuckDB statements that recompute each query from the source tables."""
 
-from oracles import catalog, classify
+from oracles import catalog, classify, dups
 
 ORACLES: dict[str, str] = {}
-for _module in (catalog, classify):
+for _module in (catalog, classify, dups):
     ORACLES.update(_module.SQL)

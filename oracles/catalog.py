@@ -75,8 +75,7 @@ SQL = {
       SELECT l.library_id, l.id::BIGINT AS id, coalesce(a.offer, l.name) AS name, l.suggested_name,
         l.verified OR a.offer IS NOT NULL AS verified
       FROM loc l LEFT JOIN adopts a ON a.library_id = l.library_id AND a.id = l.id
-      UNION ALL SELECT library_id, id, name, '', true FROM incoming WHERE library_id = 'de'""", "persons")
-    .replace(")\n\n      , incoming", "),\n      incoming"),
+      UNION ALL SELECT library_id, id, name, '', true FROM incoming WHERE library_id = 'de'""", "persons"),
     "snapshot_diff": _w("SELECT * FROM diff", ["clips", "listing_new"], _DIFF),
     "sweep_guard": _w("SELECT *, NOT (existing > 0 AND seen < existing // 2) AS sweep_ok FROM guard",
                       ["clips", "listing_new"], _DIFF),

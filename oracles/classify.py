@@ -53,7 +53,7 @@ SQL = {
           WHEN trim(folder_name) = '' THEN {title("replace(winner, '_', ' ')")}
           ELSE {title("replace(winner, '_', ' ')")} || ' • ' || folder_name END AS about,
         round(CASE WHEN n IS NOT NULL THEN 0.85 WHEN f IS NOT NULL THEN 0.7 ELSE coalesce(mapc, topc, 0.0) END, 6)::DOUBLE AS confidence
-      FROM t""", "photos", "label_rows").replace(")\n\n      , p AS", "),\n      p AS"),
+      FROM t""", "photos", "label_rows"),
     "label_merge": with_views(f"""
       , w AS (SELECT media_id, pos, replace(lower(label), ' ', '_') AS word FROM label_rows WHERE conf > 0.6),
       m AS (SELECT media_id, list(word ORDER BY pos) AS words FROM (SELECT media_id, word, min(pos) AS pos FROM w GROUP BY 1, 2) GROUP BY 1),
@@ -62,7 +62,7 @@ SQL = {
       SELECT library_id, id, cat AS category, CASE WHEN words IS NULL THEN tags ELSE array_to_string(({in_order('bothw')})[1:12], ',') END AS tags,
         CASE WHEN words IS NULL THEN about ELSE {title('cat')} || ' • ' || array_to_string(words[1:2], ', ') END AS about,
         CASE WHEN words IS NULL THEN 0.7 ELSE 0.85 END::DOUBLE AS confidence FROM j""", "clips", "label_rows")
-    .replace(")\n\n      , w AS", "),\n      w AS"),
+,
     "priority_scores": with_views(f"SELECT library_id, id, round({_PRIORITY}, 6) AS priority, {_OWES} AS pending FROM clips", "clips"),
     "needs_deeper": with_views(f"""SELECT library_id, id, CASE WHEN confidence >= 0.85 THEN false WHEN junk_score >= 0.8 THEN false
       WHEN watch_count > 0 THEN true WHEN ({AS_OF} - date_added_sec) // 86400 > 180 AND junk_score < 0.4 THEN true
@@ -77,8 +77,7 @@ SQL = {
     "queue_transcript": with_views(_FAVS + "\n" + f"""SELECT library_id, id, rank FROM (SELECT c.*, row_number() OVER (PARTITION BY c.library_id
       ORDER BY coalesce(a.attention, 0) DESC, {_PRIORITY} DESC, date_added_sec DESC, id) AS rank FROM clips c
       LEFT JOIN attention a ON a.library_id = c.library_id AND a.video_id = c.id
-      WHERE transcript IS NULL AND speech_ratio >= 0.1 AND duration_ms <= 120000) WHERE rank <= 8""", "clips", "watch_events")
-    .replace(")\n, fav AS", "),\nfav AS"),
+      WHERE transcript IS NULL AND speech_ratio >= 0.1 AND duration_ms <= 120000) WHERE rank <= 8""", "clips", "watch_events"),
     "queue_photo": with_views(_queue("brain_level < 1 AND junk_score < 0.9", "date_added_sec DESC, id", 40, "photos"), "photos"),
     "queue_counts": with_views(f"""SELECT library_id, perceptual, semantic, voice, voice_done, transcripts, photo FROM (
       SELECT library_id, count(*) FILTER (WHERE brain_level < 1) AS perceptual, count(*) FILTER (WHERE {_OWES}) AS semantic,
@@ -108,7 +107,7 @@ SQL = {
           WHEN sr < 0.12 THEN 'mostly music or ambience' ELSE 'partly speaking' END AS tags,
         CASE WHEN NOT sampled THEN 'audio not read' ELSE floor(sr * 100 + 1e-9)::BIGINT || '% speech, ' ||
           CASE WHEN p > 0 THEN floor(p)::BIGINT || ' Hz' ELSE 'no clear pitch' END || ', pitch range ' || floor(pr * 100 + 1e-9)::BIGINT || '%' END AS summary
-      FROM v""", "acoustic_windows", "clips").replace(")\n\n      , a AS", "),\n      a AS"),
+      FROM v""", "acoustic_windows", "clips"),
     "requeue_unclear": with_views("""SELECT library_id, id, CASE WHEN prosody_tags LIKE '%unclear%' OR prosody_tags LIKE '%flat delivery%'
       OR (speech_ratio > 0.35 AND speech_ratio < 0.55) THEN '' ELSE prosody_tags END AS prosody_tags FROM clips""", "clips"),
     "shape_transcripts": with_views(rf"""SELECT library_id, id, shaped AS line,

@@ -77,7 +77,8 @@ def with_views(body: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
-    return f"WITH {ctes}\n{body}"
+    joint = "" if body.lstrip().startswith(",") else "\n"
+    return f"WITH {ctes}{joint}{body.lstrip()}"
 
 
 def category_case(expr: str) -> str:
