@@ -1,7 +1,7 @@
 """DuckDB statements that recompute each query from the source tables."""
 
-from oracles import catalog, classify, dups
+from oracles import catalog, classify, dups, shelves
 
 ORACLES: dict[str, str] = {}
-for _module in (catalog, classify, dups):
+for _module in (catalog, classify, dups, shelves):
     ORACLES.update(_module.SQL)
