@@ -4,6 +4,7 @@ from medialib.plans import (  # noqa: F401
     catalog_queries,
     classify_queries,
     dup_queries,
+    feed_queries,
     shelf_queries,
 )
 from medialib.plans.registry import QUERIES

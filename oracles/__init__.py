@@ -1,7 +1,7 @@
 """DuckDB statements that recompute each query from the source tables."""
 
-from oracles import catalog, classify, dups, shelves
+from oracles import catalog, classify, dups, feed, shelves
 
 ORACLES: dict[str, str] = {}
-for _module in (catalog, classify, dups, shelves):
+for _module in (catalog, classify, dups, feed, shelves):
     ORACLES.update(_module.SQL)

@@ -51,7 +51,7 @@ VIEWS = {
                 "SELECT c.*, coalesce(h.phash, 0) AS phash FROM clips c LEFT JOIN hashes h USING (id)"),
     "engagement": (("watch_events",), """SELECT library_id, video_id, count(*) AS watch_count,
       sum(completion) AS completion_sum, count(*) FILTER (WHERE skipped) AS skip_count,
-      max(epoch_ms("at")) AS last_watched_ms FROM watch_events GROUP BY 1, 2"""),
+      max(epoch_us("at") // 1000) AS last_watched_ms FROM watch_events GROUP BY 1, 2"""),
     "clips_w": (("clips", "engagement"), """SELECT c.*, coalesce(e.watch_count, 0) AS watch_count,
       coalesce(e.completion_sum, 0.0) AS completion_sum, coalesce(e.skip_count, 0) AS skip_count,
       coalesce(e.completion_sum / e.watch_count, 0.0) AS avg_completion,
