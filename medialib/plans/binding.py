@@ -126,6 +126,7 @@ class Binding:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.dir = sf_dir.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{table}.parquet")
@@ -142,11 +143,11 @@ class Binding:
         """Clips without fingerprints: enough for every operator that never compares content."""
         return self._sql(CLIPS_BASE)
 
-    def fingerprints(self) -> DataFrame:
+    def _fingerprints(self) -> DataFrame:
         """Stored fingerprints of the clips, written once like any other column of a library."""
         docs = self.spread(self.raw("documents").select("doc_id", "text"))
-        return settle(simhash64(docs, "doc_id", "text", UNICODE_BREAK, 2).select(
-            F.col("doc_id").alias("id"), "phash"), "phash")
+        return simhash64(docs, "doc_id", "text", UNICODE_BREAK, 2).select(
+            F.col("doc_id").alias("id"), "phash")
 
     def clips_hashed(self) -> DataFrame:
         return (self.clips().join(self.fingerprints(), "id", "left")
@@ -172,7 +173,22 @@ class Binding:
                  .withColumn("i", (F.col("event_id") * 7919) % F.col("n")).drop("n"))
         return keyed.join(docs, ["lang", "i"])
 
+    def _store(self, name: str, make) -> DataFrame:
+        """Tables a library keeps on disk are written once per binding, then read."""
+        if name not in self._stored:
+            self._stored[name] = settle(make(), name)
+        return self._stored[name]
+
     def watch_events(self) -> DataFrame:
+        return self._store("watch_events", self._watch_events)
+
+    def dismissals(self) -> DataFrame:
+        return self._store("dismissals", self._dismissals)
+
+    def fingerprints(self) -> DataFrame:
+        return self._store("phash", self._fingerprints)
+
+    def _watch_events(self) -> DataFrame:
         events = self.raw("events").where(F.col("event_type").isin("view", "click"))
         share = F.col("value") / 100.0
         return self._event_clips(events).select(
@@ -182,7 +198,7 @@ class Binding:
             F.least(share, F.lit(1.0)).cast("double").alias("completion"),
             (share < 0.15).alias("skipped"), F.hour("ts").cast("int").alias("hour_of_day"))
 
-    def dismissals(self) -> DataFrame:
+    def _dismissals(self) -> DataFrame:
         events = self.raw("events").where(
             (F.col("event_type") == "error") & (F.col("event_id") % 20 == 0))
         return self._event_clips(events).select(
