@@ -165,7 +165,7 @@ def cosine(a, b) -> Column:
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / norm)))
 
 
-def _blocked(asking: DataFrame, stored: DataFrame, keys, block: int, kernel, schema: str) -> DataFrame:
+def blocked(asking: DataFrame, stored: DataFrame, keys, block: int, kernel, schema: str) -> DataFrame:
     """Run ``kernel`` on every (asking block, stored block) of a key.
 
     A key is cut into blocks of about ``block`` rows by id hash, so the largest
@@ -195,7 +195,7 @@ def _matrix(vecs: pd.Series):
             yield n, at, np.stack(vecs.to_numpy()[at])
 
 
-def _similarities(q: pd.DataFrame, s: pd.DataFrame) -> np.ndarray:
+def similarities(q: pd.DataFrame, s: pd.DataFrame) -> np.ndarray:
     """Clamped dot products of unit vectors; vectors of different length score 0."""
     out = np.zeros((len(q), len(s)))
     stored = {n: (at, m) for n, at, m in _matrix(s["unit"])}
@@ -212,14 +212,14 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 1024,
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         q, s = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
         lib = pdf["library_id"].iloc[0]
-        sims = _similarities(q, s)
+        sims = similarities(q, s)
         ids_q, ids_s = q["id"].to_numpy(), s["id"].to_numpy()
         hit = (sims > threshold) if strict else (sims >= threshold)
         i, j = np.nonzero(hit & (ids_q[:, None] < ids_s[None, :]))
         return pd.DataFrame({"library_id": lib, "a": ids_q[i], "b": ids_s[j], "sim": sims[i, j]})
 
     unit = vectors.select("library_id", "id", normalised("vec").alias("unit"))
-    return _blocked(unit, unit, ["library_id"], block, kernel,
+    return blocked(unit, unit, ["library_id"], block, kernel,
                     "library_id string, a bigint, b bigint, sim double")
 
 
@@ -236,7 +236,7 @@ def best_two_persons(asking: DataFrame, stored: DataFrame, block: int = 1024) ->
         none = pd.DataFrame({"library_id": [], "id": [], "person_id": [], "sim": []})
         if q.empty or s.empty:
             return none
-        sims = _similarities(q, s)
+        sims = similarities(q, s)
         persons, starts = np.unique(s["person_id"].to_numpy(), return_index=True)
         best = np.maximum.reduceat(sims, starts, axis=1)
         for row, deny in enumerate(q["deny"]):
@@ -253,7 +253,7 @@ def best_two_persons(asking: DataFrame, stored: DataFrame, block: int = 1024) ->
         asking = asking.withColumn("deny", F.lit(None).cast("array<int>"))
     a = asking.select("library_id", "id", normalised("vec").alias("unit"), "deny")
     s = stored.select("library_id", "id", normalised("vec").alias("unit"), "person_id")
-    per_block = _blocked(a, s, ["library_id"], block, kernel,
+    per_block = blocked(a, s, ["library_id"], block, kernel,
                          "library_id string, id bigint, person_id int, sim double")
     return per_block.groupBy("library_id", "id", "person_id").agg(F.max("sim").alias("sim"))
 
@@ -262,7 +262,7 @@ def person_links(vectors: DataFrame, above: float, block: int = 1024) -> DataFra
     """``(library_id, a, b, sim)``: persons whose closest vectors exceed ``above``, a < b."""
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         q, s = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-        sims = _similarities(q, s)
+        sims = similarities(q, s)
         pq, ps = q["person_id"].to_numpy(), s["person_id"].to_numpy()
         i, j = np.nonzero((sims > above) & (pq[:, None] < ps[None, :]))
         out = pd.DataFrame({"a": pq[i], "b": ps[j], "sim": sims[i, j]})
@@ -272,7 +272,7 @@ def person_links(vectors: DataFrame, above: float, block: int = 1024) -> DataFra
 
     unit = vectors.where("person_id >= 0").select(
         "library_id", "id", normalised("vec").alias("unit"), "person_id")
-    parts = _blocked(unit, unit, ["library_id"], block, kernel,
+    parts = blocked(unit, unit, ["library_id"], block, kernel,
                      "library_id string, a int, b int, sim double")
     return parts.groupBy("library_id", "a", "b").agg(F.max("sim").alias("sim"))
 

@@ -5,6 +5,7 @@ from medialib.plans import (  # noqa: F401
     classify_queries,
     dup_queries,
     feed_queries,
+    identity_queries,
     search_queries,
     shelf_queries,
 )

@@ -1,7 +1,7 @@
 """DuckDB statements that recompute each query from the source tables."""
 
-from oracles import catalog, classify, dups, feed, search, shelves
+from oracles import catalog, classify, dups, feed, identity, search, shelves
 
 ORACLES: dict[str, str] = {}
-for _module in (catalog, classify, dups, feed, search, shelves):
+for _module in (catalog, classify, dups, feed, identity, search, shelves):
     ORACLES.update(_module.SQL)
