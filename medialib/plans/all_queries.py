@@ -6,6 +6,7 @@ from medialib.plans import (  # noqa: F401
     dup_queries,
     feed_queries,
     identity_queries,
+    neighbor_queries,
     search_queries,
     shelf_queries,
 )
