@@ -9,6 +9,7 @@ from medialib.plans import (  # noqa: F401
     neighbor_queries,
     search_queries,
     shelf_queries,
+    stream_queries,
 )
 from medialib.plans.registry import QUERIES
 

@@ -1,0 +1,45 @@
+"""State tables as numbered versions on shared storage.
+
+A stream writes version n from version n-1 and batch n. A batch that is retried
+after a failure reads the same n-1 and overwrites the same n, so nothing is ever
+counted twice.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class VersionedTable:
+    """A table kept as ``root/version=<n>`` folders; the schema is fixed."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def _folder(self, version: int) -> str:
+        return f"{self.root}/version={version}"
+
+    def latest(self, below: int | None = None) -> int | None:
+        """Newest complete version, optionally below a number."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return None
+        found = []
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+            if name.startswith("version=") and fs.exists(done):
+                found.append(int(name.split("=")[1]))
+        found = [v for v in found if below is None or v < below]
+        return max(found) if found else None
+
+    def read(self, below: int | None = None) -> DataFrame:
+        """The newest version (below a number), or an empty table."""
+        version = self.latest(below)
+        if version is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._folder(version))
+
+    def write(self, df: DataFrame, version: int) -> None:
+        columns = [c.strip().split()[0] for c in self.schema.split(",")]
+        df.select(*columns).write.mode("overwrite").parquet(self._folder(version))
