@@ -60,7 +60,7 @@ def photo_junk(folder="folder_name", name="display_name") -> Column:
     """Clutter price of a photo: clip price, record words, and screen-shaped pixels."""
     w, h = F.col("width"), F.col("height")
     long, short = F.greatest(w, h), F.least(w, h)
-    ratio = long / short
+    ratio = F.try_divide(long, short)
     shaped = (w > 0) & (h > 0) & ~starts_with_any(F.lower(F.col(name)), words.PHOTO_CAMERA_PREFIXES)
     listed = (short.isin(words.SCREEN_SHORT) & long.isin(words.SCREEN_LONG) & ratio.between(1.6, 2.5))
     tall = ratio.between(1.9, 2.45) & short.between(600, 1600)
@@ -216,7 +216,7 @@ def acoustic_profile(windows: DataFrame, durations: DataFrame, key=("clip_id",))
         zero(clamp01(F.col("speech") / F.col("windows"))).alias("speech_ratio"),
         zero(F.coalesce("pitch_hz", F.lit(0.0))).alias("pitch_hz"),
         zero(F.when((F.col("_np") >= 4) & (F.col("pitch_hz") > 0),
-                    clamp01(F.col("_sd") / F.col("pitch_hz"))).otherwise(0.0)).alias("pitch_range"),
+                    clamp01(F.try_divide("_sd", "pitch_hz"))).otherwise(0.0)).alias("pitch_range"),
         zero(F.when(F.col("windows") > 2, clamp01((F.col("_hi") - F.col("_lo")) / 40.0))
              .otherwise(0.0)).alias("energy_range"),
         zero(F.least(F.lit(12.0), F.coalesce("_peaks", F.lit(0)) / seconds)).alias("peaks_per_sec"))

@@ -25,7 +25,7 @@ def _profiles(clips: DataFrame) -> DataFrame:
 
 def similar_length(a: Column, b: Column) -> Column:
     """a : b within .75 to 1.34, or either unknown. Not symmetric: 1.334 passes one way only."""
-    return (a <= 0) | (b <= 0) | (a / b).between(RATIO_LOW, RATIO_HIGH)
+    return (a <= 0) | (b <= 0) | F.try_divide(a, b).between(RATIO_LOW, RATIO_HIGH)
 
 
 def duplicate_pairs(clips: DataFrame) -> DataFrame:

@@ -229,7 +229,7 @@ def match_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataF
     words = queries.select("query_id", word_tokens("text", ASCII_BREAK, 2).alias("_w"))
     j = pairs.join(words, "query_id").join(docs, ITEM)
     hits = F.size(F.filter("_w", lambda w: F.contains(F.col("text"), w)))
-    return j.withColumn("score", F.when(F.size("_w") == 0, 0.0).otherwise(hits / F.size("_w"))) \
+    return j.withColumn("score", F.when(F.size("_w") == 0, 0.0).otherwise(F.try_divide(hits, F.size("_w")))) \
         .drop("_w", "text")
 
 

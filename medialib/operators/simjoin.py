@@ -152,7 +152,7 @@ def normalised(vec) -> Column:
     """Unit vector; a zero or empty vector becomes an empty array and matches nothing."""
     v = F.col(vec) if isinstance(vec, str) else vec
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm >= 1e-9, F.transform(v, lambda x: x / norm)).otherwise(F.array().cast("array<double>"))
+    return F.when(norm >= 1e-9, F.transform(v, lambda x: F.try_divide(x, norm))).otherwise(F.array().cast("array<double>"))
 
 
 def cosine(a, b) -> Column:
@@ -162,7 +162,7 @@ def cosine(a, b) -> Column:
     size = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v * v)
     norm = F.sqrt(size(x) * size(y))
     return F.when((F.size(x) != F.size(y)) | (norm < 1e-9), 0.0).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / norm)))
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot, norm))))
 
 
 def blocked(asking: DataFrame, stored: DataFrame, keys, block: int, kernel, schema: str) -> DataFrame:

@@ -25,7 +25,7 @@ def with_engagement(clips: DataFrame, counters: DataFrame) -> DataFrame:
         0, ["watch_count", "completion_sum", "skip_count", "last_watched_ms"])
     return joined.withColumns({
         "avg_completion": F.when(F.col("watch_count") == 0, 0.0)
-        .otherwise(F.col("completion_sum") / F.col("watch_count")),
+        .otherwise(F.try_divide("completion_sum", "watch_count")),
         "effective_group": effective_group(),
         "prosody_known": F.trim("prosody_tags") != ""})
 
