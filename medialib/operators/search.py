@@ -256,6 +256,12 @@ def search_ranked(prefix: DataFrame, net: DataFrame, queries: DataFrame, docs: D
         .select("query_id", "library_id", "kind", "id", "score", "tie", "rank")
 
 
+def tie_breaks(clips: DataFrame, photos: DataFrame) -> DataFrame:
+    """``(library_id, kind, id, tie)``: watch count of clips, date of photos."""
+    return clips.select(*_item("clip"), F.col("watch_count").cast("bigint").alias("tie")).unionByName(
+        photos.select(*_item("photo"), F.col("date_added_sec").alias("tie")))
+
+
 def lens(hits: DataFrame, as_of: int, voice: str = "all", days: int | None = None,
          category: str | None = None, folder: str | None = None) -> DataFrame:
     """Narrow results: ``voice`` is all, people, favorites or talking; expects item columns."""

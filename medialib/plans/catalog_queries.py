@@ -1,11 +1,14 @@
 """Catalogue, reconciliation and maintenance queries over the test tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from medialib.operators import reconcile
 from medialib.plans.binding import Binding
 from medialib.plans.registry import as_long, query, r6
-from medialib.sources import bundle, catalog
+from medialib.session import scratch_dir
+from medialib.sources import bundle, catalog, evolve, schemas
 
 
 def raw_listing(b: Binding):
@@ -143,3 +146,33 @@ def threshold_preview(b):
     return reconcile.threshold_preview(b.clips(), [(0.3, 2), (0.5, 10), (0.8, 20)]).select(
         "library_id", "junk_threshold", *as_long(
             "min_clips", "memories", "clutter", "people", "unplaced", "semantic_owed"))
+
+
+@query
+def bundle_export(b):
+    """Rows per section of a bundle written out and read back."""
+    path = f"{scratch_dir(b.spark)}/bundle-{uuid.uuid4().hex}"
+    names = b.persons().select("library_id", F.concat(F.lit("person_"), F.col("id").cast("string")).alias("group_id"),
+                               F.lit("Mine").alias("name"), F.lit(1).cast("bigint").alias("updated_at"))
+    bundle.export_bundle(path, b.persons(), b.watch_events(), b.clips(), b.dismissals(), names, b.denials())
+    return bundle.import_report(bundle.read_bundle(b.spark, path)).select("section", *as_long("rows"))
+
+
+@query
+def bundle_import_denials(b):
+    """Denials of the bundle count only for 'de', which has no persons of its own yet."""
+    local = b.persons().where("library_id <> 'de'")
+    mine = b.denials().where("library_id <> 'de' AND person_id < 5")
+    return bundle.import_denials(local, mine, b.denials()).select("library_id", "video_id", *as_long("person_id"))
+
+
+@query
+def schema_evolution(b):
+    """Clips written before voice and album columns existed, read together with newer ones."""
+    base = f"{scratch_dir(b.spark)}/versions-{uuid.uuid4().hex}"
+    clips = b.clips()
+    clips.where("id % 2 = 0").drop("prosody_tags", "speech_ratio", "album_id").write.parquet(f"{base}/v1")
+    clips.where("id % 2 = 1").write.parquet(f"{base}/v2")
+    both = evolve.read_versions(b.spark, f"{base}/v1", f"{base}/v2", defaults=schemas.CLIP_DEFAULTS)
+    return both.select("library_id", "id", "prosody_tags", r6("speech_ratio").alias("speech_ratio"),
+                       *as_long("album_id", "phash"), "category")

@@ -109,10 +109,8 @@ def _ranked(b):
     index = settle(search.postings(_documents(b)), "postings")
     prefix = search.prefix_candidates(search.query_terms(queries), index)
     net = search.substring_candidates(queries, clips, photos)
-    ties = clips.select(*search._item("clip"), F.col("watch_count").alias("tie")).unionByName(
-        photos.select(*search._item("photo"), F.col("date_added_sec").alias("tie")))
     return search.search_ranked(settle(prefix, "prefix"), settle(net, "net"), queries,
-                                search.memory_docs(clips, photos), ties)
+                                search.memory_docs(clips, photos), search.tie_breaks(clips, photos))
 
 
 @query

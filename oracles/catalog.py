@@ -135,4 +135,13 @@ SQL = {
       count(*) FILTER (WHERE face_count > 0 AND person_id < 0) AS unplaced,
       count(*) FILTER (WHERE category = 'unknown' OR confidence < 0.6 OR brain_level < 2) AS semantic_owed
       FROM clips, (VALUES (0.3::DOUBLE, 2::BIGINT), (0.5, 10), (0.8, 20)) t(jt, mc) GROUP BY 1, 2, 3""", "clips"),
+    "bundle_export": with_views("""SELECT 'persons' AS section, count(*) AS rows FROM persons UNION ALL SELECT 'watch_events', count(*) FROM watch_events
+      UNION ALL SELECT 'favorites', count(*) FROM clips WHERE is_favorite UNION ALL SELECT 'dismissals', count(*) FROM dismissals
+      UNION ALL SELECT 'group_names', count(*) FROM persons UNION ALL SELECT 'denials', count(*) FROM denials""",
+                                "persons", "watch_events", "clips", "dismissals", "denials"),
+    "bundle_import_denials": with_views("""SELECT DISTINCT library_id, video_id, person_id::BIGINT AS person_id FROM denials
+      WHERE library_id = 'de' OR person_id < 5""", "denials"),
+    "schema_evolution": with_views("""SELECT library_id, id, CASE WHEN id % 2 = 0 THEN '' ELSE prosody_tags END AS prosody_tags,
+      round(CASE WHEN id % 2 = 0 THEN 0.0 ELSE speech_ratio END, 6)::DOUBLE AS speech_ratio,
+      CASE WHEN id % 2 = 0 THEN -1 ELSE album_id END::BIGINT AS album_id, 0::BIGINT AS phash, category FROM clips""", "clips"),
 }
