@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 # Above this k, ranking goes through salted sub-groups first. At or below it
 # Spark's own group-limit operator already trims every map task to k rows.
-DIRECT_LIMIT = 100
+DIRECT_LIMIT = 600
 
 
 def top_k(df: DataFrame, keys, order, k: int, rank_col: str = "rank",

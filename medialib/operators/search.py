@@ -172,8 +172,10 @@ def substring_candidates(queries: DataFrame, clips: DataFrame, photos: DataFrame
         photos.select(*_item("photo"), "date_added_sec", F.lit(0).cast("bigint").alias("watch_count"),
                       _haystack(["display_name", "tags", "category", "folder_name"]).alias("hay")))
     wanted = asked.select("library_id", "gram").distinct()
-    both = F.concat(_grams(F.col("hay"), 2), _grams(F.col("hay"), 3))
-    held = hay.select(*ITEM, F.explode(both).alias("gram")).join(wanted, ["library_id", "gram"], "left_semi")
+    # Two-letter pieces serve two-letter queries only; with none of those their branch is empty.
+    of = lambda n: hay.select(*ITEM, F.explode(_grams(F.col("hay"), n)).alias("gram")).join(
+        wanted.where(F.length("gram") == n), ["library_id", "gram"], "left_semi")
+    held = of(3).unionByName(of(2))
     spread = held.groupBy("library_id", "gram").agg(F.count("*").alias("_n"))
     # A piece no item has rules the query out; such queries drop here.
     rarest = (asked.join(spread, ["library_id", "gram"], "left").na.fill(0, ["_n"])

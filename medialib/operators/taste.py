@@ -98,6 +98,12 @@ def profiles(clips: DataFrame) -> DataFrame:
     return clips.withColumn("profile", F.concat_ws("\u0001", F.transform(taste_keys(), lambda k: k["key"])))
 
 
+def profile_ids(clips: DataFrame) -> DataFrame:
+    """``(library_id, profile, profile_id, _keys)``: each profile named by its lowest clip id."""
+    return profiles(clips).groupBy("library_id", "profile").agg(
+        F.min("id").alias("profile_id"), F.first(taste_keys()).alias("_keys"))
+
+
 def taste_affinity(viewers: DataFrame, clips: DataFrame, buckets: DataFrame) -> DataFrame:
     """Blend and strongest affinity per viewer and attribute profile of the viewer's library.
 
@@ -105,18 +111,17 @@ def taste_affinity(viewers: DataFrame, clips: DataFrame, buckets: DataFrame) ->
     one row, so the work follows distinct profiles rather than clips, and
     profiles a viewer has no evidence about are left out: they read neutral.
     """
-    distinct = profiles(clips).groupBy("library_id", "profile").agg(
-        F.first(taste_keys()).alias("_keys"))
-    keys = distinct.select("library_id", "profile",
+    distinct = profile_ids(clips)
+    keys = distinct.select("library_id", "profile", "profile_id",
                            F.aggregate("_keys", F.lit(0.0), lambda a, k: a + k["weight"]).alias("_all"),
                            F.size("_keys").alias("_n"), F.explode("_keys").alias("k")) \
-        .select("library_id", "profile", "_all", "_n", "k.key", "k.weight")
+        .select("library_id", "profile", "profile_id", "_all", "_n", "k.key", "k.weight")
     known = viewers.join(buckets, "viewer_id").select(
         "viewer_id", "library_id", "key", bucket_affinity(F.col("likes"), F.col("dislikes")).alias("a"))
-    hits = known.join(keys, ["library_id", "key"]).groupBy("viewer_id", "library_id", "profile").agg(
-        F.first("_all").alias("_all"), F.first("_n").alias("_n"), F.count("*").alias("_k"),
+    hits = known.join(keys, ["library_id", "key"]).groupBy("viewer_id", "library_id", "profile_id").agg(
+        F.first("profile").alias("profile"), F.first("_all").alias("_all"), F.first("_n").alias("_n"), F.count("*").alias("_k"),
         F.sum((F.col("a") - 0.5) * F.col("weight")).alias("_lift"), F.max("a").alias("_max"))
     return hits.select(
-        "viewer_id", "library_id", "profile", (0.5 + F.col("_lift") / F.col("_all")).alias("affinity"),
+        "viewer_id", "library_id", "profile", "profile_id", (0.5 + F.col("_lift") / F.col("_all")).alias("affinity"),
         F.when(F.col("_k") < F.col("_n"), F.greatest(F.col("_max"), F.lit(0.5))).otherwise(F.col("_max"))
         .alias("strongest"))

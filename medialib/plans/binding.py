@@ -141,7 +141,7 @@ class Binding:
 
     def clips(self) -> DataFrame:
         """Clips without fingerprints: enough for every operator that never compares content."""
-        return self._sql(CLIPS_BASE)
+        return self.spread(self._sql(CLIPS_BASE))
 
     def _fingerprints(self) -> DataFrame:
         """Stored fingerprints of the clips, written once like any other column of a library."""
@@ -205,13 +205,14 @@ class Binding:
             F.col("lang").alias("library_id"), F.col("doc_id").alias("video_id")).distinct()
 
     def vectors(self) -> DataFrame:
-        return self._sql(VECTORS).withColumn("vec", F.col("vec").cast("array<double>"))
+        return self._store("vectors", lambda: self._sql(VECTORS).withColumn(
+            "vec", F.col("vec").cast("array<double>")))
 
     def persons(self) -> DataFrame:
-        return self._sql(PERSONS)
+        return self._store("persons", lambda: self._sql(PERSONS))
 
     def denials(self) -> DataFrame:
-        return self._sql(DENIALS)
+        return self._store("denials", lambda: self._sql(DENIALS))
 
     def detections(self) -> DataFrame:
         return self._sql(DETECTIONS)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from medialib.operators import identity, shelves, simjoin
 from medialib.plans.registry import as_long, query, r6
-from medialib.session import settle
 
 
 def _decision(d):
@@ -14,7 +13,7 @@ def _decision(d):
 
 
 def _vectors(b):
-    return settle(b.vectors(), "vectors")
+    return b.vectors()
 
 
 @query
