@@ -2,10 +2,10 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialib.functions.ranking import top_k
+from medialib.functions.ranking import sliced_position, top_k
 from medialib.functions.text import blank, first_upper, strip_extension
 from medialib.operators.components import connected_components
 from medialib.operators.ontology import GENERIC_WORDS
@@ -72,11 +72,9 @@ def assign_or_create(fresh: DataFrame, stored: DataFrame, persons: DataFrame, de
         "cluster", F.when(F.col("cluster") < 0, F.col("id")).otherwise(F.col("cluster")))
     last = persons.groupBy("library_id").agg(F.max("id").alias("_last"))
     heads = c.select("library_id", "cluster").distinct()
-    # One row per new person; libraries gain few of them in one batch.
-    numbered = heads.withColumn("_n", F.row_number().over(
-        Window.partitionBy("library_id").orderBy("cluster")))
+    numbered = sliced_position(heads, ["library_id"], "cluster", 100_000, "_n")
     ids = numbered.join(last, "library_id", "left").select(
-        "library_id", "cluster", (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast("int").alias("person_id"))
+        "library_id", "cluster", (F.coalesce("_last", F.lit(-1)) + 1 + F.col("_n")).cast("int").alias("person_id"))
     made = c.join(ids, ["library_id", "cluster"]).select(
         "library_id", "id", "person_id", F.lit(True).alias("created"))
     return matched.unionByName(made)

@@ -164,9 +164,11 @@ def substring_candidates(queries: DataFrame, clips: DataFrame, photos: DataFrame
     meet items on their rarest piece in that library, and the text is compared
     after, so no query is held against a whole library. Expects ``watch_count``.
     """
-    q = queries.select("query_id", "library_id", F.lower("text").alias("_q")).where(F.length("_q") >= 2)
+    every = queries.select("query_id", "library_id", F.lower("text").alias("_q")).where(F.length("_q") >= 2)
+    # A text many people search for is looked up once.
+    q = every.select("library_id", "_q").distinct()
     pieces = F.when(F.length("_q") >= 3, _grams(F.col("_q"), 3)).otherwise(F.array("_q"))
-    asked = q.select("query_id", "library_id", "_q", F.explode(pieces).alias("gram"))
+    asked = q.select("library_id", "_q", F.explode(pieces).alias("gram"))
     hay = clips.select(*_item("clip"), "date_added_sec", "watch_count", _haystack(
         ["display_name", "tags", "category", "folder_name", "transcript"]).alias("hay")).unionByName(
         photos.select(*_item("photo"), "date_added_sec", F.lit(0).cast("bigint").alias("watch_count"),
@@ -179,14 +181,15 @@ def substring_candidates(queries: DataFrame, clips: DataFrame, photos: DataFrame
     spread = held.groupBy("library_id", "gram").agg(F.count("*").alias("_n"))
     # A piece no item has rules the query out; such queries drop here.
     rarest = (asked.join(spread, ["library_id", "gram"], "left").na.fill(0, ["_n"])
-              .groupBy("query_id", "library_id", "_q").agg(F.min(F.struct("_n", "gram")).alias("_b"))
-              .where("_b._n > 0").select("query_id", "library_id", "_q", F.col("_b.gram").alias("gram")))
+              .groupBy("library_id", "_q").agg(F.min(F.struct("_n", "gram")).alias("_b"))
+              .where("_b._n > 0").select("library_id", "_q", F.col("_b.gram").alias("gram")))
     hits = (rarest.join(held, ["library_id", "gram"]).join(hay, ITEM)
-            .where(F.contains(F.col("hay"), F.col("_q"))).drop("hay", "_q", "gram"))
+            .where(F.contains(F.col("hay"), F.col("_q"))).drop("hay", "gram"))
     order = [F.desc("watch_count"), F.desc("date_added_sec"), F.asc("id")]
-    nets = [top_k(hits.where(F.col("kind") == kind), ["query_id"], order, n)
+    nets = [top_k(hits.where(F.col("kind") == kind), ["library_id", "_q"], order, n)
             for kind, n in (("clip", CLIP_NET), ("photo", PHOTO_NET))]
-    return nets[0].unionByName(nets[1]).select("query_id", "library_id", "kind", "id", "rank")
+    return nets[0].unionByName(nets[1]).join(every, ["library_id", "_q"]).select(
+        "query_id", "library_id", "kind", "id", "rank")
 
 
 def _item(kind: str):

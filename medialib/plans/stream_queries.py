@@ -40,7 +40,7 @@ def stream_taste(b):
 def stream_counters(b):
     """Counters from event files arriving one by one, every event delivered twice."""
     events = b.watch_events()
-    table = VersionedTable(b.spark, _folder(b, "counters"), jobs.COUNTERS)
+    table = jobs.counters_table(b.spark, _folder(b, "counters"), compact_every=2)
     stream = jobs.once_each(jobs.event_stream(b.spark, _event_files(b, events.unionByName(events))), "60 days")
     _run(jobs.live_counters(stream, table, _folder(b, "cursor")))
     return table.read().select("library_id", "video_id", *as_long("watch_count", "skip_count", "last_watched_ms"),

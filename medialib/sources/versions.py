@@ -5,6 +5,8 @@ after a failure reads the same n-1 and overwrites the same n, so nothing is ever
 counted twice.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,21 +19,25 @@ class VersionedTable:
     def _folder(self, version: int) -> str:
         return f"{self.root}/version={version}"
 
-    def latest(self, below: int | None = None) -> int | None:
-        """Newest complete version, optionally below a number."""
+    def versions(self) -> list[int]:
+        """Complete versions, oldest first."""
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
-            return None
+            return []
         found = []
         for status in fs.listStatus(root):
             name = status.getPath().getName()
             done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
             if name.startswith("version=") and fs.exists(done):
                 found.append(int(name.split("=")[1]))
-        found = [v for v in found if below is None or v < below]
-        return max(found) if found else None
+        return sorted(found)
+
+    def latest(self, below: int | None = None) -> int | None:
+        """Newest complete version, optionally below a number."""
+        found = [v for v in self.versions() if below is None or v < below]
+        return found[-1] if found else None
 
     def read(self, below: int | None = None) -> DataFrame:
         """The newest version (below a number), or an empty table."""
@@ -43,3 +49,34 @@ class VersionedTable:
     def write(self, df: DataFrame, version: int) -> None:
         columns = [c.strip().split()[0] for c in self.schema.split(",")]
         df.select(*columns).write.mode("overwrite").parquet(self._folder(version))
+
+
+class MergedTable:
+    """A table kept as small increments that are summed up on reading.
+
+    Each batch writes only what it adds, so its cost follows the batch and not the
+    table; every ``compact_every`` batches the increments are folded into a full
+    version. ``merge`` must not care in which groups increments are combined.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str,
+                 merge: Callable[[DataFrame], DataFrame], compact_every: int = 50):
+        self.full = VersionedTable(spark, f"{root.rstrip('/')}/full", schema)
+        self.added = VersionedTable(spark, f"{root.rstrip('/')}/added", schema)
+        self.merge, self.compact_every = merge, compact_every
+
+    def _since(self, below: int | None) -> DataFrame:
+        base = self.full.latest(below)
+        rows = self.full.read(below)
+        for n in self.added.versions():
+            if (base is None or n > base) and (below is None or n < below):
+                rows = rows.unionByName(self.added.read(below=n + 1))
+        return rows
+
+    def read(self) -> DataFrame:
+        return self.merge(self._since(None))
+
+    def add(self, increment: DataFrame, version: int) -> None:
+        self.added.write(increment, version)
+        if version % self.compact_every == self.compact_every - 1:
+            self.full.write(self.merge(self._since(version).unionByName(self.added.read(below=version + 1))), version)

@@ -10,7 +10,7 @@ from medialib.operators import identity, taste
 from medialib.operators.reconcile import reconcile_clips
 from medialib.sources import schemas
 from medialib.sources.catalog import delta_rows
-from medialib.sources.versions import VersionedTable
+from medialib.sources.versions import MergedTable, VersionedTable
 
 TASTE = ("viewer_id BIGINT, key STRING, likes DOUBLE, dislikes DOUBLE, last_seen_ms BIGINT, "
          "learned_at_ms BIGINT")
@@ -58,20 +58,27 @@ def fold_taste(state: DataFrame, events: DataFrame, clips: DataFrame, now_ms: in
     return merged.join(who.select("viewer_id", F.col("_stamp").alias("learned_at_ms")), "viewer_id")
 
 
-def fold_counters(state: DataFrame, events: DataFrame) -> DataFrame:
-    """Next counters and attention; attention steps are capped against the running total."""
-    fresh = taste.engagement(events).withColumnRenamed("last_watched_ms", "_last")
+def counter_steps(events: DataFrame) -> DataFrame:
+    """What a batch of events adds to the counters and to attention."""
+    fresh = taste.engagement(events)
     seen = events.where(~F.col("skipped")).groupBy("library_id", "video_id").agg(
         (F.count("*") * taste.WATCH_STEP).alias("_steps"))
-    fresh = fresh.join(seen, ["library_id", "video_id"], "left").select(
-        "library_id", "video_id", "watch_count", "completion_sum", "skip_count",
-        F.col("_last").alias("last_watched_ms"), F.coalesce("_steps", F.lit(0.0)).alias("attention"))
-    return state.unionByName(fresh).groupBy("library_id", "video_id").agg(
+    return fresh.join(seen, ["library_id", "video_id"], "left").withColumn(
+        "attention", F.coalesce("_steps", F.lit(0.0))).drop("_steps")
+
+
+def sum_counters(rows: DataFrame) -> DataFrame:
+    """Counters from any number of partial ones. Steps only add, so capping sums is capping steps."""
+    return rows.groupBy("library_id", "video_id").agg(
         F.sum("watch_count").alias("watch_count"), F.sum("completion_sum").alias("completion_sum"),
         F.sum("skip_count").alias("skip_count"), F.max("last_watched_ms").alias("last_watched_ms"),
         F.least(F.lit(taste.ATTENTION_CAP), F.sum("attention")).alias("attention"))
 
 
+def counters_table(spark: SparkSession, root: str, compact_every: int = 50) -> MergedTable:
+    return MergedTable(spark, root, COUNTERS, sum_counters, compact_every)
+
+
 def _stateful(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
@@ -84,10 +91,10 @@ def learn_taste(events: DataFrame, clips: Callable[[], DataFrame], table: Versio
     return _stateful(events, checkpoint, step)
 
 
-def live_counters(events: DataFrame, table: VersionedTable, checkpoint: str) -> DataStreamWriter:
-    """Stream that keeps watch counters and attention current."""
+def live_counters(events: DataFrame, table: MergedTable, checkpoint: str) -> DataStreamWriter:
+    """Stream that keeps watch counters and attention current; a batch writes only its own steps."""
     def step(batch: DataFrame, n: int) -> None:
-        table.write(fold_counters(table.read(below=n), batch), n)
+        table.add(counter_steps(batch), n)
     return _stateful(events, checkpoint, step)
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+from medialib.session import settle
 from medialib.sources import schemas
 from medialib.sources.versions import VersionedTable
 from medialib.streaming import jobs
@@ -51,11 +52,16 @@ def test_counters_survive_repeats_and_cap_attention(spark, tmp_path):
     rows = [event(i, 1, i / 10, 0.9) for i in range(5)] + [event(9, 2, 0, 0.05)]
     src = str(tmp_path / "ev")
     events(spark, rows + rows).repartition(3).write.parquet(src)
-    table = VersionedTable(spark, str(tmp_path / "t"), jobs.COUNTERS)
+    table = jobs.counters_table(spark, str(tmp_path / "t"), compact_every=2)
     stream = jobs.once_each(jobs.event_stream(spark, src, 1), "30 days")
     run(jobs.live_counters(stream, table, str(tmp_path / "cp")))
     got = {r["video_id"]: (r["watch_count"], r["skip_count"], r["attention"]) for r in table.read().collect()}
     assert got == {1: (5, 0, 3.0), 2: (1, 1, 0.0)}
+    assert len(table.full.versions()) >= 1 and len(table.added.versions()) >= 3
+    # A batch run again after a failure replaces its own increment.
+    last = table.added.versions()[-1]
+    table.add(settle(table.added.read(below=last + 1)), last)
+    assert {r["video_id"]: r["watch_count"] for r in table.read().collect()} == {1: 5, 2: 1}
 
 
 def test_change_feed_touches_only_named_rows_and_never_sweeps(spark, tmp_path):
