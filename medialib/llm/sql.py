@@ -42,9 +42,9 @@ ranked as (
   from s join f using (g) join n using (doc_id)),
 prefix as (select doc_id, g from ranked where r <= n - ceil(n * 0.85) + 1),
 cand as (select distinct a.doc_id as a, b.doc_id as b from prefix a join prefix b on a.g = b.g and a.doc_id < b.doc_id),
-both as (select a, b, count(*) as c from cand join s x on x.doc_id = a join s y on y.doc_id = b and y.g = x.g group by a, b),
+shared as (select a, b, count(*) as c from cand join s x on x.doc_id = a join s y on y.doc_id = b and y.g = x.g group by a, b),
 links as (
-  select a, b from both join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+  select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
 edges as (select a, b from links union all select b, a from links),
 reach(node, root) using key (node) as (
   select distinct a, a from edges
@@ -69,10 +69,10 @@ items as (
   from words where side = 'b' and len(ws) > 0),
 sizes as (select distinct size from items),
 grams as (
-  select id, size, unnest([{'at': i, 'g': array_to_string(ws[i:i + size - 1], ' ')} for i in range(1, len(ws) - size + 2)]) as x
+  select id, size, unnest([{'pos': i, 'g': array_to_string(ws[i:i + size - 1], ' ')} for i in range(1, len(ws) - size + 2)]) as x
   from words, sizes where side = 'd'),
-met as (select id, size, x.at as at, item from grams join items using (size) where x.g = items.g),
-hit as (select id, count(distinct p) as n_hit from (select id, unnest(range(at, at + size)) as p from met) group by id),
+met as (select id, size, x.pos as pos, item from grams join items using (size) where x.g = items.g),
+hit as (select id, count(distinct p) as n_hit from (select id, unnest(range(pos, pos + size)) as p from met) group by id),
 named as (select id, count(distinct item) as n_items, string_agg(distinct item::varchar, ',' order by item::varchar) as ids
           from met group by id)
 select w.id as doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
