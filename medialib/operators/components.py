@@ -8,7 +8,7 @@ Published as "Connected Components in MapReduce and Beyond" (Kiveris et al., 201
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialib.session import settle
+from medialib.session import Rounds
 
 
 def _sum(df: DataFrame) -> tuple:
@@ -16,14 +16,17 @@ def _sum(df: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, keys=("library_id",),
-                         max_rounds: int = 60) -> DataFrame:
-    """``(keys, node, component)`` for every node on an edge; the component is its smallest node."""
+def connected_components(edges: DataFrame, src: str, dst: str, keys=("library_id",)) -> DataFrame:
+    """``(keys, node, component)`` for every node on an edge; the component is its smallest node.
+
+    Every pass but the last moves some node nearer to its smallest, so it ends on any input.
+    """
     keys = list(keys)
-    now = settle(edges.where(F.col(src) != F.col(dst)).select(
-        *keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "edges")
+    rounds = Rounds(edges.sparkSession, "edges")
+    now = rounds.settle(edges.where(F.col(src) != F.col(dst)).select(
+        *keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
     mark = _sum(now)
-    for _ in range(max_rounds):
+    while True:
         # Neighbours larger than u move to u's smallest neighbour (or u itself).
         both = now.unionByName(now.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("_m", "u"))
@@ -34,13 +37,11 @@ def connected_components(edges: DataFrame, src: str, dst: str, keys=("library_id
         linked = wide.join(low, [*keys, "u"])
         tight = linked.where(F.col("v") != F.col("_m")).select(
             *keys, F.col("v").alias("u"), F.col("_m").alias("v"))
-        now = settle(low.select(*keys, "u", F.col("_m").alias("v")).unionByName(tight).distinct(), "edges")
+        now = rounds.settle(low.select(*keys, "u", F.col("_m").alias("v")).unionByName(tight).distinct())
         after = _sum(now)
         if after == mark:
             break
         mark = after
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     leaves = now.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)

@@ -7,7 +7,7 @@ from medialib.functions.ranking import top_k
 from medialib.functions.when import DAY, ts
 from medialib.operators.components import connected_components
 from medialib.operators.simjoin import near_fingerprints
-from medialib.session import settle
+from medialib.session import Rounds, settle
 
 SAME_CONTENT, ALMOST_EXACT = 6, 3
 WINDOW = 7 * DAY
@@ -72,7 +72,7 @@ def duplicate_components(clips: DataFrame) -> DataFrame:
     return _members(clips, linked.unionByName(alone))
 
 
-def duplicate_sets(clips: DataFrame, max_rounds: int = 2_000) -> DataFrame:
+def duplicate_sets(clips: DataFrame) -> DataFrame:
     """Clips of duplicate sets as a walk in date order forms them; adds ``set_id``.
 
     In order of date (then id) every clip not yet taken takes all its untaken
@@ -81,11 +81,12 @@ def duplicate_sets(clips: DataFrame, max_rounds: int = 2_000) -> DataFrame:
     libraries at once; a set is never gathered in one task. Rounds follow the
     longest chain of contested clips, not the size of the data.
     """
-    edges = settle(duplicate_pairs(clips).select(
+    rounds = Rounds(clips.sparkSession, "dup-edges")
+    edges = rounds.settle(duplicate_pairs(clips).select(
         "library_id", "folder", "a", "b",
-        F.struct(F.col("time_a").alias("t"), F.col("a").alias("n")).alias("turn")), "dup-edges")
+        F.struct(F.col("time_a").alias("t"), F.col("a").alias("n")).alias("turn")))
     taken = None
-    for _ in range(max_rounds):
+    while taken is None or not edges.isEmpty():
         # The earliest unsettled clip that could claim each target, itself included.
         selves = edges.select("library_id", "a", "turn").distinct()
         claims = edges.select("library_id", F.col("b").alias("node"), "turn").unionByName(
@@ -102,13 +103,9 @@ def duplicate_sets(clips: DataFrame, max_rounds: int = 2_000) -> DataFrame:
         step = settle(won.unionByName(own).distinct(), "dup-round")
         taken = step if taken is None else taken.unionByName(step)
         gone = step.select("library_id", "node")
-        edges = settle(
+        edges = rounds.settle(
             edges.join(gone.withColumnRenamed("node", "a"), ["library_id", "a"], "left_anti")
-            .join(gone.withColumnRenamed("node", "b"), ["library_id", "b"], "left_anti"), "dup-edges")
-        if edges.isEmpty():
-            break
-    else:
-        raise RuntimeError("duplicate sets did not settle; raise max_rounds")
+            .join(gone.withColumnRenamed("node", "b"), ["library_id", "b"], "left_anti"))
     return _members(clips, taken)
 
 

@@ -285,15 +285,23 @@ def resolve_merges(merges: DataFrame) -> DataFrame:
 
 
 def merge_all_named(persons: DataFrame, vectors: DataFrame, names: DataFrame) -> DataFrame:
-    """Persons called or suggested ``names (library_id, name)`` fold into the one with most vectors."""
+    """Persons called or suggested ``names (library_id, name)`` fold into the one with most vectors.
+
+    A person asked for by both its names ties their groups together: everyone tied has one survivor.
+    """
     asked = names.select("library_id", F.lower("name").alias("_k")).distinct()
     both = persons.select("library_id", F.col("id").alias("person_id"), F.explode(F.array_distinct(F.array(
         F.lower("name"), F.lower("suggested_name")))).alias("_k")).where(~blank("_k"))
     n = vectors.groupBy("library_id", "person_id").agg(F.count("*").alias("_n"))
     hit = both.join(asked, ["library_id", "_k"]).join(n, ["library_id", "person_id"], "left").na.fill(0, ["_n"])
-    keep = hit.groupBy("library_id", "_k").agg(
+    hit = settle(hit, "named")
+    low = hit.groupBy("library_id", "_k").agg(F.min("person_id").alias("_low"))
+    tied = connected_components(hit.join(low, ["library_id", "_k"]), "person_id", "_low").withColumnRenamed("node", "person_id")
+    once = (hit.select("library_id", "person_id", "_n").distinct().join(tied, ["library_id", "person_id"], "left")
+            .withColumn("component", F.coalesce("component", "person_id")))
+    keep = once.groupBy("library_id", "component").agg(
         F.max_by("person_id", F.struct("_n", (-F.col("person_id")).alias("_o"))).alias("survivor"))
-    return hit.join(keep, ["library_id", "_k"]).select("library_id", "person_id", "survivor")
+    return once.join(keep, ["library_id", "component"]).select("library_id", "person_id", "survivor")
 
 
 def split_out(vectors: DataFrame, clips: DataFrame, denials: DataFrame, corrections: DataFrame):

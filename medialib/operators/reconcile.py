@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from medialib.functions.ranking import top_k
 from medialib.operators.classify import clip_junk, classify_names
+from medialib.sources.evolve import with_defaults
+from medialib.sources.schemas import NEW_CLIP, NEW_PHOTO
 
 KEY = ["library_id", "id"]
 METADATA = ["display_name", "duration_ms", "size_bytes", "folder_name", "width", "height"]
@@ -52,7 +54,14 @@ def reconcile_clips(known: DataFrame, seen: DataFrame, delta: bool = False) -> D
         F.array_join("l0_tags", ",").alias("tags"), F.col("l0_about").alias("about"),
         F.col("l0_confidence").alias("confidence"), F.lit(0).alias("brain_level"),
         clip_junk().alias("junk_score"), F.lit(-1).alias("person_id"))
-    return kept.unionByName(added, allowMissingColumns=True)
+    return kept.unionByName(_started(added, known, NEW_CLIP), allowMissingColumns=True)
+
+
+def _started(added: DataFrame, known: DataFrame, defaults: dict) -> DataFrame:
+    """New rows with a starting value in every column of ``known`` that has one."""
+    types = dict(known.dtypes)
+    full = with_defaults(added, {c: v for c, v in defaults.items() if c in types and v is not None})
+    return full.withColumns({c: F.col(c).cast(types[c]) for c in full.columns if c in types})
 
 
 def reconcile_photos(known: DataFrame, seen: DataFrame, delta: bool = False) -> DataFrame:
@@ -62,7 +71,7 @@ def reconcile_photos(known: DataFrame, seen: DataFrame, delta: bool = False) ->
     status = diff.join(guard, "library_id").where((F.col("status") != "gone") | ~F.col("sweep_ok"))
     kept = known.join(status, KEY, "left_semi")
     added = seen.join(diff.where("status = 'new'"), KEY, "left_semi")
-    return kept.unionByName(added, allowMissingColumns=True)
+    return kept.unionByName(_started(added, known, NEW_PHOTO), allowMissingColumns=True)
 
 
 def settle_junk(photos: DataFrame, bar: float = 0.9) -> DataFrame:

@@ -10,8 +10,7 @@ from medialib.functions.when import DAY, ts
 from medialib.operators.classify import shape_transcript
 
 ITEM = ["library_id", "kind", "id"]
-PREFIX_LIMIT, CLIP_NET, PHOTO_NET = 500, 60, 120
-CLIP_POOL, PHOTO_POOL, RESULTS = 500, 400, 60
+PREFIX_LIMIT, RESULTS = 500, 60
 LONGEST_KEY = 8
 # Words that route a query straight to a list.
 PEOPLE_WORDS = ["people", "person", "faces", "face", "smiles", "smiling", "selfie", "selfies"]
@@ -121,13 +120,12 @@ def index_freshness(media: DataFrame, documents: DataFrame) -> DataFrame:
         "fresh", F.col("media") == F.col("indexed"))
 
 
-def prefix_candidates(terms: DataFrame, index: DataFrame, limit: int = PREFIX_LIMIT) -> DataFrame:
-    """Lowest ``limit`` ids per query and medium having a word that starts with a query word.
+def prefix_candidates(terms: DataFrame, index: DataFrame, limit: int | None = PREFIX_LIMIT) -> DataFrame:
+    """Per query and medium the ``limit`` items (None: all) most of whose query words start a word of theirs.
 
     A query word equals a stored prefix (up to eight letters; longer ones are
-    checked after), so matching is an equi-join on the vocabulary. A word borne by
-    very many items contributes only its lowest ``limit`` ids, which is all that
-    can survive, so no hot word multiplies with the queries.
+    checked after), so matching is an equi-join on the vocabulary. Every item with
+    a matching word takes part; at equal counts the lowest ids come first.
     """
     asked = terms.select("library_id", "term").distinct().select(
         "library_id", F.col("term").alias("asked"), F.substring("term", 1, LONGEST_KEY).alias("_key"))
@@ -137,20 +135,20 @@ def prefix_candidates(terms: DataFrame, index: DataFrame, limit: int = PREFIX_LI
             lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("_key"))
     matched = asked.join(vocabulary, ["library_id", "_key"]).where(
         F.col("term").startswith(F.col("asked"))).drop("_key")
-    lowest = top_k(index.drop("p2"), ["library_id", "kind", "term"], [F.asc("id")], limit, "_r").drop("_r")
-    hits = matched.join(lowest, ["library_id", "kind", "term"]).select(
+    hits = matched.join(index.drop("p2"), ["library_id", "kind", "term"]).select(
         "library_id", "kind", "asked", "id").distinct()
-    per_word = top_k(hits, ["library_id", "kind", "asked"], [F.asc("id")], limit, "_r").drop("_r")
     found = (terms.withColumnRenamed("term", "asked").select("query_id", "library_id", "asked")
-             .join(per_word, ["library_id", "asked"])
-             .select("query_id", "library_id", "kind", "id").distinct())
-    return top_k(found, ["query_id", "kind"], [F.asc("id")], limit)
+             .join(hits, ["library_id", "asked"])
+             .groupBy("query_id", "library_id", "kind", "id").agg(F.count("*").alias("matched")))
+    return found if limit is None else top_k(found, ["query_id", "kind"], [F.desc("matched"), F.asc("id")], limit).drop("rank")
 
 
 def _grams(text: Column, n: int) -> Column:
-    at = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(
-        at, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """Distinct pieces of ``n`` letters. Letters are split once and shifted, as cutting by place walks a text each time."""
+    letters = F.split(text, "")
+    shifted = F.arrays_zip(*[F.slice(letters, k + 1, F.greatest(F.size(letters), F.lit(1))).alias(f"l{k}") for k in range(n)])
+    pieces = F.transform(shifted, lambda z: F.concat(*[z[f"l{k}"] for k in range(n)]))
+    return F.array_distinct(F.filter(pieces, lambda g: g.isNotNull() & (F.length(g) == n)))
 
 
 def _haystack(fields) -> Column:
@@ -158,21 +156,20 @@ def _haystack(fields) -> Column:
 
 
 def substring_candidates(queries: DataFrame, clips: DataFrame, photos: DataFrame) -> DataFrame:
-    """Items with the whole query inside one field: best 60 clips and 120 photos per query.
+    """``(query_id, library_id, kind, id)``: items with the whole query inside one field.
 
     A field containing the query contains each of its three-letter pieces. Queries
     meet items on their rarest piece in that library, and the text is compared
-    after, so no query is held against a whole library. Expects ``watch_count``.
+    after, so no query is held against a whole library.
     """
     every = queries.select("query_id", "library_id", F.lower("text").alias("_q")).where(F.length("_q") >= 2)
     # A text many people search for is looked up once.
     q = every.select("library_id", "_q").distinct()
     pieces = F.when(F.length("_q") >= 3, _grams(F.col("_q"), 3)).otherwise(F.array("_q"))
     asked = q.select("library_id", "_q", F.explode(pieces).alias("gram"))
-    hay = clips.select(*_item("clip"), "date_added_sec", "watch_count", _haystack(
+    hay = clips.select(*_item("clip"), _haystack(
         ["display_name", "tags", "category", "folder_name", "transcript"]).alias("hay")).unionByName(
-        photos.select(*_item("photo"), "date_added_sec", F.lit(0).cast("bigint").alias("watch_count"),
-                      _haystack(["display_name", "tags", "category", "folder_name"]).alias("hay")))
+        photos.select(*_item("photo"), _haystack(["display_name", "tags", "category", "folder_name"]).alias("hay")))
     wanted = asked.select("library_id", "gram").distinct()
     # Two-letter pieces serve two-letter queries only; with none of those their branch is empty.
     of = lambda n: hay.select(*ITEM, F.explode(_grams(F.col("hay"), n)).alias("gram")).join(
@@ -185,11 +182,7 @@ def substring_candidates(queries: DataFrame, clips: DataFrame, photos: DataFrame
               .where("_b._n > 0").select("library_id", "_q", F.col("_b.gram").alias("gram")))
     hits = (rarest.join(held, ["library_id", "gram"]).join(hay, ITEM)
             .where(F.contains(F.col("hay"), F.col("_q"))).drop("hay", "gram"))
-    order = [F.desc("watch_count"), F.desc("date_added_sec"), F.asc("id")]
-    nets = [top_k(hits.where(F.col("kind") == kind), ["library_id", "_q"], order, n)
-            for kind, n in (("clip", CLIP_NET), ("photo", PHOTO_NET))]
-    return nets[0].unionByName(nets[1]).join(every, ["library_id", "_q"]).select(
-        "query_id", "library_id", "kind", "id", "rank")
+    return hits.join(every, ["library_id", "_q"]).select("query_id", "library_id", "kind", "id")
 
 
 def _item(kind: str):
@@ -240,23 +233,16 @@ def match_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataF
 
 def search_ranked(prefix: DataFrame, net: DataFrame, queries: DataFrame, docs: DataFrame,
                   ties: DataFrame, results: int = RESULTS) -> DataFrame:
-    """Blend of both candidate lists: best ``results`` per query.
+    """Blend of both candidate lists, all of them scored: best ``results`` per query.
 
     ``ties`` is ``(library_id, kind, id, tie)``: watch count of a clip, date of a
     photo. Substring hits survive a score of zero, others do not.
     """
-    pool = net.select("query_id", "library_id", "kind", "id", F.col("rank").alias("_net"),
-                      F.lit(None).cast("int").alias("_pre")).unionByName(
-        prefix.select("query_id", "library_id", "kind", "id", F.lit(None).cast("int").alias("_net"),
-                      F.col("rank").alias("_pre")))
-    pool = pool.groupBy("query_id", "library_id", "kind", "id").agg(
-        F.min("_net").alias("_net"), F.min("_pre").alias("_pre"))
-    # Substring hits come first, then prefix hits; each medium takes part with a fixed number.
-    order = [F.asc_nulls_last("_net"), F.asc_nulls_last("_pre"), F.asc("id")]
-    pool = top_k(pool, ["query_id", "kind"], order, CLIP_POOL, "_p").where(
-        (F.col("kind") == "clip") | (F.col("_p") <= PHOTO_POOL))
+    pool = net.select("query_id", "library_id", "kind", "id", F.lit(True).alias("_net")).unionByName(
+        prefix.select("query_id", "library_id", "kind", "id", F.lit(False).alias("_net")))
+    pool = pool.groupBy("query_id", "library_id", "kind", "id").agg(F.max("_net").alias("_net"))
     scored = match_scores(pool, queries, docs).join(ties, ITEM)
-    kept = scored.where((F.col("score") > 0) | F.col("_net").isNotNull())
+    kept = scored.where((F.col("score") > 0) | F.col("_net"))
     return top_k(kept, ["query_id"], [F.desc("score"), F.desc("tie"), F.asc("kind"), F.asc("id")], results) \
         .select("query_id", "library_id", "kind", "id", "score", "tie", "rank")
 
@@ -304,6 +290,20 @@ def search_sections(hits: DataFrame, persons: DataFrame) -> DataFrame:
         "query_id", "section", F.when(F.col("_n") > 1, F.col("title")).alias("title"), "size", "first_rank")
 
 
+def section_hits(hits: DataFrame, sections: DataFrame) -> DataFrame:
+    """``(query_id, section, pos, kind, id)``: the results of each section in rank order.
+
+    ``sections`` is what ``search_sections`` made of the same hits: each starts with the rank ``first_rank``.
+    """
+    person = (F.col("kind") == "clip") & (F.coalesce("person_id", F.lit(-1)) >= 0)
+    who = F.when(person, F.col("person_id")).when(F.col("kind") == "photo", -2).otherwise(-1)
+    h = hits.withColumn("_who", who)
+    first = h.groupBy("query_id", "_who").agg(F.min("rank").alias("first_rank"))
+    placed = h.join(first, ["query_id", "_who"]).join(sections.select("query_id", "section", "first_rank"), ["query_id", "first_rank"])
+    within = Window.partitionBy("query_id", "section").orderBy("rank")
+    return placed.select("query_id", "section", F.row_number().over(within).alias("pos"), "kind", "id")
+
+
 def search_suggestions(clips: DataFrame, most: int = 7) -> DataFrame:
     """``(library_id, pos, suggestion)``: two fixed words, then categories and folders with weight."""
     def top(col, least, k, base):

@@ -59,7 +59,7 @@ def taste_keys() -> Column:
 
 
 def taste_buckets(events: DataFrame, clips: DataFrame) -> DataFrame:
-    """Likes, dislikes and last event per ``(viewer_id, key)``.
+    """Likes, dislikes and last event per ``(viewer_id, library_id, key)``; keys name persons and folders of one library.
 
     Events are first reduced per viewer and clip, so a clip or viewer with a large
     share of all events costs one row per pair when keys are exploded.
@@ -71,8 +71,8 @@ def taste_buckets(events: DataFrame, clips: DataFrame) -> DataFrame:
                  F.sum("_l").alias("_l"), F.sum("_d").alias("_d"), F.max(epoch_ms("at")).alias("_t")))
     keyed = clips.select("library_id", "id", taste_keys().alias("_keys"))
     return (votes.join(keyed, ["library_id", "id"])
-            .select("viewer_id", "_l", "_d", "_t", F.explode("_keys").alias("k"))
-            .groupBy("viewer_id", F.col("k.key").alias("key")).agg(
+            .select("viewer_id", "library_id", "_l", "_d", "_t", F.explode("_keys").alias("k"))
+            .groupBy("viewer_id", "library_id", F.col("k.key").alias("key")).agg(
                 F.sum("_l").alias("likes"), F.sum("_d").alias("dislikes"), F.max("_t").alias("last_seen_ms")))
 
 
@@ -116,7 +116,7 @@ def taste_affinity(viewers: DataFrame, clips: DataFrame, buckets: DataFrame) ->
                            F.aggregate("_keys", F.lit(0.0), lambda a, k: a + k["weight"]).alias("_all"),
                            F.size("_keys").alias("_n"), F.explode("_keys").alias("k")) \
         .select("library_id", "profile", "profile_id", "_all", "_n", "k.key", "k.weight")
-    known = viewers.join(buckets, "viewer_id").select(
+    known = viewers.join(buckets, ["viewer_id", "library_id"]).select(
         "viewer_id", "library_id", "key", bucket_affinity(F.col("likes"), F.col("dislikes")).alias("a"))
     hits = known.join(keys, ["library_id", "key"]).groupBy("viewer_id", "library_id", "profile_id").agg(
         F.first("profile").alias("profile"), F.first("_all").alias("_all"), F.first("_n").alias("_n"), F.count("*").alias("_k"),

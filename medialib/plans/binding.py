@@ -47,7 +47,7 @@ SELECT d.lang AS library_id, d.doc_id AS id,
   CASE d.doc_id % 5 WHEN 0 THEN 'speaking,expressive' WHEN 1 THEN 'mostly music or ambience'
     WHEN 2 THEN 'partly speaking' WHEN 3 THEN 'speaking,flat delivery' ELSE '' END AS prosody_tags,
   CAST((d.doc_id % 100) / 100.0 AS DOUBLE) AS speech_ratio,
-  CASE WHEN d.doc_id % 4 = 3 THEN NULL ELSE substr(d.text, 1, 400) END AS transcript
+  CASE WHEN d.source = 'src3' THEN NULL ELSE d.text END AS transcript
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 """
 
@@ -92,7 +92,7 @@ WHERE e.vec_id % 10 = 0
 DETECTIONS = """
 SELECT l_orderkey AS media_id, l_linenumber AS box_no, CAST(floor(l_quantity * 5) AS INT) AS w,
   CAST(floor(l_extendedprice) AS BIGINT) % 300 AS h, CAST(l_discount * 200 AS DOUBLE) AS sharpness
-FROM {lineitem} WHERE l_orderkey % 4 = 0
+FROM {lineitem}
 """
 
 ACOUSTIC_WINDOWS = """
@@ -101,9 +101,10 @@ SELECT user_id AS clip_id, event_id AS window_no, -60.0 + value / 6.0 AS db, CAS
 """
 
 LABEL_ROWS = """
-SELECT p_partkey AS media_id, 0 AS pos, {first_word} AS label, CAST((p_partkey * 31 % 60 + 40) / 100.0 AS DOUBLE) AS conf FROM {part}
+SELECT media_id, pos, label, CAST(((media_id * 31 + pos * 23) % 60 + 40) / 100.0 AS DOUBLE) AS conf
+FROM (SELECT p_partkey AS media_id, {words} FROM {part})
 UNION ALL
-SELECT p_partkey, 1, CASE p_partkey % 5 WHEN 0 THEN 'Dog' WHEN 1 THEN 'Beach' WHEN 2 THEN 'Birthday Cake' WHEN 3 THEN 'Dress' ELSE 'Guitar' END,
+SELECT p_partkey, 9, CASE p_partkey % 5 WHEN 0 THEN 'Dog' WHEN 1 THEN 'Beach' WHEN 2 THEN 'Birthday Cake' WHEN 3 THEN 'Dress' ELSE 'Guitar' END,
   CAST((p_partkey * 17 % 60 + 40) / 100.0 AS DOUBLE) FROM {part}
 """
 
@@ -131,21 +132,17 @@ class Binding:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{table}.parquet")
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """The test tables are single small files, one task each; use the cores there are."""
-        return df.repartition(self.spark.sparkContext.defaultParallelism)
-
     def _sql(self, text: str, **extra) -> DataFrame:
         names = {t: f"parquet.`{self.dir}/{t}.parquet`" for t in TABLES}
         return self.spark.sql(text.format(**names, **extra))
 
     def clips(self) -> DataFrame:
         """Clips without fingerprints: enough for every operator that never compares content."""
-        return self.spread(self._sql(CLIPS_BASE))
+        return self._sql(CLIPS_BASE)
 
     def _fingerprints(self) -> DataFrame:
         """Stored fingerprints of the clips, written once like any other column of a library."""
-        docs = self.spread(self.raw("documents").select("doc_id", "text"))
+        docs = self.raw("documents").select("doc_id", "text")
         return simhash64(docs, "doc_id", "text", UNICODE_BREAK, 2).select(
             F.col("doc_id").alias("id"), "phash")
 
@@ -167,8 +164,9 @@ class Binding:
 
     def _event_clips(self, events: DataFrame) -> DataFrame:
         docs, sizes = self._positioned_docs()
-        lang = (F.when(F.col("user_id") % 4 == 0, "de").when(F.col("user_id") % 4 == 1, "en")
-                .when(F.col("user_id") % 4 == 2, "es").otherwise("fr"))
+        # A third of a viewer's events are in the next library.
+        home = (F.col("user_id") + (F.col("event_id") % 3 == 0).cast("int")) % 4
+        lang = F.when(home == 0, "de").when(home == 1, "en").when(home == 2, "es").otherwise("fr")
         keyed = (events.withColumn("lang", lang).join(sizes, "lang")
                  .withColumn("i", (F.col("event_id") * 7919) % F.col("n")).drop("n"))
         return keyed.join(docs, ["lang", "i"])
@@ -221,7 +219,7 @@ class Binding:
         return self._sql(ACOUSTIC_WINDOWS)
 
     def label_rows(self) -> DataFrame:
-        return self._sql(LABEL_ROWS, first_word="substring_index(p_name, ' ', 1)")
+        return self._sql(LABEL_ROWS, words="posexplode(split(p_name, ' ')) AS (pos, label)")
 
     def listing_new(self) -> DataFrame:
         inner = CLIPS_BASE.format(documents="{documents}", labels="{labels}")
@@ -239,12 +237,10 @@ class Binding:
         return libs.select("library_id", F.inline(made))
 
     def search_queries(self) -> DataFrame:
-        """First three words of each user turn, as one query of the library ``conv_id % 4``."""
+        """Each user turn as one query of the library ``conv_id % 4``."""
         lib = (F.when(F.col("conv_id") % 4 == 0, "de").when(F.col("conv_id") % 4 == 1, "en")
                .when(F.col("conv_id") % 4 == 2, "es").otherwise("fr"))
-        words = F.split(F.col("text"), " ")
         return self.raw("conversations").where(F.col("role") == "user").select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), lib.alias("library_id"),
-            F.concat_ws(" ", F.slice(words, 1, 3)).alias("text"),
-            (F.col("conv_id") % 50).alias("viewer_id"), F.col("turn").alias("at"))
+            "text", (F.col("conv_id") % 50).alias("viewer_id"), F.col("turn").alias("at"))
 

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from medialib.operators import reconcile
+from medialib.operators import queues, reconcile
 from medialib.plans.binding import Binding
 from medialib.plans.registry import as_long, query, r6
 from medialib.session import scratch_dir
@@ -89,15 +89,30 @@ def sweep_guard(b):
 @query
 def reconciled_clips(b):
     return reconcile.reconcile_clips(b.clips(), b.listing_new()).select(
-        "library_id", "id", "display_name", "size_bytes", "category", "tags",
-        r6("confidence").alias("confidence"), r6("junk_score").alias("junk_score"),
-        F.coalesce("is_favorite", F.lit(False)).alias("is_favorite"))
+        "library_id", "id", "display_name", "folder_name", *as_long("duration_ms", "size_bytes", "date_added_sec", "width", "height"),
+        "category", "tags", "about", r6("confidence").alias("confidence"), r6("junk_score").alias("junk_score"),
+        *as_long("brain_level", "face_count", "smile_count", "person_id", "album_id"), r6("sharpness").alias("sharpness"),
+        r6("speech_ratio").alias("speech_ratio"), "is_favorite", "manual_group", "prosody_tags", "transcript")
 
 
 @query
 def reconciled_photos(b):
-    return reconcile.reconcile_photos(b.photos(), catalog.photo_rows(raw_photo_listing(b)).where(
-        "id % 10 <> 3")).select("library_id", "id", "display_name", "category")
+    return _photos_after(b).select(
+        "library_id", "id", "display_name", "folder_name", *as_long("date_added_sec", "width", "height"), "category", "tags",
+        "about", r6("confidence").alias("confidence"), r6("junk_score").alias("junk_score"),
+        *as_long("brain_level", "face_count", "smile_count", "phash"), "is_favorite", "animated")
+
+
+def _photos_after(b):
+    """The photo table after a snapshot that lacks a tenth of it; a twentieth was not known before."""
+    seen = catalog.photo_rows(raw_photo_listing(b)).where("id % 10 <> 3")
+    return reconcile.reconcile_photos(b.photos().where("id % 20 <> 7"), seen)
+
+
+@query
+def reconcile_then_queue(b):
+    """What the photo pass reads next, straight after a snapshot: new rows are settled or queued like old ones."""
+    return queues.queue_photo(reconcile.settle_junk(_photos_after(b))).select("library_id", "id", *as_long("rank"))
 
 
 @query

@@ -63,12 +63,14 @@ def feed_run(lib: Library, as_of: int, hour: int, tuning: feed.Tuning = feed.Tun
     """A reel per viewer: suppression, taste, scores, candidates, bands."""
     viewers = lib.events.select("viewer_id", "library_id").distinct()
     affinity = taste.taste_affinity(viewers, lib.clips, taste.taste_buckets(lib.events, lib.clips))
-    scores = feed.scored(lib.watched(), viewers, affinity, feed.recent_watches(lib.events), as_of, hour,
-                         {"score": tuning})
     hidden = dups.suppression(lib.dismissals, lib.clips)
+    shown = feed.open_clips(lib.watched(), hidden, tuning)
+    scores = feed.scored(shown, viewers, affinity, feed.recent_watches(lib.events), as_of, hour,
+                         {"score": tuning}, library=lib.clips)
     if served is not None:
-        return feed.session_walk(scores, hidden, served, tuning, seed)
-    return feed.reels(feed.candidates(scores, hidden, tuning), t=tuning, seed=seed)
+        unseen = feed.unseen_counts(viewers, feed.open_clips(lib.clips, hidden), served)
+        return feed.session_walk(scores, served, unseen, tuning, seed)
+    return feed.reels(feed.candidates(scores, tuning), t=tuning, seed=seed)
 
 
 def shelf_run(lib: Library, as_of: int, threshold: float = 0.5) -> DataFrame:

@@ -64,14 +64,13 @@ def _prefix(b):
 
 @query
 def prefix_candidates(b):
-    return _prefix(b).select("query_id", "library_id", "kind", "id", *as_long("rank"))
+    return _prefix(b).select("query_id", "library_id", "kind", "id", *as_long("matched"))
 
 
 @query
 def substring_candidates(b):
-    """Queries are the user turns' first words, plus pieces of names and folders that do occur."""
-    return search.substring_candidates(net_queries(b), watched(b), b.photos()).select(
-        "query_id", "kind", "id", *as_long("rank"))
+    """Queries are the user turns, plus names and folders that do occur."""
+    return search.substring_candidates(net_queries(b), b.clips(), b.photos()).select("query_id", "kind", "id")
 
 
 def net_queries(b):
@@ -151,6 +150,13 @@ def search_sections(b):
         "query_id", *as_long("section", "size", "first_rank"), "title")
 
 
+@query
+def search_section_hits(b):
+    hits = settle(_hits(b), "hits")
+    return search.section_hits(hits, search.search_sections(hits, b.persons())).select(
+        "query_id", *as_long("section", "pos"), "kind", "id")
+
+
 @query
 def search_suggestions(b):
     return search.search_suggestions(b.clips()).select("library_id", *as_long("pos"), "suggestion")

@@ -28,22 +28,29 @@ def _run(writer):
 
 @query
 def stream_taste(b):
-    """Taste learned from event files arriving one by one."""
+    """Taste learned from event files arriving one by one, every event delivered twice."""
     table = VersionedTable(b.spark, _folder(b, "taste"), jobs.TASTE)
-    stream = jobs.event_stream(b.spark, _event_files(b), 1)
+    events = b.watch_events()
+    stream = jobs.once_each(jobs.event_stream(b.spark, _event_files(b, events.unionByName(events)), 1), "60 days")
     clips = b.clips()
     _run(jobs.learn_taste(stream, lambda: clips, table, _folder(b, "cursor"), lambda: AS_OF * 1000, event_time=True))
-    return table.read().select("viewer_id", "key", "likes", "dislikes", "last_seen_ms")
+    return table.read().select("viewer_id", "library_id", "key", "likes", "dislikes", "last_seen_ms")
 
 
 @query
 def stream_counters(b):
-    """Counters from event files arriving one by one, every event delivered twice."""
+    """Counters from event files arriving one by one, every event delivered twice, and attention from new favourites."""
     events = b.watch_events()
     table = jobs.counters_table(b.spark, _folder(b, "counters"), compact_every=2)
     stream = jobs.once_each(jobs.event_stream(b.spark, _event_files(b, events.unionByName(events))), "60 days")
     _run(jobs.live_counters(stream, table, _folder(b, "cursor")))
-    return table.read().select("library_id", "video_id", *as_long("watch_count", "skip_count", "last_watched_ms"),
+    path = _folder(b, "favorite-files")
+    b.clips().where("is_favorite").select("library_id", F.col("id").alias("video_id")).write.parquet(path)
+    marked = b.spark.readStream.schema("library_id STRING, video_id BIGINT").parquet(path)
+    liked = jobs.counters_table(b.spark, _folder(b, "favorites"))
+    _run(jobs.live_favorites(marked, liked, _folder(b, "favorite-cursor")))
+    both = jobs.sum_counters(table.read().unionByName(liked.read()))
+    return both.select("library_id", "video_id", *as_long("watch_count", "skip_count", "last_watched_ms"),
                                r6("completion_sum").alias("completion_sum"), r6("attention").alias("attention"))
 
 

@@ -1,7 +1,8 @@
 """Session settings the operators rely on, and the shared scratch folder."""
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +14,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-
-_LOCAL: dict[str, str] = {}
+_RUNS: list[list[str]] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -28,17 +28,31 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    A machine-local folder would be lost with its executor, so one is made only
-    for a local master with nothing configured (tests, benches).
+    Where none is set it lies in the warehouse, which all executors share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="medialib-")
-    return _LOCAL["dir"]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables settled inside are emptied when the block ends.
+
+    Results that read them must have been written or collected by then.
+    """
+    _RUNS.append([])
+    try:
+        yield
+    finally:
+        for path in _RUNS.pop():
+            _empty(spark, path)
+
+
+def _empty(spark: SparkSession, path: str) -> None:
+    """Free the space of a table by writing an empty one over it."""
+    spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
@@ -48,5 +62,24 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     next plan real sizes so that broadcast decisions rest on measured data.
     """
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if _RUNS:
+        _RUNS[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The table an iterative operator rewrites: two folders take turns, so old rounds don't pile up."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.turn = spark, 0
+        self.base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        if _RUNS:
+            _RUNS[-1] += [f"{self.base}-0", f"{self.base}-1"]
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Write the next round, which may read the last one but none before it."""
+        path = f"{self.base}-{self.turn}"
+        self.turn = 1 - self.turn
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from medialib.sources import schemas
 from medialib.sources.catalog import delta_rows
 from medialib.sources.versions import MergedTable, VersionedTable
 
-TASTE = ("viewer_id BIGINT, key STRING, likes DOUBLE, dislikes DOUBLE, last_seen_ms BIGINT, "
+TASTE = ("viewer_id BIGINT, library_id STRING, key STRING, likes DOUBLE, dislikes DOUBLE, last_seen_ms BIGINT, "
          "learned_at_ms BIGINT")
 COUNTERS = ("library_id STRING, video_id BIGINT, watch_count BIGINT, completion_sum DOUBLE, "
             "skip_count BIGINT, last_watched_ms BIGINT, attention DOUBLE")
@@ -36,26 +36,27 @@ def fold_taste(state: DataFrame, events: DataFrame, clips: DataFrame, now_ms: in
                event_time: bool = False) -> DataFrame:
     """Next taste state from the last one and a batch of events.
 
-    A viewer with events first fades by the time since it last learned, then takes
+    A viewer with events in a library first fades there by the time since it last learned, then takes
     the new votes. ``learned_at`` starts at ``now`` and follows the newest vote, so
     someone watching daily never fades; with ``event_time`` nothing fades here and
     readers fade each bucket by its own ``last_seen_ms`` instead.
     """
+    who = ["viewer_id", "library_id"]
     votes = taste.taste_buckets(events, clips)
-    active = events.select("viewer_id").distinct().withColumn("_active", F.lit(True))
-    newest = votes.groupBy("viewer_id").agg(F.max("last_seen_ms").alias("_vote"))
-    learned = state.groupBy("viewer_id").agg(F.max("learned_at_ms").alias("_old"))
-    who = (active.join(learned, "viewer_id", "full_outer").join(newest, "viewer_id", "left")
-           .withColumn("_stamp", F.when(F.col("_active"), F.greatest(
-               F.coalesce("_old", F.lit(now_ms)), F.coalesce("_vote", F.lit(0)))).otherwise(F.col("_old"))))
-    old = state.join(who.select("viewer_id", "_active"), "viewer_id", "left")
+    active = events.select(*who).distinct().withColumn("_active", F.lit(True))
+    newest = votes.groupBy(*who).agg(F.max("last_seen_ms").alias("_vote"))
+    learned = state.groupBy(*who).agg(F.max("learned_at_ms").alias("_old"))
+    stamps = (active.join(learned, who, "full_outer").join(newest, who, "left")
+              .withColumn("_stamp", F.when(F.col("_active"), F.greatest(
+                  F.coalesce("_old", F.lit(now_ms)), F.coalesce("_vote", F.lit(0)))).otherwise(F.col("_old"))))
+    old = state.join(stamps.select(*who, "_active"), who, "left")
     if not event_time:
         idle = F.when(F.col("_active"), F.lit(now_ms) - F.col("learned_at_ms")).otherwise(F.lit(0))
         old = taste.decay(old, idle)
-    merged = old.select("viewer_id", "key", "likes", "dislikes", "last_seen_ms").unionByName(votes) \
-        .groupBy("viewer_id", "key").agg(F.sum("likes").alias("likes"), F.sum("dislikes").alias("dislikes"),
-                                         F.max("last_seen_ms").alias("last_seen_ms"))
-    return merged.join(who.select("viewer_id", F.col("_stamp").alias("learned_at_ms")), "viewer_id")
+    merged = old.select(*who, "key", "likes", "dislikes", "last_seen_ms").unionByName(votes) \
+        .groupBy(*who, "key").agg(F.sum("likes").alias("likes"), F.sum("dislikes").alias("dislikes"),
+                                  F.max("last_seen_ms").alias("last_seen_ms"))
+    return merged.join(stamps.select(*who, F.col("_stamp").alias("learned_at_ms")), who)
 
 
 def counter_steps(events: DataFrame) -> DataFrame:
@@ -67,6 +68,14 @@ def counter_steps(events: DataFrame) -> DataFrame:
         "attention", F.coalesce("_steps", F.lit(0.0))).drop("_steps")
 
 
+def favorite_steps(favorites: DataFrame) -> DataFrame:
+    """What newly marked favourites ``(library_id, video_id)`` add: attention alone, no watch."""
+    marked = favorites.groupBy("library_id", "video_id").agg((F.count("*") * taste.FAVORITE_STEP).alias("attention"))
+    zero = {"watch_count": F.lit(0).cast("bigint"), "completion_sum": F.lit(0.0), "skip_count": F.lit(0).cast("bigint"),
+            "last_watched_ms": F.lit(0).cast("bigint")}
+    return marked.withColumns(zero)
+
+
 def sum_counters(rows: DataFrame) -> DataFrame:
     """Counters from any number of partial ones. Steps only add, so capping sums is capping steps."""
     return rows.groupBy("library_id", "video_id").agg(
@@ -98,6 +107,13 @@ def live_counters(events: DataFrame, table: MergedTable, checkpoint: str) -> Dat
     return _stateful(events, checkpoint, step)
 
 
+def live_favorites(favorites: DataFrame, table: MergedTable, checkpoint: str) -> DataStreamWriter:
+    """Stream that adds newly marked favourites to the attention of a table of its own, summed with the counters'."""
+    def step(batch: DataFrame, n: int) -> None:
+        table.add(favorite_steps(batch), n)
+    return _stateful(favorites, checkpoint, step)
+
+
 def follow_changes(changes: DataFrame, listing: Callable[[], DataFrame], clips: VersionedTable,
                    checkpoint: str, every: str = "8 seconds") -> DataStreamWriter:
     """Stream of changed ids ``(library_id, id)``, gathered for a while, that reconciles just those rows."""

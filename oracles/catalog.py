@@ -34,6 +34,14 @@ _DIFF = """diff AS (SELECT coalesce(o.library_id, s.library_id) AS library_id, c
 guard AS (SELECT library_id, count(*) FILTER (WHERE status <> 'new') AS existing, count(*) FILTER (WHERE status <> 'gone') AS seen
   FROM diff GROUP BY 1)"""
 
+_AFTER = """seen AS (SELECT * FROM prows WHERE id % 10 <> 3), had AS (SELECT * FROM photos WHERE id % 20 <> 7),
+after AS (SELECT p.library_id, p.id, p.display_name, p.folder_name, p.date_added_sec, p.width::BIGINT AS width, p.height::BIGINT AS height,
+    p.category, p.tags, p.about, round(p.confidence, 6) AS confidence, round(p.junk_score, 6) AS junk_score,
+    p.brain_level::BIGINT AS brain_level, p.face_count::BIGINT AS face_count, p.smile_count::BIGINT AS smile_count, p.phash,
+    p.is_favorite, p.animated FROM had p JOIN seen USING (library_id, id)
+  UNION ALL SELECT library_id, id, display_name, folder_name, date_added_sec, width, height, category, tags, about, confidence,
+    junk_score, 0, 0, 0, 0, false, animated FROM (SELECT s.* FROM seen s LEFT JOIN had p USING (library_id, id) WHERE p.id IS NULL))"""
+
 
 def _also(base: str, *ctes: str) -> str:
     """Append further CTEs to a WITH clause built by with_views (body starts after them)."""
@@ -81,24 +89,33 @@ SQL = {
                       ["clips", "listing_new"], _DIFF),
     "reconciled_clips": _w(f"""
       SELECT c.library_id, c.id, CASE WHEN status = 'changed' THEN s.display_name ELSE c.display_name END AS display_name,
-        CASE WHEN status = 'changed' THEN s.size_bytes ELSE c.size_bytes END AS size_bytes, c.category, c.tags,
-        round(c.confidence, 6) AS confidence, round(c.junk_score, 6) AS junk_score, c.is_favorite
+        CASE WHEN status = 'changed' THEN s.folder_name ELSE c.folder_name END AS folder_name,
+        CASE WHEN status = 'changed' THEN s.duration_ms ELSE c.duration_ms END AS duration_ms,
+        CASE WHEN status = 'changed' THEN s.size_bytes ELSE c.size_bytes END AS size_bytes, c.date_added_sec,
+        CASE WHEN status = 'changed' THEN s.width ELSE c.width END::BIGINT AS width,
+        CASE WHEN status = 'changed' THEN s.height ELSE c.height END::BIGINT AS height, c.category, c.tags, c.about,
+        round(c.confidence, 6) AS confidence, round(c.junk_score, 6) AS junk_score, c.brain_level::BIGINT AS brain_level,
+        c.face_count::BIGINT AS face_count, c.smile_count::BIGINT AS smile_count, c.person_id::BIGINT AS person_id, c.album_id,
+        round(c.sharpness, 6) AS sharpness, round(c.speech_ratio, 6) AS speech_ratio, c.is_favorite, c.manual_group,
+        c.prosody_tags, c.transcript
       FROM clips c JOIN diff d USING (library_id, id) JOIN guard g USING (library_id)
       LEFT JOIN listing_new s ON s.library_id = c.library_id AND s.id = c.id
       WHERE status <> 'gone' OR (existing > 0 AND seen < existing // 2)
-      UNION ALL SELECT library_id, id, display_name, size_bytes, coalesce(n, f, 'unknown'),
+      UNION ALL SELECT library_id, id, display_name, folder_name, duration_ms, size_bytes, date_added_sec, width, height,
+        coalesce(n, f, 'unknown'),
         array_to_string(CASE WHEN n IS NULL AND f IS NULL THEN t6[1:5] ELSE (CASE WHEN list_contains(t6, coalesce(n, f))
           THEN t6 ELSE list_append(t6, coalesce(n, f)) END)[1:8] END, ','),
-        CASE WHEN n IS NOT NULL THEN 0.85 WHEN f IS NOT NULL THEN 0.7 ELSE 0.35 END, junk, false
+        coalesce({title('coalesce(n, f)')}, CASE WHEN duration_ms < 20000 THEN 'Quick clip' ELSE 'Video' END) || ' • ' || folder_name,
+        CASE WHEN n IS NOT NULL THEN 0.85 WHEN f IS NOT NULL THEN 0.7 ELSE 0.35 END, junk, 0, 0, 0, -1, -1, 0.0, 0.0, false, '',
+        '', NULL
       FROM (SELECT s.*, {category_case('display_name')} AS n, {category_case('folder_name')} AS f,
         (list_filter({_NAME_TOKENS}, lambda x, i: list_position({_NAME_TOKENS}, x) = i))[1:6] AS t6,
         round({clip_junk()}, 6) AS junk FROM listing_new s) s JOIN diff USING (library_id, id) WHERE status = 'new'""",
                            ["clips", "listing_new"], _DIFF),
-    "reconciled_photos": _w("""SELECT library_id, id, p.display_name, p.category FROM photos p
-        JOIN seen USING (library_id, id)
-      UNION ALL SELECT s.library_id, s.id, s.display_name, s.category FROM seen s
-        LEFT JOIN photos p USING (library_id, id) WHERE p.id IS NULL""", ["photos"], _PHOTO_LISTING,
-                            "seen AS (SELECT * FROM prows WHERE id % 10 <> 3)"),
+    "reconciled_photos": _w("SELECT * FROM after", ["photos"], _PHOTO_LISTING, _AFTER),
+    "reconcile_then_queue": _w("""SELECT library_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY library_id
+        ORDER BY date_added_sec DESC, id) AS rank FROM after WHERE brain_level < 1 AND junk_score < 0.9) WHERE rank <= 40""",
+                               ["photos"], _PHOTO_LISTING, _AFTER),
     "settle_junk": with_views("""SELECT library_id, id,
       CASE WHEN brain_level < 1 AND junk_score >= 0.9 THEN 1 ELSE brain_level END::BIGINT AS brain_level,
       CASE WHEN brain_level < 1 AND junk_score >= 0.9 THEN 0 ELSE face_count END::BIGINT AS face_count,

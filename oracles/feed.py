@@ -12,19 +12,20 @@ _KEYS = """keys AS (SELECT library_id, id, unnest([{'key': 'cat:' || category, '
     {'key': 'folder:' || folder_name, 'w': 1.0::DOUBLE},
     {'key': CASE WHEN duration_ms < 25000 THEN 'dur:short' ELSE 'dur:long' END, 'w': 1.0::DOUBLE}]) AS k FROM clips),
   clipkeys AS (SELECT library_id, id, k.key AS key, k.w AS w FROM keys WHERE k IS NOT NULL),
-  buckets AS (SELECT viewer_id, key, count(*) FILTER (WHERE completion >= 0.7)::DOUBLE AS likes,
+  buckets AS (SELECT viewer_id, e.library_id, key, count(*) FILTER (WHERE completion >= 0.7)::DOUBLE AS likes,
       count(*) FILTER (WHERE completion < 0.2)::DOUBLE AS dislikes, max(epoch_us("at") // 1000) AS last_seen_ms
     FROM watch_events e JOIN clipkeys c ON c.library_id = e.library_id AND c.id = e.video_id
-    WHERE completion >= 0.7 OR completion < 0.2 GROUP BY 1, 2)"""
+    WHERE completion >= 0.7 OR completion < 0.2 GROUP BY 1, 2, 3)"""
 _AFF = """viewers AS (SELECT DISTINCT viewer_id, library_id FROM watch_events),
   aff AS (SELECT v.viewer_id, v.library_id, c.id,
       sum(coalesce((b.likes + 3) / (b.likes + b.dislikes + 6), 0.5) * c.w) / sum(c.w) AS affinity,
       max(coalesce((b.likes + 3) / (b.likes + b.dislikes + 6), 0.5)) AS strongest, count(b.key) AS known,
       string_agg(c.key, '|' ORDER BY CASE left(c.key, 3) WHEN 'cat' THEN 1 WHEN 'per' THEN 2 WHEN 'fol' THEN 3 ELSE 4 END) AS profile
-    FROM viewers v JOIN clipkeys c ON c.library_id = v.library_id LEFT JOIN buckets b ON b.viewer_id = v.viewer_id AND b.key = c.key
+    FROM viewers v JOIN clipkeys c ON c.library_id = v.library_id LEFT JOIN buckets b ON b.viewer_id = v.viewer_id
+      AND b.library_id = v.library_id AND b.key = c.key
     GROUP BY 1, 2, 3)"""
 _RECENT = """recent AS (SELECT viewer_id, library_id, video_id AS id, count(*) AS seen FROM (SELECT *, row_number() OVER (
-      PARTITION BY viewer_id ORDER BY "at" DESC, row_id DESC) AS r FROM watch_events) WHERE r <= 40 GROUP BY 1, 2, 3)"""
+      PARTITION BY viewer_id, library_id ORDER BY "at" DESC, row_id DESC) AS r FROM watch_events) WHERE r <= 40 GROUP BY 1, 2, 3)"""
 _OTD = f"(date_added_sec > 0 AND dayofyear({_THEN}) = dayofyear({_NOW}) AND year({_THEN}) <> year({_NOW}))"
 _BURIED = f"({_AGE} > 180 AND watch_count = 0 AND junk_score < 0.4)"
 _DROPPED = "(watch_count > 0 AND skip_count > 0 AND avg_completion BETWEEN 0.01 AND 0.15)"
@@ -54,7 +55,7 @@ _PAIRS = f""", {_KEYS}, {_AFF}, {_RECENT},
     JOIN clips_w c ON c.library_id = a.library_id AND c.id = a.id
     LEFT JOIN recent r ON r.viewer_id = a.viewer_id AND r.library_id = a.library_id AND r.id = a.id)"""
 _V = ("clips", "clips_w", "watch_events")
-_CAND = _PAIRS + SUPPRESSED + f""", cand AS (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY score DESC, id) AS rank
+_CAND = _PAIRS + SUPPRESSED + f""", cand AS (SELECT *, row_number() OVER (PARTITION BY viewer_id, library_id ORDER BY score DESC, id) AS rank
   FROM (SELECT *, {_score(Tuning())} AS score FROM pairs p WHERE junk_score < 0.85
     AND NOT EXISTS (SELECT 1 FROM suppressed s WHERE s.library_id = p.library_id AND s.id = p.id)))"""
 _VC = ("clips", "clips_w", "watch_events", "clips_h", "dismissals")
@@ -63,7 +64,7 @@ _REASONS = ", ".join(f"CASE WHEN {cond} THEN {{'r': {rank}, 'i': {i}, 't': {text
     ("watch_count > 0 AND avg_completion > 0.7", "'you usually finish these'", 6), (_DROPPED, "'closed fast'", 4),
     ("watch_count = 0", "'never seen'", 8), ("is_favorite", "'a favorite'", 5), ("smile_count > 0", "'all smiles'", 7),
     ("face_count > 0 AND smile_count = 0", "'with people'", 12),
-    (_BURIED, f"'buried ' || greatest(6, ({_AGE} // 30)::BIGINT) || ' months'", 99), (_OTD, "'from this day'", 2),
+    (_BURIED, f"'buried ' || greatest(6, floor({_AGE} / 30)::BIGINT) || ' months'", 99), (_OTD, "'from this day'", 2),
     ("duration_ms < 25000", "'fits the morning'", 11), (_ENERGY, "'high energy'", 10),
     ("prosody_tags LIKE '%speaking%'", "'someone talking'", 9), ("strongest > 0.68", "'matches what you keep watching'", 1),
     ("seen > 0", "'you saw this recently'", 13), ("seen > 1", "'you came back to it'", 0)]))
@@ -74,8 +75,8 @@ SQL = {
     "attention": with_views("""SELECT library_id, video_id, round(least(3.0, sum(s)), 6)::DOUBLE AS attention, least(3.0, sum(s)) >= 0.25 AS pulls_queue FROM (
       SELECT library_id, video_id, 1.0::DOUBLE AS s FROM watch_events WHERE NOT skipped
       UNION ALL SELECT library_id, id, 1.5 FROM clips WHERE is_favorite) GROUP BY 1, 2""", "watch_events", "clips"),
-    "taste_buckets": chained(", " + _KEYS, "SELECT viewer_id, key, likes, dislikes, last_seen_ms FROM buckets", "clips", "watch_events"),
-    "taste_decayed": chained(", " + _KEYS, f"""SELECT viewer_id, key, round(likes * f, 6) AS likes, round(dislikes * f, 6) AS dislikes FROM (
+    "taste_buckets": chained(", " + _KEYS, "SELECT viewer_id, library_id, key, likes, dislikes, last_seen_ms FROM buckets", "clips", "watch_events"),
+    "taste_decayed": chained(", " + _KEYS, f"""SELECT viewer_id, library_id, key, round(likes * f, 6) AS likes, round(dislikes * f, 6) AS dislikes FROM (
       SELECT *, CASE WHEN h >= 0.5 THEN pow(0.5, h) ELSE 1 END AS f FROM (SELECT *, ({AS_OF}000 - last_seen_ms) / (21.0::DOUBLE * 86400000) AS h FROM buckets))
       WHERE h < 0.5 OR (likes + dislikes) * f >= 1""", "clips", "watch_events"),
     "taste_affinity": chained(f", {_KEYS}, {_AFF}", """SELECT DISTINCT viewer_id, library_id, profile, round(affinity, 6) AS affinity,

@@ -20,18 +20,18 @@ def _qterms(src: str) -> str:
       SELECT query_id, library_id, (list_filter({toks}, lambda x, i: list_position({toks}, x) = i))[1:8] AS toks FROM {src}))"""
 
 
-_PREFIX = """, pre AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY id) AS rank FROM (
-    SELECT DISTINCT q.query_id, q.library_id, p.kind, p.id FROM qt q JOIN post p ON p.library_id = q.library_id AND starts_with(p.term, q.term))),
+_PREFIX = """, pre AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY matched DESC, id) AS rank FROM (
+    SELECT q.query_id, q.library_id, p.kind, p.id, count(DISTINCT q.term) AS matched FROM qt q
+    JOIN post p ON p.library_id = q.library_id AND starts_with(p.term, q.term) GROUP BY 1, 2, 3, 4)),
   prefix AS (SELECT * FROM pre WHERE rank <= 500)"""
 _NETQ = """, netq AS (SELECT query_id, library_id, text FROM search_queries UNION ALL
     SELECT ('0x' || substr(md5(library_id || '|' || text), 1, 12))::BIGINT + 1000000000, library_id, text FROM (
       SELECT library_id, category AS text FROM clips UNION SELECT library_id, lower(folder_name) FROM clips
       UNION SELECT library_id, unnest(string_split(tags, ',')) FROM photos))"""
-_NET = """, hay AS (SELECT library_id, 'clip' AS kind, id, date_added_sec, watch_count, lower(concat_ws(chr(1), display_name, tags, category, folder_name, coalesce(transcript, ''))) AS hay FROM clips_w
-    UNION ALL SELECT library_id, 'photo', id, date_added_sec, 0, lower(concat_ws(chr(1), display_name, tags, category, folder_name)) FROM photos),
-  net AS (SELECT * FROM (SELECT q.query_id, q.library_id, h.kind, h.id, row_number() OVER (PARTITION BY q.query_id, h.kind
-      ORDER BY watch_count DESC, date_added_sec DESC, h.id) AS rank FROM netq q JOIN hay h ON h.library_id = q.library_id
-      AND length(q.text) >= 2 AND contains(h.hay, lower(q.text))) WHERE rank <= CASE kind WHEN 'clip' THEN 60 ELSE 120 END)"""
+_NET = """, hay AS (SELECT library_id, 'clip' AS kind, id, lower(concat_ws(chr(1), display_name, tags, category, folder_name, coalesce(transcript, ''))) AS hay FROM clips
+    UNION ALL SELECT library_id, 'photo', id, lower(concat_ws(chr(1), display_name, tags, category, folder_name)) FROM photos),
+  net AS (SELECT q.query_id, q.library_id, h.kind, h.id FROM netq q JOIN hay h ON h.library_id = q.library_id
+      AND length(q.text) >= 2 AND contains(h.hay, lower(q.text)))"""
 _M = "year(make_timestamp(date_added_sec * 1000000)) || '-' || month(make_timestamp(date_added_sec * 1000000))"
 _JOIN = lambda *p: "array_to_string(list_filter([" + ", ".join(p) + "], lambda x: x IS NOT NULL AND trim(x) <> ''), ' ')"
 _WHAT = _JOIN("CASE WHEN category <> 'unknown' THEN category END", "replace(tags, ',', ' ')", "about")
@@ -51,17 +51,15 @@ def _score(q: str, doc: str) -> str:
 
 
 _RANKED = _DOCS + _POST + _NETQ + _qterms("netq") + _PREFIX + _NET + _MEM + f"""
-  , pool AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY net NULLS LAST, pre NULLS LAST, id) AS p FROM (
-    SELECT query_id, library_id, kind, id, min(net) AS net, min(pre) AS pre FROM (
-      SELECT query_id, library_id, kind, id, rank AS net, NULL AS pre FROM net UNION ALL SELECT query_id, library_id, kind, id, NULL, rank FROM prefix) GROUP BY 1, 2, 3, 4)),
+  , pool AS (SELECT query_id, library_id, kind, id, bool_or(net) AS net FROM (
+      SELECT query_id, library_id, kind, id, true AS net FROM net UNION ALL SELECT query_id, library_id, kind, id, false FROM prefix) GROUP BY 1, 2, 3, 4),
   scored AS (SELECT p.*, {_score('q.text', 'm.text')} AS score,
       CASE p.kind WHEN 'clip' THEN c.watch_count ELSE f.date_added_sec END AS tie
     FROM pool p JOIN netq q ON q.query_id = p.query_id JOIN mem m ON m.library_id = p.library_id AND m.kind = p.kind AND m.id = p.id
     LEFT JOIN clips_w c ON p.kind = 'clip' AND c.library_id = p.library_id AND c.id = p.id
-    LEFT JOIN photos f ON p.kind = 'photo' AND f.library_id = p.library_id AND f.id = p.id
-    WHERE p.p <= CASE p.kind WHEN 'clip' THEN 500 ELSE 400 END),
+    LEFT JOIN photos f ON p.kind = 'photo' AND f.library_id = p.library_id AND f.id = p.id),
   ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tie DESC, kind, id) AS rank
-    FROM scored WHERE score > 0 OR net IS NOT NULL) WHERE rank <= 60),
+    FROM scored WHERE score > 0 OR net) WHERE rank <= 60),
   hits AS (SELECT r.*, coalesce(c.face_count, f.face_count) AS face_count, coalesce(c.is_favorite, f.is_favorite) AS is_favorite,
       coalesce(c.date_added_sec, f.date_added_sec) AS date_added_sec, coalesce(c.category, f.category) AS category,
       coalesce(c.folder_name, f.folder_name) AS folder_name, coalesce(c.prosody_tags, '') AS prosody_tags, coalesce(c.person_id, -1) AS person_id
@@ -70,6 +68,15 @@ _RANKED = _DOCS + _POST + _NETQ + _qterms("netq") + _PREFIX + _NET + _MEM + f"""
 _VR = ("clips", "photos", "persons", "clips_w", "search_queries")
 _ROUTE = """CASE WHEN said IN ('people','person','faces','face','smiles','smiling','selfie','selfies') THEN 'people'
   WHEN said IN ('talking','voice','speech','someone talking','speaking') THEN 'voice' WHEN pid IS NOT NULL THEN 'person' ELSE 'general' END"""
+_SECTIONS = """
+  , b AS (SELECT h.query_id, CASE WHEN h.kind = 'photo' THEN 1 WHEN person_id >= 0 THEN 0 ELSE 2 END AS block,
+      CASE WHEN h.kind = 'clip' AND person_id >= 0 THEN person_id ELSE -1 END AS who,
+      CASE WHEN h.kind = 'photo' THEN 'Photos' WHEN person_id < 0 THEN 'No faces yet'
+        ELSE coalesce(nullif(trim(p.name), ''), nullif(trim(p.suggested_name), ''), 'Someone in particular') END AS title,
+      h.rank, h.kind, h.id
+    FROM hits h LEFT JOIN persons p ON p.library_id = h.library_id AND p.id = h.person_id),
+  s AS (SELECT query_id, block, who, title, count(*) AS size, min(rank) AS first_rank FROM b GROUP BY 1, 2, 3, 4),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY block, size DESC, title = 'Someone in particular', first_rank) AS section FROM s)"""
 
 SQL = {
     "clip_documents": chained(_DOCS, "SELECT library_id, id, text FROM docs WHERE kind = 'clip'", "clips", "photos", "persons"),
@@ -85,9 +92,9 @@ SQL = {
       SELECT library_id, 'clip' AS kind, count(*) AS media FROM listing_new GROUP BY 1 UNION ALL SELECT library_id, 'photo', count(*) FROM photos GROUP BY 1)
       JOIN (SELECT library_id, 'clip' AS kind, count(*) AS indexed FROM clips GROUP BY 1 UNION ALL SELECT library_id, 'photo', count(*) FROM photos GROUP BY 1)
       USING (library_id, kind)""", "listing_new", "clips", "photos"),
-    "prefix_candidates": chained(_DOCS + _POST + _qterms("search_queries") + _PREFIX, "SELECT query_id, library_id, kind, id, rank FROM prefix",
+    "prefix_candidates": chained(_DOCS + _POST + _qterms("search_queries") + _PREFIX, "SELECT query_id, library_id, kind, id, matched FROM prefix",
                                  "clips", "photos", "persons", "search_queries"),
-    "substring_candidates": chained(_NETQ + _NET, "SELECT query_id, kind, id, rank FROM net", "clips", "clips_w", "photos", "search_queries"),
+    "substring_candidates": chained(_NETQ + _NET, "SELECT query_id, kind, id FROM net", "clips", "photos", "search_queries"),
     "search_routes": with_views(f"""
       , q AS (SELECT query_id, library_id, text FROM search_queries UNION ALL SELECT 900000000 + w.i, l.library_id, w.t FROM (SELECT DISTINCT library_id FROM clips) l,
         (VALUES (0, ' People'), (1, 'talking'), (2, 'ANNA'), (3, 'omar '), (4, 'Sara'), (5, 'a')) w(i, t)),
@@ -111,15 +118,11 @@ SQL = {
     "search_lens": chained(_RANKED, f"""SELECT 'people' AS lens, query_id, kind, id FROM hits WHERE face_count > 0 AND date_added_sec >= {AS_OF} - 365 * 86400
       UNION ALL SELECT 'talking', query_id, kind, id FROM hits WHERE prosody_tags LIKE '%speaking%' AND lower(folder_name) = 'camera'
       UNION ALL SELECT 'music', query_id, kind, id FROM hits WHERE is_favorite AND category = 'music'""", *_VR),
-    "search_sections": chained(_RANKED + """
-      , b AS (SELECT h.query_id, CASE WHEN h.kind = 'photo' THEN 1 WHEN person_id >= 0 THEN 0 ELSE 2 END AS block,
-          CASE WHEN h.kind = 'clip' AND person_id >= 0 THEN person_id ELSE -1 END AS who,
-          CASE WHEN h.kind = 'photo' THEN 'Photos' WHEN person_id < 0 THEN 'No faces yet'
-            ELSE coalesce(nullif(trim(p.name), ''), nullif(trim(p.suggested_name), ''), 'Someone in particular') END AS title, h.rank
-        FROM hits h LEFT JOIN persons p ON p.library_id = h.library_id AND p.id = h.person_id),
-      s AS (SELECT query_id, block, who, title, count(*) AS size, min(rank) AS first_rank FROM b GROUP BY 1, 2, 3, 4)""",
-                               """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY block, size DESC, title = 'Someone in particular', first_rank) AS section,
-      size, first_rank, CASE WHEN count(*) OVER (PARTITION BY query_id) > 1 THEN title END AS title FROM s""", *_VR),
+    "search_sections": chained(_RANKED + _SECTIONS, """SELECT query_id, section, size, first_rank,
+      CASE WHEN count(*) OVER (PARTITION BY query_id) > 1 THEN title END AS title FROM placed""", *_VR),
+    "search_section_hits": chained(_RANKED + _SECTIONS, """SELECT b.query_id, section, row_number() OVER (
+        PARTITION BY b.query_id, section ORDER BY rank) AS pos, kind, id
+      FROM b JOIN placed p ON p.query_id = b.query_id AND p.block = b.block AND p.who = b.who""", *_VR),
     "search_suggestions": with_views("""SELECT library_id, row_number() OVER (PARTITION BY library_id ORDER BY o) AS pos, suggestion FROM (
       SELECT DISTINCT library_id, 0 AS o, 'talking' AS suggestion FROM clips UNION ALL SELECT DISTINCT library_id, 1, 'people' FROM clips
       UNION ALL SELECT library_id, 10 + r, category FROM (SELECT library_id, category, row_number() OVER (PARTITION BY library_id ORDER BY count(*) DESC, category) AS r

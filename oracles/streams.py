@@ -6,9 +6,12 @@ from oracles.views import with_views
 
 SQL = {
     "stream_taste": feed.SQL["taste_buckets"],
-    "stream_counters": with_views("""SELECT e.library_id, e.video_id, e.watch_count, e.skip_count, e.last_watched_ms,
-      round(e.completion_sum, 6) AS completion_sum, round(least(3.0, e.watch_count - e.skip_count), 6)::DOUBLE AS attention FROM engagement e""",
-                                  "engagement"),
+    "stream_counters": with_views("""
+      , fav AS (SELECT library_id, id AS video_id FROM clips WHERE is_favorite)
+      SELECT library_id, video_id, coalesce(e.watch_count, 0) AS watch_count, coalesce(e.skip_count, 0) AS skip_count,
+      coalesce(e.last_watched_ms, 0) AS last_watched_ms, round(coalesce(e.completion_sum, 0), 6) AS completion_sum,
+      round(least(3.0, coalesce(e.watch_count - e.skip_count, 0) + CASE WHEN f.video_id IS NULL THEN 0 ELSE 1.5 END), 6)::DOUBLE AS attention
+      FROM engagement e FULL OUTER JOIN fav f USING (library_id, video_id)""", "engagement", "clips"),
     "library_signatures": chained(SUPPRESSED, """SELECT c.library_id, count(*) AS clips, sum(id)::BIGINT AS id_sum, sum(date_added_sec)::BIGINT AS date_sum,
       any_value(coalesce((SELECT count(*) FROM suppressed s WHERE s.library_id = c.library_id), 0)) AS suppressed FROM clips_h c GROUP BY 1""",
                                   "clips_h", "dismissals"),

@@ -14,7 +14,7 @@ def _plain(text: str, **extra) -> str:
 _DOC_POS = """SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i,
   count(*) OVER (PARTITION BY lang) AS n FROM documents"""
 _EVENT_JOIN = """FROM events e JOIN docpos d
- ON d.lang = CASE e.user_id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'es' ELSE 'fr' END
+ ON d.lang = CASE (e.user_id + CASE WHEN e.event_id % 3 = 0 THEN 1 ELSE 0 END) % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'es' ELSE 'fr' END
  AND d.i = (e.event_id * 7919) % d.n"""
 
 _BITS = ", ".join(
@@ -40,7 +40,7 @@ VIEWS = {
     "denials": ((), _plain(binding.DENIALS)),
     "detections": ((), _plain(binding.DETECTIONS)),
     "acoustic_windows": ((), _plain(binding.ACOUSTIC_WINDOWS)),
-    "label_rows": ((), _plain(binding.LABEL_ROWS, first_word="split_part(p_name, ' ', 1)")),
+    "label_rows": ((), _plain(binding.LABEL_ROWS, words="unnest(range(len(string_split(p_name, ' ')))) AS pos, unnest(string_split(p_name, ' ')) AS label")),
     "listing_new": ((), binding.LISTING_NEW.replace("{clips_base}", _plain(binding.CLIPS_BASE))),
     "hashes": ((), rf"""SELECT doc_id AS id, {_FOLD} AS phash FROM (
       SELECT doc_id, {_BITS} FROM (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS hi,
@@ -59,7 +59,7 @@ VIEWS = {
       FROM clips c LEFT JOIN engagement e ON e.library_id = c.library_id AND e.video_id = c.id"""),
     "search_queries": ((), """SELECT conv_id * 1000 + turn AS query_id,
       CASE conv_id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'es' ELSE 'fr' END AS library_id,
-      array_to_string(string_split(text, ' ')[1:3], ' ') AS text, conv_id % 50 AS viewer_id, turn AS "at"
+      text, conv_id % 50 AS viewer_id, turn AS "at"
       FROM conversations WHERE role = 'user'"""),
 }
 

@@ -92,3 +92,14 @@ def test_hand_placed_clip_without_vectors_keeps_its_person(spark):
     hand = spark.createDataFrame([("a", 1, 5)], "library_id string, id bigint, person_id int")
     got = {r["id"]: r["person_id"] for r in identity.primary_person(c, vectors(spark, []), people, hand).collect()}
     assert got == {1: 5, 2: -1}
+
+
+def test_a_person_asked_for_by_both_names_has_one_survivor(spark):
+    people = spark.createDataFrame([("a", 1, "Ann", "", True, False, None), ("a", 2, "Ann", "Bo", False, False, None),
+                                    ("a", 3, "", "Bo", False, False, None), ("a", 4, "Cy", "", False, False, None)], schemas.PERSONS)
+    v = vectors(spark, [(1, 1, near(0.0)), (2, 2, near(0.1)), (3, 3, near(0.2)), (4, 3, near(0.3))])
+    names = spark.createDataFrame([("a", "ann"), ("a", "BO")], "library_id string, name string")
+    merges = identity.merge_all_named(people, v, names)
+    assert {(r["person_id"], r["survivor"]) for r in merges.collect()} == {(1, 3), (2, 3), (3, 3)}
+    moved = identity.repoint(v, merges)
+    assert moved.count() == 4 and {r["person_id"] for r in moved.collect()} == {3}

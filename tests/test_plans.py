@@ -36,6 +36,11 @@ def test_clip_scan_reads_only_what_it_needs(spark, small):
     assert read and all("text" not in r for r in read)
 
 
+def test_no_forced_repartition(spark, small):
+    for name in ("classify_names", "junk_scores", "clip_documents"):
+        assert "RoundRobinPartitioning" not in plan(entry.queries()[name](spark, small))
+
+
 def test_top_lists_are_cut_before_the_shuffle(spark, small):
     assert "WindowGroupLimit" in plan(entry.queries()["feed_candidates"](spark, small))
 

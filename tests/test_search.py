@@ -73,3 +73,17 @@ def test_index_layout_prunes_by_prefix(spark, tmp_path):
     read = spark.read.parquet(str(tmp_path / "ix")).where("p2 = 'be'")
     assert {r["term"] for r in read.collect()} >= {"beach", "beaches", "beachfront"}
     assert "PartitionFilters: [isnotnull(p2" in read._jdf.queryExecution().toString()
+
+
+def test_the_best_match_may_have_the_highest_id(spark):
+    c = watched_clips(spark, [dict(id=i, category="boat", transcript="sea") for i in range(2_000)]
+                      + [dict(id=5_000, category="boat", transcript="sea harbour sunset")])
+    p = photos(spark, [])
+    people = spark.createDataFrame([], schemas.PERSONS)
+    q = spark.createDataFrame([(1, "a", "sea harbour sunset boat")], Q)
+    index = search.postings(search.documents_index(c, p, people))
+    prefix = search.prefix_candidates(search.query_terms(q), index)
+    net = search.substring_candidates(q, c, p)
+    ranked = search.search_ranked(prefix, net, q, search.memory_docs(c, p), search.tie_breaks(c, p))
+    assert ranked.orderBy("rank").first()["id"] == 5_000
+    assert search.prefix_candidates(search.query_terms(q), index, None).count() == 2_001

@@ -1,7 +1,11 @@
+from pyspark.sql import functions as F
+
+from medialib.operators import reconcile
 from medialib.plans.binding import AS_OF, Binding
 from medialib.plans.jobs import Library, feed_run, index_run, search_run, shelf_run
+from medialib.session import scratch_run, settle
 from medialib.sources import bundle, catalog, evolve, schemas
-from tests.rows import clips
+from tests.rows import clips, photos
 
 
 def test_bundle_restores_ids_only_into_an_empty_library(spark, tmp_path):
@@ -49,6 +53,28 @@ def test_the_four_jobs_run_end_to_end(spark, small):
     after = index_run(lib, b.listing_new(), b.photos())
     assert after.clips.count() > 0 and set(lib.clips.columns) <= set(after.clips.columns)
     reels = feed_run(after, AS_OF, 9, seed=1)
-    assert reels.groupBy("viewer_id").count().where("count > 60").isEmpty() and not reels.isEmpty()
+    assert reels.groupBy("viewer_id", "library_id").count().where("count > 60").isEmpty() and not reels.isEmpty()
     assert shelf_run(after, AS_OF).where("kind = 'ALL'").count() == after.clips.select("library_id").distinct().count()
     assert not search_run(after, b.search_queries()).isEmpty()
+
+
+def test_new_rows_start_complete(spark):
+    known_clips, known_photos = clips(spark, [dict(id=1)]), photos(spark, [dict(id=1)])
+    seen = known_clips.select("library_id", "id", "display_name", "folder_name", "duration_ms", "size_bytes", "date_added_sec",
+                              "width", "height")
+    seen = seen.unionByName(seen.withColumn("id", F.lit(2).cast("bigint")))
+    new = reconcile.reconcile_clips(known_clips, seen).where("id = 2").first().asDict()
+    assert {c for c, v in new.items() if v is None} == {"transcript"}
+    more = known_photos.select("library_id", "id", "display_name", "folder_name", "date_added_sec", "width", "height", "animated")
+    more = more.withColumn("id", F.lit(2).cast("bigint")).withColumn("junk_score", F.lit(0.95))
+    after = reconcile.settle_junk(reconcile.reconcile_photos(known_photos, more.unionByName(more.withColumn("id", F.lit(1).cast("bigint")))))
+    new = after.where("id = 2").first().asDict()
+    assert new["brain_level"] == 1 and not {c for c, v in new.items() if v is None} and after.dtypes == known_photos.dtypes
+
+
+def test_scratch_is_empty_after_a_run(spark):
+    with scratch_run(spark):
+        df = settle(spark.range(1000), "probe")
+        path = df.inputFiles()[0].rsplit("/", 1)[0]
+        assert df.count() == 1000
+    assert spark.read.parquet(path).count() == 0
