@@ -323,3 +323,47 @@ def group_choices(clips: DataFrame) -> DataFrame:
     return (clips.withColumn("choice", effective_group())
             .where(~blank("choice") & (F.col("choice") != "unknown"))
             .groupBy("library_id", "choice").agg(F.count("*").alias("size")))
+
+
+def positions(members: DataFrame, oldest_first: Column) -> DataFrame:
+    """Adds ``pos`` within each group: by ``lead``, largest first, then by date as ``oldest_first`` says, then by id.
+
+    Rows are numbered inside one day of a group and shifted by the count of the days before, so the shelf of a whole
+    library is never sorted in one task.
+    """
+    key = ["library_id", "group_id"]
+    at = F.when(oldest_first, F.col("date_added_sec")).otherwise(-F.col("date_added_sec"))
+    lead = F.coalesce("lead", F.lit(0))
+    m = members.withColumn("_lead", -lead).withColumn("_at", at).withColumn("_slice", F.floor(F.col("_at") / DAY))
+    cell = [*key, "_lead", "_slice"]
+    before = Window.partitionBy(*key).orderBy("_lead", "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = m.groupBy(*cell).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("_at", "id"))
+    return m.withColumn("_in", inside).join(starts.drop("_n"), cell).select(
+        *key, "kind", "id", (F.col("_start") + F.col("_in")).alias("pos"))
+
+
+def group_members(clips: DataFrame, persons: DataFrame, albums: DataFrame, as_of: int, threshold: float = 0.5) -> DataFrame:
+    """``(library_id, group_id, kind, id, pos)``: the ordered clips of every shelf of :func:`groups` but the duplicates'.
+
+    Newest first, gems oldest first, the plain people shelf by smiles, then faces. Expects engagement columns. For duplicates see :func:`duplicate_members`.
+    """
+    bursts = event_groups(event_bursts(clips, threshold))
+    plain = [basic_members(clips, as_of, threshold), people_members(clips, people_groups(clips, persons)),
+             event_members(clips, bursts, threshold), category_members(clips, category_groups(clips)),
+             album_members(clips, album_groups(clips, albums))]
+    columns = ["library_id", "group_id", "kind", "id", "date_added_sec"]
+    out = people_fallback(clips, threshold).select(*columns, (F.col("smile_count") * 1_000_000 + F.col("face_count")).alias("lead"))
+    for p in plain:
+        out = out.unionByName(p.select(*columns), allowMissingColumns=True)
+    return positions(out, F.col("kind") == "GEMS")
+
+
+def duplicate_members(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(library_id, set_id, id, pos, redundant)``: each duplicate set with its keeper first, then by date."""
+    kept = sets.select("library_id", "set_id", "keeper_id")
+    m = members.select("library_id", "set_id", "id", "date_added_sec").join(kept, ["library_id", "set_id"])
+    m = m.withColumn("lead", (F.col("id") == F.col("keeper_id")).cast("bigint"))
+    placed = positions(m.select("library_id", F.col("set_id").alias("group_id"), F.lit("DUPLICATES").alias("kind"), "id",
+                                "date_added_sec", "lead"), F.lit(True))
+    return placed.select("library_id", F.col("group_id").alias("set_id"), "id", "pos", (F.col("pos") > 1).alias("redundant"))

@@ -80,6 +80,14 @@ def shelf_run(lib: Library, as_of: int, threshold: float = 0.5) -> DataFrame:
     return shelves.titled(shelves.groups(clips, lib.persons, lib.albums, as_of, threshold, sets), lib.group_names)
 
 
+def shelf_page(lib: Library, as_of: int, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """What a page needs besides the headings: the clips of every shelf in order, and of every duplicate set."""
+    clips = lib.watched()
+    members = dups.duplicate_sets(clips)
+    return (shelves.group_members(clips, lib.persons, lib.albums, as_of, threshold),
+            shelves.duplicate_members(members, dups.keepers(members)))
+
+
 def search_run(lib: Library, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Ranked hits of all general queries; routed ones are answered by ``search.route_results``."""
     clips = lib.watched()

@@ -23,6 +23,21 @@ def shelf_sizes(b):
     return all_groups(b).select("library_id", "group_id", "kind", "subtitle", *as_long("size"))
 
 
+@query
+def shelf_members(b):
+    """Every clip of every shelf at its place; nobody is known in 'fr', so that it shows the plain people shelf."""
+    clips = watched(b).withColumn("person_id", F.when(F.col("library_id") == "fr", -1).otherwise(F.col("person_id")))
+    return shelves.group_members(clips, b.persons(), b.albums(), AS_OF).select(
+        "library_id", "group_id", "kind", "id", *as_long("pos"))
+
+
+@query
+def shelf_duplicate_members(b):
+    members = watched(b, dups.duplicate_components(b.clips_hashed()))
+    return shelves.duplicate_members(members, dups.keepers(members)).select(
+        "library_id", *as_long("set_id", "id", "pos"), "redundant")
+
+
 @query
 def shelf_memories(b):
     return _of_kind(b, "MEMORIES")

@@ -72,6 +72,26 @@ _V = ("clips_w", "persons")
 
 SQL = {
     "shelf_sizes": chained(_ALL, "SELECT library_id, group_id, kind, subtitle, size FROM shelf", *_V),
+    "shelf_members": chained(f""", {_PEOPLE}, {_EVENTS}, {_CATS},
+      cw AS (SELECT * REPLACE (CASE WHEN library_id = 'fr' THEN -1 ELSE person_id END AS person_id) FROM clips_w),
+      m AS (SELECT library_id, 'all' AS group_id, 'ALL' AS kind, id, date_added_sec, 0 AS smiles, 0 AS faces FROM cw
+        UNION ALL SELECT library_id, 'memories', 'MEMORIES', id, date_added_sec, 0, 0 FROM cw WHERE {_MEM}
+        UNION ALL SELECT library_id, 'gems', 'GEMS', id, -date_added_sec, 0, 0 FROM cw WHERE {_GEM}
+        UNION ALL SELECT library_id, 'otd', 'ON_THIS_DAY', id, date_added_sec, 0, 0 FROM cw WHERE {_OTD}
+        UNION ALL SELECT library_id, 'favs', 'FAVORITES', id, date_added_sec, 0, 0 FROM cw WHERE is_favorite
+        UNION ALL SELECT library_id, 'unreviewed', 'UNREVIEWED', id, date_added_sec, 0, 0 FROM cw WHERE brain_level < 1
+        UNION ALL SELECT library_id, 'junk', 'JUNK', id, date_added_sec, 0, 0 FROM cw WHERE junk_score >= 0.5
+        UNION ALL SELECT library_id, 'person_' || person_id, 'PEOPLE', id, date_added_sec, 0, 0 FROM cw
+          WHERE person_id >= 0 AND (library_id, 'person_' || person_id) IN (SELECT (library_id, group_id) FROM people)
+        UNION ALL SELECT library_id, 'people', 'PEOPLE', id, date_added_sec, smile_count, face_count FROM cw
+          WHERE junk_score < 0.5 AND face_count > 0 AND library_id NOT IN (SELECT library_id FROM cw WHERE person_id >= 0)
+        UNION ALL SELECT r.library_id, e.group_id, 'EVENT', r.id, r.date_added_sec, 0, 0 FROM runs r JOIN events e
+          ON e.library_id = r.library_id AND e.folder = r.folder AND e.burst = r.burst AND e.r <= 4
+        UNION ALL SELECT w.library_id, c.group_id, 'CATEGORY', w.id, w.date_added_sec, 0, 0 FROM cw w JOIN cats c ON c.library_id = w.library_id
+          AND c.group_id = 'cat_' || coalesce(nullif(trim(w.manual_group), ''), w.category) AND c.rank <= 4
+        UNION ALL SELECT library_id, 'album_' || album_id, 'ALBUM', id, date_added_sec, 0, 0 FROM cw WHERE album_id >= 0)""",
+      """SELECT library_id, group_id, kind, id, row_number() OVER (PARTITION BY library_id, group_id
+        ORDER BY smiles DESC, faces DESC, date_added_sec DESC, id) AS pos FROM m""", *_V),
     "shelf_memories": _members(_MEM),
     "shelf_gems": _members(_GEM),
     "shelf_on_this_day": _members(_OTD),
@@ -83,6 +103,9 @@ SQL = {
     "shelf_duplicates": chained(SETS, """SELECT library_id, count(*) || ' sets' AS subtitle, sum(members)::BIGINT AS size,
       (sum(members) - count(*))::BIGINT AS redundant, sum(savings_bytes)::BIGINT AS savings_bytes FROM sets GROUP BY 1""",
                                 "clips_h", "clips_w", recursive=True),
+    "shelf_duplicate_members": chained(SETS, """SELECT library_id, set_id::BIGINT AS set_id, id, row_number() OVER (
+        PARTITION BY library_id, set_id ORDER BY r > 1, date_added_sec, id) AS pos, r > 1 AS redundant FROM ranked""",
+                                       "clips_h", "clips_w", recursive=True),
     "event_bursts": chained(", " + _EVENTS, 'SELECT library_id, group_id, title, subtitle, "first", "last", size FROM events', "clips"),
     "shelf_events": chained(", " + _EVENTS, """SELECT r.library_id, e.group_id, r.id FROM runs r JOIN events e
       ON e.library_id = r.library_id AND e.folder = r.folder AND e.burst = r.burst AND e.r <= 4""", "clips"),
