@@ -91,15 +91,55 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("t").mapInArrow(work, "set_id bigint, items array<bigint>").dropDuplicates(["set_id"])
 
 
+def _left_over(tried: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of one hub's spokes that may still be linked though not both are linked to the hub.
+
+    With D the difference of a set from the hub, two sets differ in D(a) ^ D(b). Linked ones differ in at most T =
+    (100 - percent) / (100 + percent) of their joint size, and a set not linked to the hub has more in D than T with
+    the hub's size in place of the other's. So the two share over half of the other's D, less the slack that sizes
+    give, and one of that other's rarest shingles, as many as it need not share and one more, is among them; how many
+    follows from both D. Sets with edits of their own share none of these, however large the group.
+    """
+    limit = (100 - percent) / (100 + percent)
+    size = sets.select(F.col("set_id").alias("own"), F.col("n_shingles").alias("n"))
+    component = found.withColumnRenamed("node", "own")
+    spokes = (tried.join(size, "own").join(component, "own", "left").withColumn("component", F.coalesce("component", "own")))
+    mixed = (spokes.groupBy("hub").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+             .where("c0 < c1").select("hub"))
+    hub_size = sets.select(F.col("set_id").alias("hub"), F.col("n_shingles").alias("hub_n"))
+    spokes = spokes.join(mixed, "hub").join(hub_size, "hub")
+    flat = spokes.select("hub", "own", "linked", "n", "hub_n", "component", F.size("apart").alias("d"),
+                         F.explode("apart").alias("item"))
+    rarity = flat.groupBy("hub", "item").agg(F.count("*").alias("f")).where("f > 1")
+    # Shingles of one spoke alone tie nothing, but stand first in its order.
+    order = (flat.join(rarity, ["hub", "item"]).groupBy("hub", "own", "n", "hub_n", "component", "d")
+             .agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("common")))
+    need = F.ceil((F.col("d") + limit * (F.col("hub_n") - F.col("n")) - 1e-6) / 2).cast("int")
+    alone = F.col("d") - F.size("common")
+    first = F.slice("common", 1, F.greatest(F.lit(0), F.col("d") - F.greatest(F.lit(1), need) + 1 - alone))
+    offered = order.select("hub", F.col("own").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"),
+                           F.col("component").alias("cx"), alone.alias("alone"), F.posexplode(first).alias("pos", "c")).select(
+        "hub", "x", "nx", "dx", "cx", (F.col("alone") + F.col("pos")).alias("place"), F.col("c.item").alias("item"))
+    asking = flat.where("not linked").select("hub", F.col("own").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"),
+                                             F.col("component").alias("cy"), "item")
+    share = F.ceil((F.col("dx") + F.col("dy") - limit * (F.col("nx") + F.col("ny")) - 1e-6) / 2)
+    met = offered.join(asking, ["hub", "item"]).where(
+        (F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("place") <= F.col("dx") - F.greatest(F.lit(1), share))
+        & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    done = tried.select(F.least("hub", "own").alias("a"), F.greatest("hub", "own").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
 
     Texts are linked where ``100 * |A & B| >= percent * |A | B|`` over their sets of distinct lower-cased (A-Z)
     ``shingle``-word shingles; a component is named by the smallest id reachable. Equal sets are one node, so masses
-    of copies cost one row. In every bucket each set is verified against two leaders first, and only pairs whose sets
-    are then still in different components and could reach the threshold by size are verified one by one: no pair
-    that shares a bucket is left out, and no group is expanded into pairs.
+    of copies cost one row. In every bucket each set is verified against one hub, and of the other pairs only those
+    are verified that may still link two components (see ``_left_over``): no pair that shares a bucket is left out,
+    and no group is expanded into pairs.
 
     Null or empty text: empty set, its own component. Null id: a row of its own with null component, kept. Repeated
     rows: each is returned, with equal results. Rows with one id but different texts: each row has the component of its own text. Ties can't
@@ -113,44 +153,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = steps.settle(sets, "sets")
 
     entries = sets.select("set_id", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = steps.settle(entries.join(shared, "key"), "buckets")
-    nodes = live.select("set_id").distinct().join(sets.select("set_id", "rep"), "set_id").select("rep").distinct()
-    texts = (docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("t"))
-             .join(nodes, "rep", "left_semi"))
+    # The hub of a bucket: its set with most bucket mates overall, which near-copies of one text gather around.
+    crowd = live.groupBy("set_id").agg(F.sum("n").alias("mates"))
+    hubs = live.join(crowd, "set_id").groupBy("key").agg(F.max(F.struct("mates", "set_id")).alias("h")).select(
+        "key", F.col("h.set_id").alias("hub"))
+    spokes = live.join(hubs, "key").where("set_id <> hub").select("hub", F.col("set_id").alias("own")).distinct()
+    spokes = steps.settle(spokes, "spokes")
+    nodes = spokes.select(F.explode(F.array("hub", "own")).alias("set_id")).distinct()
+    reps = nodes.join(sets.select("set_id", "rep"), "set_id").select("rep").distinct()
+    texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("t")).join(reps, "rep", "left_semi")
     items = steps.settle(_sets(texts, shingle), "items")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(items.select(F.col("set_id").alias("b"), F.col("items").alias("ib")), "b")
-                .join(items.select(F.col("set_id").alias("a"), F.col("items").alias("ia")), "a"))
-        common = F.size(F.array_intersect("ia", "ib"))
-        union = F.size("ia") + F.size("ib") - common
-        return both.select("a", "b", (common * 100 >= union * percent).alias("linked"))
-
-    def pair(x: str, y: str):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    low = live.where("set_id <> low").select(*pair("low", "set_id"))
-    high = live.where("set_id <> high and low <> set_id").select(*pair("high", "set_id"))
-    tried = steps.settle(verified(low.unionByName(high).distinct()), "tried")
-    links = tried.where("linked").select("a", "b")
+    def compared(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """``pairs`` with both sets, ``common`` and ``linked``."""
+        both = (pairs.join(items.select(F.col("set_id").alias(b), F.col("items").alias("ib")), b)
+                .join(items.select(F.col("set_id").alias(a), F.col("items").alias("ia")), a))
+        both = both.withColumn("common", F.size(F.array_intersect("ia", "ib")))
+        return both.withColumn("linked", F.col("common") * 100 >= (F.size("ia") + F.size("ib") - F.col("common")) * percent)
+
+    # Every set against the hubs of its buckets, with the shingles the two don't share.
+    apart = F.concat(F.array_except("ib", "ia"), F.array_except("ia", "ib"))
+    tried = steps.settle(compared(spokes, "hub", "own").select("hub", "own", "linked", apart.alias("apart")), "tried")
+    links = tried.where("linked").select(F.col("hub").alias("a"), F.col("own").alias("b"))
     found = connected_components(links, "a", "b", keys=())
-
-    # What the leaders left apart: pairs of one bucket in different components, not tried yet, of fitting sizes.
-    placed = (live.select("key", "set_id").join(sets.select("set_id", "n_shingles"), "set_id")
-              .join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
-              .withColumn("component", F.coalesce("component", "set_id")))
-    apart = (placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-             .where("c0 < c1").select("key"))
-    placed = steps.settle(placed.join(apart, "key"), "apart")
-    left = placed.select("key", F.col("set_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    right = placed.select("key", F.col("set_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    rest = (left.join(right, "key").where("a < b and ca <> cb and 100 * least(na, nb) >= %d * greatest(na, nb)" % percent)
-            .select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    more = steps.settle(verified(steps.settle(rest, "rest")).where("linked").select("a", "b"), "more")
+    more = steps.settle(compared(steps.settle(_left_over(tried, sets, found, percent), "rest"), "a", "b")
+                        .where("linked").select("a", "b"), "more")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), "a", "b", keys=())
-    steps.clear("items", "buckets", "apart", "tried")
+    steps.clear("items", "buckets", "rest")
 
     # Names by smallest document id, then back to the rows. An id with several texts ties their components.
     named = (sets.select("set_id", "rep").join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
