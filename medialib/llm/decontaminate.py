@@ -112,12 +112,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     items = steps.settle(_items(asked).withColumn("item_row", F.xxhash64("item", "words")), "items")
     # Spans in use: the full one and the lengths of shorter items, so at most ``span`` of them.
     spans = sorted(r[0] for r in items.select(F.least("n", F.lit(span))).distinct().limit(span).collect())
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("t"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("t")).withColumn(
+        "hash", F.xxhash64("t"))
     asked_prints = steps.settle(
         fingerprints(asked.where("item is not null").withColumnRenamed("item", "doc"), "doc", "t", spans, span)
         .withColumnRenamed("doc", "item").select("item", "span", "print", F.col("place").alias("item_place")).distinct(), "prints")
-    met = (fingerprints(texts.where("doc is not null"), "doc", "t", spans, None).join(asked_prints, ["span", "print"])
-           .select("doc", "item", "place", "item_place").distinct())
+    met = (fingerprints(texts.where("doc is not null").select("doc", "t"), "doc", "t", spans, None)
+           .join(asked_prints, ["span", "print"]).select("doc", "item", "place", "item_place").distinct())
     # One row a document: its meetings, bounded by its own words times the items they belong to.
     met = (met.groupBy("doc", "item", (F.col("place") - F.col("item_place")).alias("shift"))
            .agg(F.collect_set("item_place").alias("places"))
@@ -125,16 +126,16 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
            .groupBy("doc").agg(F.collect_list(F.struct("item", "shift", "places", "words")).alias("met")))
     met = steps.settle(met, "met")
 
-    def work(batches):
+    def extend(batches):
         for b in batches:
-            n_words, n_hit, ids, runs = [], [], [], []
+            n_hit, ids, runs = [], [], []
             met_rows = b.column("met")
             for block in blocks(b.column("t"), ALNUM, fold=True):
                 hashes = signed(block.word_hash())
                 for i in range(block.texts):
                     words = hashes[block.first[i]:block.first[i + 1]]
                     hit, by = np.zeros(len(words) + 1, np.int64), set()
-                    for m in met_rows[block.lo + i].as_py() or []:
+                    for m in met_rows[block.lo + i].as_py():
                         item, shift = np.asarray(m["words"], np.int64), m["shift"]
                         seen = -1
                         for place in sorted(m["places"]):
@@ -149,18 +150,32 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                                 by.add(str(m["item"]))
                     inside = np.cumsum(hit)[:-1] > 0
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-                    n_words.append(len(words))
                     n_hit.append(int(inside.sum()))
                     ids.append(sorted(by))
                     runs.append([{"from": int(x), "to": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                 pa.array(ids, pa.list_(pa.string())),
+                [b.column("doc"), b.column("hash"), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())),
                  pa.array(runs, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))],
-                ["doc_id", "n_words", "n_hit", "items", "spans"])
+                ["doc", "hash", "n_hit", "items", "spans"])
 
-    return texts.join(met, "doc", "left").mapInArrow(
-        work, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<from:int,to:int>>")
+    def count(batches):
+        for b in batches:
+            n = [np.diff(block.first) for block in blocks(b.column("t"), ALNUM, fold=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc"), b.column("hash"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))],
+                ["doc", "hash", "n_words"])
+
+    # Texts of documents with a meeting are picked by their ids first, a table of one number a document, so that the
+    # others' texts are only shuffled where even those ids are too many to broadcast.
+    picked = texts.join(steps.settle(met.select("doc"), "ids"), "doc", "left_semi").join(met, "doc")
+    found = picked.mapInArrow(
+        extend, "doc bigint, hash bigint, n_hit bigint, items array<string>, spans array<struct<from:int,to:int>>")
+    found = steps.settle(found.dropDuplicates(["doc", "hash"]).where("n_hit > 0"), "found")
+    rows = texts.mapInArrow(count, "doc bigint, hash bigint, n_words bigint").join(found, ["doc", "hash"], "left")
+    return rows.select(
+        F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
