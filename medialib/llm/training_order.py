@@ -88,7 +88,6 @@ def materialise(docs: DataFrame, path: str, key: int, id_col: str = "doc_id", te
     tasks = rows.groupBy("task").agg(F.count("*").alias("n"))
     firsts = steps.settle(tasks.select("task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "firsts")
     count = firsts.agg(F.sum("n")).first()[0] or 0
-    size = stride(length)
 
     def place(batches):
         for b in batches:
@@ -120,9 +119,8 @@ def materialise(docs: DataFrame, path: str, key: int, id_col: str = "doc_id", te
     # A shard is never split: ranges are of shard numbers, as many as there are shards.
     ordered = placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
     blobs = ordered.mapInArrow(gather, "shard int, first_slot bigint, payload binary")
-    blobs.write.mode("overwrite").option("maxRecordsPerFile", 0).parquet(path)
+    blobs.write.mode("overwrite").option("compression", "zstd").parquet(path)
     steps.clear("sequences")
-    assert size == stride(length)
     return count
 
 
