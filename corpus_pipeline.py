@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines; documents left without a word have been repeats throughout and go."""
-    out = line_dedup.dedup_lines(docs.select(COLUMNS), removed_col="n_removed")
+    """Texts without later repeats of a line; documents left without a word have been repeats throughout and go."""
+    out = line_dedup.dedup_lines(docs.select(COLUMNS), lone=1, removed_col="n_removed")
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~emptied).withColumn(
         "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(COLUMNS)
