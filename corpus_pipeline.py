@@ -30,18 +30,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    kept = near_dup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept and doc_id is not null")
+    """The document with the smallest id of each near-duplicate group; of rows equal in id and text one."""
+    kept = near_dup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, hash_col="hash").where("kept and doc_id is not null")
     # Merged at every size, as most documents are kept; repeated rows then already lie together.
-    rows = docs.select(COLUMNS).join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
+    rows = own.join(kept.select("doc_id", "hash").hint("merge"), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
     return rows.select(COLUMNS).unionByName(docs.select(COLUMNS).where("doc_id is null"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(hit, "doc_id", "left_anti").select(COLUMNS)
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hash_col="hash")
+    hit = found.where("n_hit > 0").select("doc_id", "hash").distinct()
+    own = docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
+    return own.join(hit, ["doc_id", "hash"], "left_anti").select(COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

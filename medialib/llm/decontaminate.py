@@ -94,8 +94,9 @@ def _spread(doc: np.ndarray, item: np.ndarray, at: int, place: int) -> tuple[int
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items, spans)``, one row per input row.
+                  item_col: str = "item_id", item_text: str = "text", span: int = SPAN,
+                  hash_col: str | None = None) -> DataFrame:
+    """``(doc_id, n_words, n_hit, items, spans)``, one row per input row; ``hash_col`` adds ``xxhash64`` of its text.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased in A-Z. A window is ``span``
     consecutive item words, or all words of a shorter item. ``spans`` lists the maximal runs of document words inside
@@ -175,7 +176,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     return rows.select(
         F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")).alias("spans"))
+        F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")).alias("spans"),
+        *([F.col("hash").alias(hash_col)] if hash_col else []))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def ngram_hash_rows(table: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_id, bands)`` of every row; ``bands`` is empty for an empty set."""
+    """``(doc_id, hash, n_shingles, set_id, bands)`` of every row, ``hash`` being ``xxhash64`` of its text; ``bands`` is empty for an empty set."""
 
     def work(batches):
         for b in batches:
@@ -71,11 +71,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                 names.append(set_id(s) if len(s) else None)
                 keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), lists(keys, pa.int64())],
-                ["doc_id", "n_shingles", "set_id", "bands"])
+                [b.column("doc_id"), b.column("hash"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), lists(keys, pa.int64())],
+                ["doc_id", "hash", "n_shingles", "set_id", "bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(
-        work, "doc_id bigint, n_shingles bigint, set_id bigint, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).withColumn("hash", F.xxhash64("t")).mapInArrow(
+        work, "doc_id bigint, hash bigint, n_shingles bigint, set_id bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -132,8 +132,8 @@ def _left_over(tried: DataFrame, sets: DataFrame, found: DataFrame, percent: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
+                    percent: int = 85, bands: int = BANDS, rows: int = ROWS, hash_col: str | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row per input row; ``hash_col`` adds ``xxhash64`` of its text.
 
     Texts are linked where ``100 * |A & B| >= percent * |A | B|`` over their sets of distinct lower-cased (A-Z)
     ``shingle``-word shingles; a component is named by the smallest id reachable. Equal sets are one node, so masses
@@ -189,6 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .withColumn("component", F.coalesce("component", "set_id")))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_set = named.join(least, "component").select("set_id", "component_id")
-    out = sig.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
+    out = sig.select("doc_id", "hash", "n_shingles", "set_id").join(by_set, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                      F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+                      *([F.col("hash").alias(hash_col)] if hash_col else []))

@@ -24,3 +24,14 @@ def test_stages_on_a_small_corpus(spark, small):
     last = docs.toPandas()
     assert last.groupby("sequence_id").length.sum().max() <= 4096
     assert [n for n, _ in pipeline.STAGES] == ["quality", "lines", "near_duplicates", "benchmark", "sequences"]
+
+
+def test_rows_of_one_id_with_unlike_texts(spark, frame, prose, tmp_path):
+    clean, twin, other, item = prose(60, 1), prose(60, 2), prose(60, 3), prose(20, 4)
+    rows = [(1, twin), (2, clean), (2, twin), (2, clean), (3, other), (3, f"{other} {item}"), (None, clean)]
+    docs = frame(rows).select(pipeline.COLUMNS)
+    got = pipeline.near_duplicates(spark, docs.where("text not like '%" + item + "'"), "")
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, twin), (2, clean), (3, other), (0, clean)])
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = pipeline.benchmark(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((d or 0, t) for d, t in rows if item not in t)
