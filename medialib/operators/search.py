@@ -10,7 +10,7 @@ from medialib.functions.when import DAY, ts
 from medialib.operators.classify import shape_transcript
 
 ITEM = ["library_id", "kind", "id"]
-PREFIX_LIMIT, RESULTS = 500, 60
+RESULTS = 60
 LONGEST_KEY = 8
 # Words that route a query straight to a list.
 PEOPLE_WORDS = ["people", "person", "faces", "face", "smiles", "smiling", "selfie", "selfies"]
@@ -120,12 +120,13 @@ def index_freshness(media: DataFrame, documents: DataFrame) -> DataFrame:
         "fresh", F.col("media") == F.col("indexed"))
 
 
-def prefix_candidates(terms: DataFrame, index: DataFrame, limit: int | None = PREFIX_LIMIT) -> DataFrame:
-    """Per query and medium the ``limit`` items (None: all) most of whose query words start a word of theirs.
+def prefix_candidates(terms: DataFrame, index: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per query and medium every item with a word that a query word starts; with ``limit`` those with most such words.
 
     A query word equals a stored prefix (up to eight letters; longer ones are
     checked after), so matching is an equi-join on the vocabulary. Every item with
-    a matching word takes part; at equal counts the lowest ids come first.
+    a matching word takes part; only ``limit`` cuts, and at equal counts keeps the
+    lowest ids.
     """
     asked = terms.select("library_id", "term").distinct().select(
         "library_id", F.col("term").alias("asked"), F.substring("term", 1, LONGEST_KEY).alias("_key"))

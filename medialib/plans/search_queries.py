@@ -8,6 +8,9 @@ from medialib.plans.dup_queries import watched
 from medialib.plans.registry import as_long, query, r6
 from medialib.session import settle
 
+#: The SQL twins hold the 500 items with most matching words per query and medium against these results.
+TWIN_LIMIT = 500
+
 
 @query
 def clip_documents(b):
@@ -59,7 +62,7 @@ def index_freshness(b):
 
 def _prefix(b):
     index = settle(search.postings(_documents(b)), "postings")
-    return search.prefix_candidates(search.query_terms(b.search_queries()), index)
+    return search.prefix_candidates(search.query_terms(b.search_queries()), index, TWIN_LIMIT)
 
 
 @query
@@ -106,7 +109,7 @@ def route_results(b):
 def _ranked(b):
     clips, photos, queries = watched(b), b.photos(), net_queries(b)
     index = settle(search.postings(_documents(b)), "postings")
-    prefix = search.prefix_candidates(search.query_terms(queries), index)
+    prefix = search.prefix_candidates(search.query_terms(queries), index, TWIN_LIMIT)
     net = search.substring_candidates(queries, clips, photos)
     return search.search_ranked(settle(prefix, "prefix"), settle(net, "net"), queries,
                                 search.memory_docs(clips, photos), search.tie_breaks(clips, photos))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from medialib.operators import search
 from medialib.sources import schemas
 from tests.rows import photos, watched_clips
@@ -87,3 +89,14 @@ def test_the_best_match_may_have_the_highest_id(spark):
     ranked = search.search_ranked(prefix, net, q, search.memory_docs(c, p), search.tie_breaks(c, p))
     assert ranked.orderBy("rank").first()["id"] == 5_000
     assert search.prefix_candidates(search.query_terms(q), index, None).count() == 2_001
+
+
+def test_of_many_tied_items_the_largest_tie_value_wins(spark):
+    c = watched_clips(spark, [dict(id=i, category="boat", transcript="sea") for i in range(700)])
+    c = c.withColumn("watch_count", F.when(F.col("id") == 699, 9).otherwise(F.col("watch_count")).cast(c.schema["watch_count"].dataType))
+    people = spark.createDataFrame([], schemas.PERSONS)
+    p = photos(spark, [])
+    q = spark.createDataFrame([(1, "a", "boat sea")], Q)
+    prefix = search.prefix_candidates(search.query_terms(q), search.postings(search.documents_index(c, p, people)))
+    ranked = search.search_ranked(prefix, search.substring_candidates(q, c, p), q, search.memory_docs(c, p), search.tie_breaks(c, p))
+    assert prefix.count() == 700 and ranked.orderBy("rank").first()["id"] == 699
