@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialib.llm import (
-    decontaminate, language, line_dedup, near_dup, packing, passages, periodic_runs, quality_rank, repetition, training_order,
-    url_aliases)
+    decontaminate, language, line_dedup, near_dup, packing, passages, periodic_runs, quality_rank, repetition, spelling,
+    training_order, url_aliases)
 from medialib.llm.steps import Steps
 
 
@@ -63,10 +63,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), misspell=199)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), order=periodic_runs.planted)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rank, op2_url_aliases, op3_training_order, op4_repetition, op5_packing, op6_passages, op7_language,
-    op8_near_dup, op9_line_dedup, op10_decontaminate, op13_periodic_runs)}
+    op8_near_dup, op9_line_dedup, op10_decontaminate, op12_spelling,
+    op13_periodic_runs)}
