@@ -80,4 +80,21 @@ select w.id as doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit,
 from words w left join hit h on h.id = w.id left join named n on n.id = w.id where side = 'd'
 """
 
-SQL = {"op2_url_aliases": OP2, "op8_near_dup": OP8, "op10_decontaminate": OP10}
+OP11 = r"""
+with told as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -7, turn, role, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) as v(turn, role)),
+e as (
+  select *, replace(replace(replace(text, '\', '\b'), '<turn ', '\t'), '</turn>', '\e') as said,
+         replace(replace(replace(replace(role, '\', '\b'), '<turn ', '\t'), '</turn>', '\e'), '>', '\g') as head
+  from told)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length('<turn ' || head || '>' || said || '</turn>'))::bigint as formatted_chars, true as mask_fits
+from e group by conv_id
+"""
+
+SQL = {"op2_url_aliases": OP2, "op8_near_dup": OP8, "op10_decontaminate": OP10, "op11_reply_trees": OP11}
