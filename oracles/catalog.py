@@ -57,6 +57,37 @@ def _w(body, views, *ctes):
 
 _NAME_TOKENS = r"list_filter(string_split(regexp_replace(lower(regexp_replace(display_name, '\.[^.]*$', '')), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda t: length(t) > 2)"
 
+_RECONCILED = f"""
+      SELECT c.library_id, c.id, CASE WHEN status = 'changed' THEN s.display_name ELSE c.display_name END AS display_name,
+        CASE WHEN status = 'changed' THEN s.folder_name ELSE c.folder_name END AS folder_name,
+        CASE WHEN status = 'changed' THEN s.duration_ms ELSE c.duration_ms END AS duration_ms,
+        CASE WHEN status = 'changed' THEN s.size_bytes ELSE c.size_bytes END AS size_bytes, c.date_added_sec,
+        CASE WHEN status = 'changed' THEN s.width ELSE c.width END::BIGINT AS width,
+        CASE WHEN status = 'changed' THEN s.height ELSE c.height END::BIGINT AS height, c.category, c.tags, c.about,
+        round(c.confidence, 6) AS confidence, round(c.junk_score, 6) AS junk_score, c.brain_level::BIGINT AS brain_level,
+        c.face_count::BIGINT AS face_count, c.smile_count::BIGINT AS smile_count, c.person_id::BIGINT AS person_id, c.album_id,
+        round(c.sharpness, 6) AS sharpness, round(c.speech_ratio, 6) AS speech_ratio, c.is_favorite, c.manual_group,
+        c.prosody_tags, c.transcript
+      FROM clips c JOIN diff d USING (library_id, id) JOIN guard g USING (library_id)
+      LEFT JOIN listing_new s ON s.library_id = c.library_id AND s.id = c.id
+      WHERE status <> 'gone' OR (existing > 0 AND seen < existing // 2)
+      UNION ALL SELECT library_id, id, display_name, folder_name, duration_ms, size_bytes, date_added_sec, width, height,
+        coalesce(n, f, 'unknown'),
+        array_to_string(CASE WHEN n IS NULL AND f IS NULL THEN t6[1:5] ELSE (CASE WHEN list_contains(t6, coalesce(n, f))
+          THEN t6 ELSE list_append(t6, coalesce(n, f)) END)[1:8] END, ','),
+        coalesce({title('coalesce(n, f)')}, CASE WHEN duration_ms < 20000 THEN 'Quick clip' ELSE 'Video' END) || ' • ' || folder_name,
+        CASE WHEN n IS NOT NULL THEN 0.85 WHEN f IS NOT NULL THEN 0.7 ELSE 0.35 END, junk, 0, 0, 0, -1, -1, 0.0, 0.0, false, '',
+        '', NULL
+      FROM (SELECT s.*, {category_case('display_name')} AS n, {category_case('folder_name')} AS f,
+        (list_filter({_NAME_TOKENS}, lambda x, i: list_position({_NAME_TOKENS}, x) = i))[1:6] AS t6,
+        round({clip_junk()}, 6) AS junk FROM listing_new s) s JOIN diff USING (library_id, id) WHERE status = 'new'"""
+
+
+def _named(text: str) -> str:
+    """The same with the rows a change feed named in place of the whole listing."""
+    return text.replace("listing_new s", "named s")
+
+
 SQL = {
     "catalog_clips": _w(r"""SELECT library_id, id, coalesce(display_name, 'video_' || id) AS display_name,
       coalesce(nullif(regexp_extract(trim(coalesce(relative_path, ''), '/'), '[^/]*$'), ''), 'Videos') AS folder_name,
@@ -87,31 +118,9 @@ SQL = {
     "snapshot_diff": _w("SELECT * FROM diff", ["clips", "listing_new"], _DIFF),
     "sweep_guard": _w("SELECT *, NOT (existing > 0 AND seen < existing // 2) AS sweep_ok FROM guard",
                       ["clips", "listing_new"], _DIFF),
-    "reconciled_clips": _w(f"""
-      SELECT c.library_id, c.id, CASE WHEN status = 'changed' THEN s.display_name ELSE c.display_name END AS display_name,
-        CASE WHEN status = 'changed' THEN s.folder_name ELSE c.folder_name END AS folder_name,
-        CASE WHEN status = 'changed' THEN s.duration_ms ELSE c.duration_ms END AS duration_ms,
-        CASE WHEN status = 'changed' THEN s.size_bytes ELSE c.size_bytes END AS size_bytes, c.date_added_sec,
-        CASE WHEN status = 'changed' THEN s.width ELSE c.width END::BIGINT AS width,
-        CASE WHEN status = 'changed' THEN s.height ELSE c.height END::BIGINT AS height, c.category, c.tags, c.about,
-        round(c.confidence, 6) AS confidence, round(c.junk_score, 6) AS junk_score, c.brain_level::BIGINT AS brain_level,
-        c.face_count::BIGINT AS face_count, c.smile_count::BIGINT AS smile_count, c.person_id::BIGINT AS person_id, c.album_id,
-        round(c.sharpness, 6) AS sharpness, round(c.speech_ratio, 6) AS speech_ratio, c.is_favorite, c.manual_group,
-        c.prosody_tags, c.transcript
-      FROM clips c JOIN diff d USING (library_id, id) JOIN guard g USING (library_id)
-      LEFT JOIN listing_new s ON s.library_id = c.library_id AND s.id = c.id
-      WHERE status <> 'gone' OR (existing > 0 AND seen < existing // 2)
-      UNION ALL SELECT library_id, id, display_name, folder_name, duration_ms, size_bytes, date_added_sec, width, height,
-        coalesce(n, f, 'unknown'),
-        array_to_string(CASE WHEN n IS NULL AND f IS NULL THEN t6[1:5] ELSE (CASE WHEN list_contains(t6, coalesce(n, f))
-          THEN t6 ELSE list_append(t6, coalesce(n, f)) END)[1:8] END, ','),
-        coalesce({title('coalesce(n, f)')}, CASE WHEN duration_ms < 20000 THEN 'Quick clip' ELSE 'Video' END) || ' • ' || folder_name,
-        CASE WHEN n IS NOT NULL THEN 0.85 WHEN f IS NOT NULL THEN 0.7 ELSE 0.35 END, junk, 0, 0, 0, -1, -1, 0.0, 0.0, false, '',
-        '', NULL
-      FROM (SELECT s.*, {category_case('display_name')} AS n, {category_case('folder_name')} AS f,
-        (list_filter({_NAME_TOKENS}, lambda x, i: list_position({_NAME_TOKENS}, x) = i))[1:6] AS t6,
-        round({clip_junk()}, 6) AS junk FROM listing_new s) s JOIN diff USING (library_id, id) WHERE status = 'new'""",
-                           ["clips", "listing_new"], _DIFF),
+    "reconciled_clips": _w(_RECONCILED, ["clips", "listing_new"], _DIFF),
+    "change_feed": _w(_named(_RECONCILED).replace("WHERE status <> 'gone' OR (existing > 0 AND seen < existing // 2)", ""),
+                      ["clips", "listing_new"], "named AS (SELECT * FROM listing_new WHERE id % 13 = 0)", _named(_DIFF)),
     "reconciled_photos": _w("SELECT * FROM after", ["photos"], _PHOTO_LISTING, _AFTER),
     "reconcile_then_queue": _w("""SELECT library_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY library_id
         ORDER BY date_added_sec DESC, id) AS rank FROM after WHERE brain_level < 1 AND junk_score < 0.9) WHERE rank <= 40""",

@@ -29,7 +29,42 @@ _WORDS = r"""list_filter(list_distinct(string_split_regex(lower(regexp_replace(d
   lambda w: length(w) > 2 AND w NOT IN ('video','videos','vid','img','image','images','photo','photos','camera','whatsapp','telegram','instagram','tiktok',
   'snapchat','download','downloads','screenrec','screenrecordings','screenshot','screenshots','movie','movies','clip','clips','media','dcim','final','new','temp','cache','android'))"""
 
+
+
+def _assigned(k: int, asks: str, stored: str) -> str:
+    """out{k}: what becomes of the vectors ``asks`` selects from u when the vectors ``stored`` are held already."""
+    und = f"SELECT library_id, x, y FROM und{k}"
+    return f""", ask{k} AS (SELECT * FROM u WHERE {asks}), st{k} AS ({stored}),
+  per{k} AS (SELECT s.library_id, s.a AS id, t.person_id AS pb, max(s.sim) AS sim FROM sims s JOIN ask{k} q ON q.library_id = s.library_id AND q.id = s.a
+    JOIN st{k} t ON t.library_id = s.library_id AND t.id = s.b WHERE t.person_id >= 0 AND NOT EXISTS (SELECT 1 FROM denials d
+      WHERE d.library_id = s.library_id AND d.video_id = s.va AND d.person_id = t.person_id) GROUP BY 1, 2, 3),
+  rk{k} AS (SELECT *, row_number() OVER (PARTITION BY library_id, id ORDER BY sim DESC, pb) AS r FROM per{k}),
+  dec{k} AS (SELECT q.library_id, q.id, max(pb) FILTER (WHERE r = 1) AS p, coalesce(max(sim) FILTER (WHERE r = 1), 0) AS best,
+    coalesce(max(sim) FILTER (WHERE r = 1) - coalesce(max(sim) FILTER (WHERE r = 2), 0), 0) AS margin
+    FROM ask{k} q LEFT JOIN rk{k} USING (library_id, id) GROUP BY 1, 2),
+  left{k} AS (SELECT library_id, id FROM dec{k} WHERE best < 0.3),
+  e{k} AS (SELECT s.library_id, s.a AS x, s.b AS y FROM sims s JOIN left{k} l ON l.library_id = s.library_id AND l.id = s.a
+    JOIN left{k} m ON m.library_id = s.library_id AND m.id = s.b WHERE s.sim >= 0.3),
+  und{k} AS (SELECT DISTINCT library_id, x, y FROM (SELECT * FROM e{k} UNION ALL SELECT library_id, y, x FROM e{k})),
+  reach{k}(library_id, x, y) AS ({und} UNION SELECT r.library_id, r.x, n.y FROM reach{k} r JOIN und{k} n ON n.library_id = r.library_id AND n.x = r.y),
+  head{k} AS (SELECT l.library_id, l.id, least(l.id, coalesce(min(r.y), l.id)) AS head FROM left{k} l
+    LEFT JOIN reach{k} r ON r.library_id = l.library_id AND r.x = l.id GROUP BY 1, 2),
+  last{k} AS (SELECT library_id, max(id) AS last FROM (SELECT library_id, id FROM persons
+    UNION ALL SELECT library_id, person_id FROM st{k} WHERE person_id >= 0) GROUP BY 1),
+  out{k} AS (SELECT library_id, id, CASE WHEN margin >= 0.02 THEN p ELSE -1 END::BIGINT AS person_id, false AS created FROM dec{k} WHERE best >= 0.3
+    UNION ALL SELECT h.library_id, h.id, (coalesce(z.last, -1) + dense_rank() OVER (PARTITION BY h.library_id ORDER BY h.head))::BIGINT, true
+    FROM head{k} h LEFT JOIN last{k} z ON z.library_id = h.library_id)"""
+
+
+_HELD = "SELECT library_id, id, person_id::BIGINT AS person_id FROM u WHERE person_id >= 0"
+
 SQL = {
+    "assign_or_create": chained(_SIM + _assigned(1, "person_id < 0", _HELD), "SELECT * FROM out1", "vectors", "persons", "denials", recursive=True),
+    "vector_feed": chained(
+        _SIM + _assigned(1, "person_id < 0 AND id % 2 = 0", _HELD)
+        + _assigned(2, "person_id < 0 AND id % 2 = 1", "SELECT * FROM st1 UNION ALL SELECT library_id, id, person_id FROM out1"),
+        """SELECT library_id, id, u.video_id, coalesce(o.person_id, u.person_id)::BIGINT AS person_id FROM u
+           LEFT JOIN (SELECT * FROM out1 UNION ALL SELECT * FROM out2) o USING (library_id, id)""", "vectors", "persons", "denials", recursive=True),
     "cosine_pairs": chained(_SIM, "SELECT library_id, a, b, round(sim, 6)::DOUBLE AS sim FROM sims WHERE a < b AND sim >= 0.3", "vectors"),
     "cosine_clusters": chained(_SIM + ", e AS (SELECT * FROM sims WHERE a < b AND sim >= 0.35)" + _components("e"),
                                "SELECT u.library_id, u.id, coalesce(comp, -1) AS cluster FROM u LEFT JOIN comp c ON c.library_id = u.library_id AND c.node = u.id",
