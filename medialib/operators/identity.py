@@ -11,6 +11,7 @@ from medialib.operators.components import connected_components
 from medialib.operators.ontology import GENERIC_WORDS
 from medialib.operators.simjoin import (
     best_two_persons, blocked, cosine_pairs, normalised, person_links, similarities)
+from medialib.operators.vectorbuckets import cosine_pairs_buckets
 from medialib.session import settle
 
 MATCH_SIM, MATCH_MARGIN = 0.42, 0.05
@@ -20,9 +21,13 @@ SPLIT_MIN_VECTORS, SPLIT_SEPARATION, SPLIT_WITHIN, SPLIT_ROUNDS = 6, 0.25, 0.35,
 ONE_TASK = 2_000
 
 
-def cosine_clusters(vectors: DataFrame, threshold: float = CLUSTER_SIM) -> DataFrame:
-    """Single-linkage clusters ``(library_id, id, cluster)``; -1 for vectors on their own."""
-    linked = connected_components(cosine_pairs(vectors, threshold), "a", "b").select(
+def cosine_clusters(vectors: DataFrame, threshold: float = CLUSTER_SIM, recall: float | None = None) -> DataFrame:
+    """Single-linkage clusters ``(library_id, id, cluster)``; -1 for vectors on their own.
+
+    ``recall``: pairs by buckets, of which that share is found at least; None compares all with all.
+    """
+    pairs = cosine_pairs(vectors, threshold) if recall is None else cosine_pairs_buckets(vectors, threshold, recall)
+    linked = connected_components(pairs, "a", "b").select(
         "library_id", F.col("node").alias("id"), F.col("component").alias("cluster"))
     return vectors.select("library_id", "id").join(linked, ["library_id", "id"], "left").withColumn(
         "cluster", F.coalesce("cluster", F.lit(-1).cast("bigint")))

@@ -165,23 +165,25 @@ def cosine(a, b) -> Column:
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot, norm))))
 
 
-def blocked(asking: DataFrame, stored: DataFrame, keys, block: int, kernel, schema: str) -> DataFrame:
+def blocked(asking: DataFrame, stored: DataFrame, keys, block: int, kernel, schema: str, mirrored: bool = False) -> DataFrame:
     """Run ``kernel`` on every (asking block, stored block) of a key.
 
     A key is cut into blocks of about ``block`` rows by id hash, so the largest
-    library is spread over many tasks of the same size as the smallest.
+    library is spread over many tasks of the same size as the smallest. ``mirrored``:
+    both sides are the same rows and order does not matter, so a pair of blocks meets once.
     """
     keys = list(keys)
     blocks = lambda df, name: df.groupBy(*keys).agg(
         F.ceil(F.count("*") / F.lit(block)).alias(name))
     na, ns = blocks(asking, "_na"), blocks(stored, "_ns")
     shape = na.join(ns, keys)
-    rows = lambda df, own, other, side, mine, spread: (
+    zero = F.lit(0).cast("bigint")
+    rows = lambda df, own, side, mine, spread, lo, hi: (
         df.join(shape, keys).withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)))
-        .withColumn(spread, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other).cast("bigint") - 1)))
-        .withColumn("_side", F.lit(side)).drop("_na", "_ns"))
-    left = rows(asking, "_na", "_ns", 0, "_ba", "_bs")
-    right = rows(stored, "_ns", "_na", 1, "_bs", "_ba")
+        .withColumn(spread, F.explode(F.sequence(lo, hi))).withColumn("_side", F.lit(side)).drop("_na", "_ns"))
+    last = lambda n: F.col(n).cast("bigint") - 1
+    left = rows(asking, "_na", 0, "_ba", "_bs", F.col("_ba") if mirrored else zero, last("_ns"))
+    right = rows(stored, "_ns", 1, "_bs", "_ba", zero, F.col("_bs") if mirrored else last("_na"))
     both = left.unionByName(right, allowMissingColumns=True)
     return both.groupBy(*keys, "_ba", "_bs").applyInPandas(kernel, schema)
 
@@ -215,12 +217,14 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 1024,
         sims = similarities(q, s)
         ids_q, ids_s = q["id"].to_numpy(), s["id"].to_numpy()
         hit = (sims > threshold) if strict else (sims >= threshold)
-        i, j = np.nonzero(hit & (ids_q[:, None] < ids_s[None, :]))
-        return pd.DataFrame({"library_id": lib, "a": ids_q[i], "b": ids_s[j], "sim": sims[i, j]})
+        if pdf["_ba"].iloc[0] == pdf["_bs"].iloc[0]:
+            hit &= ids_q[:, None] < ids_s[None, :]
+        i, j = np.nonzero(hit)
+        return pd.DataFrame({"library_id": lib, "a": np.minimum(ids_q[i], ids_s[j]), "b": np.maximum(ids_q[i], ids_s[j]), "sim": sims[i, j]})
 
     unit = vectors.select("library_id", "id", normalised("vec").alias("unit"))
     return blocked(unit, unit, ["library_id"], block, kernel,
-                    "library_id string, a bigint, b bigint, sim double")
+                    "library_id string, a bigint, b bigint, sim double", mirrored=True)
 
 
 def best_two_persons(asking: DataFrame, stored: DataFrame, block: int = 1024) -> DataFrame:
@@ -239,9 +243,12 @@ def best_two_persons(asking: DataFrame, stored: DataFrame, block: int = 1024) ->
         sims = similarities(q, s)
         persons, starts = np.unique(s["person_id"].to_numpy(), return_index=True)
         best = np.maximum.reduceat(sims, starts, axis=1)
-        for row, deny in enumerate(q["deny"]):
-            if deny is not None and len(deny):
-                best[row, np.isin(persons, deny)] = -np.inf
+        denied = q["deny"].map(lambda d: 0 if d is None else len(d)).to_numpy()
+        if denied.any():
+            who = np.concatenate([d for d, n in zip(q["deny"], denied, strict=True) if n])
+            at = np.minimum(np.searchsorted(persons, who), len(persons) - 1)
+            known = persons[at] == who
+            best[np.repeat(np.arange(len(q)), denied)[known], at[known]] = -np.inf
         order = np.argsort(-best, axis=1, kind="stable")[:, :2]
         at = np.repeat(np.arange(len(q)), order.shape[1])
         sim = best[at, order.ravel()]
@@ -264,8 +271,8 @@ def person_links(vectors: DataFrame, above: float, block: int = 1024) -> DataFra
         q, s = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
         sims = similarities(q, s)
         pq, ps = q["person_id"].to_numpy(), s["person_id"].to_numpy()
-        i, j = np.nonzero((sims > above) & (pq[:, None] < ps[None, :]))
-        out = pd.DataFrame({"a": pq[i], "b": ps[j], "sim": sims[i, j]})
+        i, j = np.nonzero((sims > above) & (pq[:, None] != ps[None, :]))
+        out = pd.DataFrame({"a": np.minimum(pq[i], ps[j]), "b": np.maximum(pq[i], ps[j]), "sim": sims[i, j]})
         out = out.groupby(["a", "b"], as_index=False)["sim"].max()
         out.insert(0, "library_id", pdf["library_id"].iloc[0])
         return out
@@ -273,7 +280,7 @@ def person_links(vectors: DataFrame, above: float, block: int = 1024) -> DataFra
     unit = vectors.where("person_id >= 0").select(
         "library_id", "id", normalised("vec").alias("unit"), "person_id")
     parts = blocked(unit, unit, ["library_id"], block, kernel,
-                     "library_id string, a int, b int, sim double")
+                     "library_id string, a int, b int, sim double", mirrored=True)
     return parts.groupBy("library_id", "a", "b").agg(F.max("sim").alias("sim"))
 
 

@@ -3,7 +3,7 @@ lower than the operators' defaults; planted clusters for the defaults are in the
 
 from pyspark.sql import functions as F
 
-from medialib.operators import identity, shelves, simjoin
+from medialib.operators import identity, shelves, simjoin, vectorbuckets
 from medialib.plans.registry import as_long, query, r6
 
 
@@ -21,6 +21,24 @@ def cosine_pairs(b):
     return simjoin.cosine_pairs(_vectors(b), 0.30).select("library_id", "a", "b", r6("sim").alias("sim"))
 
 
+@query
+def cosine_pairs_buckets(b):
+    """Pairs by buckets; small ones, so that the test tables fill many."""
+    return vectorbuckets.cosine_pairs_buckets(_vectors(b), 0.30, crowd=64).select("library_id", "a", "b", r6("sim").alias("sim"))
+
+
+@query
+def cosine_bucket_recall(b):
+    """What the buckets find of all pairs, held against comparing all with all."""
+    keys = ["library_id", "a", "b"]
+    exact = simjoin.cosine_pairs(_vectors(b), 0.30).withColumn("_exact", F.lit(1))
+    found = vectorbuckets.cosine_pairs_buckets(_vectors(b), 0.30, crowd=64).drop("sim").withColumn("_found", F.lit(1))
+    both = exact.join(found, keys, "full_outer").groupBy("library_id").agg(
+        F.count("_exact").alias("pairs"), F.count_if(F.col("_exact").isNull()).alias("untrue"),
+        F.count_if(F.col("_exact").isNotNull() & F.col("_found").isNotNull()).alias("_hit"))
+    return both.select("library_id", "pairs", "untrue", (F.col("_hit") >= 0.9 * F.col("pairs")).alias("reached"))
+
+
 @query
 def cosine_clusters(b):
     return identity.cosine_clusters(_vectors(b), 0.35)

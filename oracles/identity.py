@@ -66,6 +66,8 @@ SQL = {
         """SELECT library_id, id, u.video_id, coalesce(o.person_id, u.person_id)::BIGINT AS person_id FROM u
            LEFT JOIN (SELECT * FROM out1 UNION ALL SELECT * FROM out2) o USING (library_id, id)""", "vectors", "persons", "denials", recursive=True),
     "cosine_pairs": chained(_SIM, "SELECT library_id, a, b, round(sim, 6)::DOUBLE AS sim FROM sims WHERE a < b AND sim >= 0.3", "vectors"),
+    "cosine_bucket_recall": chained(_SIM, """SELECT library_id, count(*) AS pairs, 0::BIGINT AS untrue, true AS reached FROM sims
+      WHERE a < b AND sim >= 0.3 GROUP BY library_id""", "vectors"),
     "cosine_clusters": chained(_SIM + ", e AS (SELECT * FROM sims WHERE a < b AND sim >= 0.35)" + _components("e"),
                                "SELECT u.library_id, u.id, coalesce(comp, -1) AS cluster FROM u LEFT JOIN comp c ON c.library_id = u.library_id AND c.node = u.id",
                                "vectors", recursive=True),
