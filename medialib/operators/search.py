@@ -1,5 +1,7 @@
 """Index-then-rank search over every item's document, for a table of queries at once."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,10 +10,15 @@ from medialib.functions.text import (
     ASCII_BREAK, UNICODE_BREAK, blank, blank_to_null, tag_list, word_tokens)
 from medialib.functions.when import DAY, ts
 from medialib.operators.classify import shape_transcript
+from medialib.session import settle
 
 ITEM = ["library_id", "kind", "id"]
 RESULTS = 60
 LONGEST_KEY = 8
+#: Folders a gram index is dealt to.
+GRAM_FILES = 128
+#: One item in so many is scored to learn what the last result of a query scores at least.
+FLOOR_SAMPLE = 16
 # Words that route a query straight to a list.
 PEOPLE_WORDS = ["people", "person", "faces", "face", "smiles", "smiling", "selfie", "selfies"]
 VOICE_WORDS = ["talking", "voice", "speech", "someone talking", "speaking"]
@@ -120,13 +127,11 @@ def index_freshness(media: DataFrame, documents: DataFrame) -> DataFrame:
         "fresh", F.col("media") == F.col("indexed"))
 
 
-def prefix_candidates(terms: DataFrame, index: DataFrame, limit: int | None = None) -> DataFrame:
-    """Per query and medium every item with a word that a query word starts; with ``limit`` those with most such words.
+def prefix_hits(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """``(library_id, kind, asked, id)``: items with a word that an asked word starts.
 
     A query word equals a stored prefix (up to eight letters; longer ones are
-    checked after), so matching is an equi-join on the vocabulary. Every item with
-    a matching word takes part; only ``limit`` cuts, and at equal counts keeps the
-    lowest ids.
+    checked after), so matching is an equi-join on the vocabulary.
     """
     asked = terms.select("library_id", "term").distinct().select(
         "library_id", F.col("term").alias("asked"), F.substring("term", 1, LONGEST_KEY).alias("_key"))
@@ -136,56 +141,117 @@ def prefix_candidates(terms: DataFrame, index: DataFrame, limit: int | None = No
             lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("_key"))
     matched = asked.join(vocabulary, ["library_id", "_key"]).where(
         F.col("term").startswith(F.col("asked"))).drop("_key")
-    hits = matched.join(index.drop("p2"), ["library_id", "kind", "term"]).select(
+    return matched.join(index.drop("p2"), ["library_id", "kind", "term"]).select(
         "library_id", "kind", "asked", "id").distinct()
+
+
+def prefix_candidates(terms: DataFrame, index: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per query and medium every item with a word that a query word starts; with ``limit`` those with most such words.
+
+    Every item with a matching word takes part; only ``limit`` cuts, and at equal counts keeps the lowest ids.
+    """
     found = (terms.withColumnRenamed("term", "asked").select("query_id", "library_id", "asked")
-             .join(hits, ["library_id", "asked"])
+             .join(prefix_hits(terms, index), ["library_id", "asked"])
              .groupBy("query_id", "library_id", "kind", "id").agg(F.count("*").alias("matched")))
     return found if limit is None else top_k(found, ["query_id", "kind"], [F.desc("matched"), F.asc("id")], limit).drop("rank")
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct pieces of ``n`` letters. Letters are split once and shifted, as cutting by place walks a text each time."""
-    letters = F.split(text, "")
-    shifted = F.arrays_zip(*[F.slice(letters, k + 1, F.greatest(F.size(letters), F.lit(1))).alias(f"l{k}") for k in range(n)])
-    pieces = F.transform(shifted, lambda z: F.concat(*[z[f"l{k}"] for k in range(n)]))
-    return F.array_distinct(F.filter(pieces, lambda g: g.isNotNull() & (F.length(g) == n)))
+def grams(texts: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """The columns of ``texts`` but ``text``, and ``gram``: each distinct piece of so many letters, as the number its code
+    points make (21 bits each). Texts are cut whole, a batch at a time."""
+    schema = ", ".join(f"{n} {t}" for n, t in texts.dtypes if n != "text") + ", gram bigint"
+
+    def work(batches):
+        for b in batches:
+            found = []
+            for text in b.column("text").to_pylist():
+                letters = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+                packed = [np.zeros(0, np.int64)]
+                for n in sizes:
+                    if len(letters) >= n:
+                        piece = letters[:len(letters) - n + 1]
+                        for k in range(1, n):
+                            piece = piece << 21 | letters[k:len(letters) - n + 1 + k]
+                        packed.append(piece)
+                found.append(np.unique(np.concatenate(packed)))
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            keep = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n in keep), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))],
+                                             [*keep, "gram"])
+
+    return texts.mapInArrow(work, schema)
+
+
+def haystacks(clips: DataFrame, photos: DataFrame) -> DataFrame:
+    """``(library_id, kind, id, text)``: the fields a substring is looked for in, each apart."""
+    field = lambda names: F.lower(F.concat_ws("\u0001", *[_or_empty(f) for f in names])).alias("text")
+    return clips.select(*_item("clip"), field(["display_name", "tags", "category", "folder_name", "transcript"])).unionByName(
+        photos.select(*_item("photo"), field(["display_name", "tags", "category", "folder_name"])))
+
+
+def gram_postings(hay: DataFrame) -> DataFrame:
+    """``(library_id, kind, id, gram)``: which pieces of two and three letters each item holds."""
+    return grams(hay)
 
 
-def _haystack(fields) -> Column:
-    return F.lower(F.concat_ws("\u0001", *[_or_empty(f) for f in fields]))
+def _file_of(gram) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_FILES)).cast("int")
 
 
-def substring_candidates(queries: DataFrame, clips: DataFrame, photos: DataFrame) -> DataFrame:
+def write_gram_index(postings: DataFrame, path: str) -> None:
+    """Postings by piece, in ``GRAM_FILES`` folders, and how many items of a library hold each piece."""
+    filed = postings.withColumn("file", _file_of("gram"))
+    (filed.repartition("file", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("gram", "library_id")
+     .write.mode("overwrite").partitionBy("file").parquet(f"{path}/postings"))
+    stored = postings.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("file", "library_id", "gram").agg(F.count("*").alias("items")).write.mode("overwrite").partitionBy("file") \
+        .parquet(f"{path}/counts")
+
+
+def reindex_grams(index: DataFrame, ids: DataFrame, hay: DataFrame) -> DataFrame:
+    """Replace the postings of the named items only; those no longer in ``hay`` go."""
+    return index.join(ids.select(*ITEM), ITEM, "left_anti").unionByName(
+        gram_postings(hay.join(ids.select(*ITEM), ITEM, "left_semi")).select(*index.columns))
+
+
+def substring_candidates(queries: DataFrame, clips: DataFrame, photos: DataFrame, index: str | None = None) -> DataFrame:
     """``(query_id, library_id, kind, id)``: items with the whole query inside one field.
 
-    A field containing the query contains each of its three-letter pieces. Queries
-    meet items on their rarest piece in that library, and the text is compared
-    after, so no query is held against a whole library.
+    A field containing the query contains each of its pieces of three letters (of two, for a query of two). Queries
+    meet items on their rarest piece in that library, and only the text of those items is compared. ``index``: where
+    `write_gram_index` keeps the pieces; of it the counts of the asked pieces and the files of the rarest ones are
+    read. Without one the pieces are cut now.
     """
     every = queries.select("query_id", "library_id", F.lower("text").alias("_q")).where(F.length("_q") >= 2)
     # A text many people search for is looked up once.
-    q = every.select("library_id", "_q").distinct()
-    pieces = F.when(F.length("_q") >= 3, _grams(F.col("_q"), 3)).otherwise(F.array("_q"))
-    asked = q.select("library_id", "_q", F.explode(pieces).alias("gram"))
-    hay = clips.select(*_item("clip"), _haystack(
-        ["display_name", "tags", "category", "folder_name", "transcript"]).alias("hay")).unionByName(
-        photos.select(*_item("photo"), _haystack(["display_name", "tags", "category", "folder_name"]).alias("hay")))
+    q = every.select("library_id", "_q").distinct().withColumn("text", F.col("_q"))
+    short = F.length("_q") == 2
+    asked = grams(q.where(short), (2,)).unionByName(grams(q.where(~short), (3,)))
     wanted = asked.select("library_id", "gram").distinct()
-    # Two-letter pieces serve two-letter queries only; with none of those their branch is empty.
-    of = lambda n: hay.select(*ITEM, F.explode(_grams(F.col("hay"), n)).alias("gram")).join(
-        wanted.where(F.length("gram") == n), ["library_id", "gram"], "left_semi")
-    held = of(3).unionByName(of(2))
-    spread = held.groupBy("library_id", "gram").agg(F.count("*").alias("_n"))
+    hay = haystacks(clips, photos)
+    if index is None:
+        held = settle(gram_postings(hay).join(wanted, ["library_id", "gram"], "left_semi"), "grams")
+        spread = held.groupBy("library_id", "gram").agg(F.count("*").alias("items"))
+    else:
+        held, spread = (q.sparkSession.read.parquet(f"{index}/{part}") for part in ("postings", "counts"))
+        spread = spread.where(F.col("file").isin(_files(wanted)))
     # A piece no item has rules the query out; such queries drop here.
-    rarest = (asked.join(spread, ["library_id", "gram"], "left").na.fill(0, ["_n"])
-              .groupBy("library_id", "_q").agg(F.min(F.struct("_n", "gram")).alias("_b"))
-              .where("_b._n > 0").select("library_id", "_q", F.col("_b.gram").alias("gram")))
-    hits = (rarest.join(held, ["library_id", "gram"]).join(hay, ITEM)
-            .where(F.contains(F.col("hay"), F.col("_q"))).drop("hay", "gram"))
+    rarest = (asked.join(spread, ["library_id", "gram"], "left").na.fill(0, ["items"])
+              .groupBy("library_id", "_q").agg(F.min(F.struct("items", "gram")).alias("_b"))
+              .where("_b.items > 0").select("library_id", "_q", F.col("_b.gram").alias("gram")))
+    if index is not None:
+        rarest = settle(rarest, "rarest")
+        held = held.where(F.col("file").isin(_files(rarest)))
+    hits = (rarest.join(held.select(*ITEM, "gram"), ["library_id", "gram"]).join(hay, ITEM)
+            .where(F.contains(F.col("text"), F.col("_q"))).drop("text", "gram"))
     return hits.join(every, ["library_id", "_q"]).select("query_id", "library_id", "kind", "id")
 
 
+def _files(pieces: DataFrame) -> list[int]:
+    """The folders of a gram index that hold these pieces: ``GRAM_FILES`` numbers at most."""
+    return [r.file for r in pieces.select(_file_of("gram").alias("file")).distinct().collect()]
+
+
 def _item(kind: str):
     return ["library_id", F.lit(kind).alias("kind"), "id"]
 
@@ -248,6 +314,77 @@ def search_ranked(prefix: DataFrame, net: DataFrame, queries: DataFrame, docs: D
         .select("query_id", "library_id", "kind", "id", "score", "tie", "rank")
 
 
+def query_words(queries: DataFrame) -> DataFrame:
+    """``(query_id, library_id, word, _all, times)``: each ASCII word of two letters or more, how often the query says it,
+    and how many words the query has."""
+    words = queries.select("query_id", "library_id", word_tokens("text", ASCII_BREAK, 2).alias("_w")).where(F.size("_w") > 0)
+    return words.select("query_id", "library_id", F.size("_w").alias("_all"), F.explode("_w").alias("word")) \
+        .groupBy("query_id", "library_id", "word", "_all").agg(F.count("*").alias("times"))
+
+
+def word_hits(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(library_id, word, kind, id)``: items whose scoring document contains an asked word.
+
+    A word of letters and digits lies inside one word of the document, so asked words are looked up among the pieces
+    (of up to eight letters) of a library's distinct words, and no text is held against a query.
+    """
+    held = docs.select(*ITEM, F.explode(F.array_distinct(word_tokens("text", ASCII_BREAK, 2))).alias("token"))
+    asked = words.select("library_id", "word").distinct().withColumn("_key", F.substring("word", 1, LONGEST_KEY))
+    pieces = F.expr(f"""array_distinct(flatten(transform(sequence(2, least({LONGEST_KEY}, length(token))),
+        n -> transform(sequence(1, length(token) - n + 1), i -> substring(token, i, n)))))""")
+    parts = held.select("library_id", "token").distinct().select("library_id", "token", F.explode(pieces).alias("_key"))
+    inside = asked.join(parts, ["library_id", "_key"]).where(F.contains(F.col("token"), F.col("word"))).drop("_key")
+    return inside.join(held, ["library_id", "token"]).select("library_id", "word", "kind", "id").distinct()
+
+
+def _floors(words: DataFrame, hits: DataFrame, terms: DataFrame, index: DataFrame, results: int) -> DataFrame:
+    """``(query_id, floor)``: matched words of the last result among one item in ``FLOOR_SAMPLE``; the last of all items
+    has as many at least. Queries with fewer results there have none."""
+    some = F.pmod(F.xxhash64("kind", "id"), F.lit(FLOOR_SAMPLE)) == 0
+    pool = prefix_candidates(terms, index.where(some)).select("query_id", "kind", "id")
+    got = words.join(hits.where(some), ["library_id", "word"]).groupBy("query_id", "kind", "id").agg(F.sum("times").alias("got"))
+    known = got.join(pool, ["query_id", "kind", "id"], "left_semi")
+    return top_k(known, ["query_id"], [F.desc("got"), F.asc("kind"), F.asc("id")], results).where(F.col("rank") == results) \
+        .select("query_id", F.col("got").alias("floor"))
+
+
+def search_best(queries: DataFrame, index: DataFrame, net: DataFrame, docs: DataFrame, ties: DataFrame,
+                results: int = RESULTS) -> DataFrame:
+    """The rows of `search_ranked` over every item, without scoring those that cannot be among them.
+
+    ``index`` is `postings`, ``net`` the substring hits. A sample of the items gives each query a floor: matched words
+    that its last result has at least. The most frequent words whose number stays below the floor cannot lift an item
+    over it alone, so only the postings of the others are walked; an item goes on if what it has of those and could
+    still win from the frequent ones reaches the floor, and only then is its text looked at for these.
+    """
+    terms, words = query_terms(queries), settle(query_words(queries), "words")
+    hits = settle(word_hits(words, docs), "word-hits")
+    floors = settle(_floors(words, hits, terms, index, results), "floors")
+    spread = hits.groupBy("library_id", "word").agg(F.count("*").alias("items"))
+    common_first = Window.partitionBy("query_id").orderBy(F.desc("items"), "word")
+    weighed = words.join(spread, ["library_id", "word"]).join(floors, "query_id", "left").na.fill(0, ["floor"]).withColumn(
+        "walked", F.sum("times").over(common_first) >= F.col("floor"))
+    weighed = settle(weighed, "weighed")
+    rest = weighed.where("not walked").groupBy("query_id").agg(
+        F.sum("times").alias("slack"), F.collect_list(F.struct("word", "times")).alias("rest"))
+    walked = weighed.where("walked").join(hits, ["library_id", "word"]) \
+        .groupBy("query_id", "library_id", "kind", "id").agg(F.sum("times").alias("got"), F.first("floor").alias("floor"), F.first("_all").alias("_all"))
+    able = walked.join(rest, "query_id", "left").where(F.col("got") + F.coalesce("slack", F.lit(0)) >= F.col("floor"))
+    # Items without any word of the query in their index are no results, whatever their scoring document says.
+    asked = terms.select("query_id", F.col("term").alias("asked"))
+    member = able.select("query_id", *ITEM).join(asked, "query_id").join(
+        prefix_hits(terms, index), ["library_id", "kind", "asked", "id"], "left_semi").select("query_id", *ITEM).distinct()
+    able = able.join(member, ["query_id", *ITEM], "left_semi")
+    won = F.aggregate(F.filter("rest", lambda w: F.contains(F.col("text"), w["word"])), F.lit(0).cast("bigint"), lambda a, w: a + w["times"])
+    full = able.where("rest is null").withColumn("won", F.lit(0).cast("bigint")).drop("rest").unionByName(
+        able.where("rest is not null").join(docs, ITEM).withColumn("won", won).drop("rest", "text"))
+    scored = full.select("query_id", *ITEM, F.try_divide(F.col("got") + F.col("won"), F.col("_all")).alias("score"))
+    netted = match_scores(net.select("query_id", *ITEM), queries.select("query_id", "text"), docs)
+    pool = scored.unionByName(netted.select(*scored.columns)).groupBy("query_id", *ITEM).agg(F.max("score").alias("score"))
+    return top_k(pool.join(ties, ITEM), ["query_id"], [F.desc("score"), F.desc("tie"), F.asc("kind"), F.asc("id")], results) \
+        .select("query_id", "library_id", "kind", "id", "score", "tie", "rank")
+
+
 def tie_breaks(clips: DataFrame, photos: DataFrame) -> DataFrame:
     """``(library_id, kind, id, tie)``: watch count of clips, date of photos."""
     return clips.select(*_item("clip"), F.col("watch_count").cast("bigint").alias("tie")).unionByName(

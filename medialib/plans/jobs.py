@@ -88,14 +88,16 @@ def shelf_page(lib: Library, as_of: int, threshold: float = 0.5) -> tuple[DataFr
             shelves.duplicate_members(members, dups.keepers(members)))
 
 
-def search_run(lib: Library, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Ranked hits of all general queries; routed ones are answered by ``search.route_results``."""
+def search_run(lib: Library, queries: DataFrame, index: DataFrame | None = None, grams: str | None = None) -> DataFrame:
+    """Ranked hits of all general queries; routed ones are answered by ``search.route_results``.
+
+    ``index`` and ``grams`` are the stored postings of words and of letter pieces; without them both are made now.
+    """
     clips = lib.watched()
     routes = search.search_routes(queries, lib.persons)
     general = queries.join(routes.where("route = 'general'").select("query_id"), "query_id", "left_semi")
     if index is None:
         index = settle(search.postings(search.documents_index(lib.clips, lib.photos, lib.persons)), "postings")
-    prefix = settle(search.prefix_candidates(search.query_terms(general), index), "prefix")
-    net = settle(search.substring_candidates(general, clips, lib.photos), "net")
-    return search.search_ranked(prefix, net, general, search.memory_docs(clips, lib.photos),
-                                search.tie_breaks(clips, lib.photos))
+    net = settle(search.substring_candidates(general, clips, lib.photos, grams), "net")
+    docs = settle(search.memory_docs(clips, lib.photos), "scoring-documents")
+    return search.search_best(general, index, net, docs, search.tie_breaks(clips, lib.photos))

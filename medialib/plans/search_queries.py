@@ -1,15 +1,14 @@
 """Search queries over the test tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from medialib.operators import search
 from medialib.plans.binding import AS_OF
 from medialib.plans.dup_queries import watched
 from medialib.plans.registry import as_long, query, r6
-from medialib.session import settle
-
-#: The SQL twins hold the 500 items with most matching words per query and medium against these results.
-TWIN_LIMIT = 500
+from medialib.session import scratch_dir, settle
 
 
 @query
@@ -62,7 +61,7 @@ def index_freshness(b):
 
 def _prefix(b):
     index = settle(search.postings(_documents(b)), "postings")
-    return search.prefix_candidates(search.query_terms(b.search_queries()), index, TWIN_LIMIT)
+    return search.prefix_candidates(search.query_terms(b.search_queries()), index)
 
 
 @query
@@ -76,6 +75,35 @@ def substring_candidates(b):
     return search.substring_candidates(net_queries(b), b.clips(), b.photos()).select("query_id", "kind", "id")
 
 
+def _gram_counts(postings):
+    return postings.groupBy("library_id", "kind", "gram").agg(F.count("*").alias("items"), F.sum("id").alias("id_sum"))
+
+
+@query
+def gram_index(b):
+    """How often each piece of letters occurs; a piece is told by the number its code points make."""
+    return _gram_counts(search.gram_postings(search.haystacks(b.clips(), b.photos())))
+
+
+@query
+def gram_index_reindexed(b):
+    """The index after every tenth clip moved to another folder and every seventh photo left: only those are redone."""
+    before = search.gram_postings(search.haystacks(b.clips(), b.photos()))
+    moved = b.clips().withColumn("folder_name", F.when(F.col("id") % 10 == 0, "Ärchive 7").otherwise(F.col("folder_name")))
+    stay = b.photos().where("id % 7 <> 0")
+    named = b.clips().where("id % 10 = 0").select("library_id", F.lit("clip").alias("kind"), "id").unionByName(
+        b.photos().where("id % 7 = 0").select("library_id", F.lit("photo").alias("kind"), "id"))
+    return _gram_counts(search.reindex_grams(before, named, search.haystacks(moved, stay)))
+
+
+@query
+def substring_indexed(b):
+    """The substring hits read through a stored index of pieces."""
+    path = f"{scratch_dir(b.spark)}/grams-{uuid.uuid4().hex}"
+    search.write_gram_index(search.gram_postings(search.haystacks(b.clips(), b.photos())), path)
+    return search.substring_candidates(net_queries(b), b.clips(), b.photos(), path).select("query_id", "kind", "id")
+
+
 def net_queries(b):
     """Search texts plus, per library, every category, every folder and every word photos are tagged with."""
     extra = b.clips().select("library_id", F.explode(F.array(
@@ -109,10 +137,9 @@ def route_results(b):
 def _ranked(b):
     clips, photos, queries = watched(b), b.photos(), net_queries(b)
     index = settle(search.postings(_documents(b)), "postings")
-    prefix = search.prefix_candidates(search.query_terms(queries), index, TWIN_LIMIT)
     net = search.substring_candidates(queries, clips, photos)
-    return search.search_ranked(settle(prefix, "prefix"), settle(net, "net"), queries,
-                                search.memory_docs(clips, photos), search.tie_breaks(clips, photos))
+    docs = settle(search.memory_docs(clips, photos), "scoring-documents")
+    return search.search_best(queries, index, settle(net, "net"), docs, search.tie_breaks(clips, photos))
 
 
 @query

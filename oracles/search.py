@@ -20,10 +20,8 @@ def _qterms(src: str) -> str:
       SELECT query_id, library_id, (list_filter({toks}, lambda x, i: list_position({toks}, x) = i))[1:8] AS toks FROM {src}))"""
 
 
-_PREFIX = """, pre AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY matched DESC, id) AS rank FROM (
-    SELECT q.query_id, q.library_id, p.kind, p.id, count(DISTINCT q.term) AS matched FROM qt q
-    JOIN post p ON p.library_id = q.library_id AND starts_with(p.term, q.term) GROUP BY 1, 2, 3, 4)),
-  prefix AS (SELECT * FROM pre WHERE rank <= 500)"""
+_PREFIX = """, prefix AS (SELECT q.query_id, q.library_id, p.kind, p.id, count(DISTINCT q.term) AS matched FROM qt q
+    JOIN post p ON p.library_id = q.library_id AND starts_with(p.term, q.term) GROUP BY 1, 2, 3, 4)"""
 _NETQ = """, netq AS (SELECT query_id, library_id, text FROM search_queries UNION ALL
     SELECT ('0x' || substr(md5(library_id || '|' || text), 1, 12))::BIGINT + 1000000000, library_id, text FROM (
       SELECT library_id, category AS text FROM clips UNION SELECT library_id, lower(folder_name) FROM clips
@@ -32,6 +30,11 @@ _NET = """, hay AS (SELECT library_id, 'clip' AS kind, id, lower(concat_ws(chr(1
     UNION ALL SELECT library_id, 'photo', id, lower(concat_ws(chr(1), display_name, tags, category, folder_name)) FROM photos),
   net AS (SELECT q.query_id, q.library_id, h.kind, h.id FROM netq q JOIN hay h ON h.library_id = q.library_id
       AND length(q.text) >= 2 AND contains(h.hay, lower(q.text)))"""
+_PIECES = """, cut AS (SELECT library_id, kind, id, list_transform(string_split(hay, ''), lambda c: unicode(c)::BIGINT) AS u FROM hay),
+  piece AS (SELECT DISTINCT library_id, kind, id, unnest(list_concat(
+      list_transform(range(1, len(u)), lambda i: u[i] * 2097152 + u[i + 1]),
+      list_transform(range(1, len(u) - 1), lambda i: (u[i] * 2097152 + u[i + 1]) * 2097152 + u[i + 2]))) AS gram FROM cut)"""
+_PIECE_COUNTS = "SELECT library_id, kind, gram, count(*) AS items, sum(id)::BIGINT AS id_sum FROM piece GROUP BY 1, 2, 3"
 _M = "year(make_timestamp(date_added_sec * 1000000)) || '-' || month(make_timestamp(date_added_sec * 1000000))"
 _JOIN = lambda *p: "array_to_string(list_filter([" + ", ".join(p) + "], lambda x: x IS NOT NULL AND trim(x) <> ''), ' ')"
 _WHAT = _JOIN("CASE WHEN category <> 'unknown' THEN category END", "replace(tags, ',', ' ')", "about")
@@ -94,6 +97,12 @@ SQL = {
       USING (library_id, kind)""", "listing_new", "clips", "photos"),
     "prefix_candidates": chained(_DOCS + _POST + _qterms("search_queries") + _PREFIX, "SELECT query_id, library_id, kind, id, matched FROM prefix",
                                  "clips", "photos", "persons", "search_queries"),
+    "gram_index": chained(_NETQ + _NET + _PIECES, _PIECE_COUNTS, "clips", "photos", "search_queries"),
+    "gram_index_reindexed": chained((_NETQ + _NET + _PIECES).replace(
+        "category, folder_name, coalesce(transcript", "category, CASE WHEN id % 10 = 0 THEN 'Ärchive 7' ELSE folder_name END, coalesce(transcript")
+        .replace("folder_name)) FROM photos)", "folder_name)) FROM photos WHERE id % 7 <> 0)"),
+        _PIECE_COUNTS, "clips", "photos", "search_queries"),
+    "substring_indexed": chained(_NETQ + _NET, "SELECT query_id, kind, id FROM net", "clips", "photos", "search_queries"),
     "substring_candidates": chained(_NETQ + _NET, "SELECT query_id, kind, id FROM net", "clips", "photos", "search_queries"),
     "search_routes": with_views(f"""
       , q AS (SELECT query_id, library_id, text FROM search_queries UNION ALL SELECT 900000000 + w.i, l.library_id, w.t FROM (SELECT DISTINCT library_id FROM clips) l,
