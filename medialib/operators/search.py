@@ -230,7 +230,8 @@ def substring_candidates(queries: DataFrame, clips: DataFrame, photos: DataFrame
     wanted = asked.select("library_id", "gram").distinct()
     hay = haystacks(clips, photos)
     if index is None:
-        held = settle(gram_postings(hay).join(wanted, ["library_id", "gram"], "left_semi"), "grams")
+        sizes = (3,) if q.where(short).isEmpty() else (2, 3)
+        held = settle(grams(hay, sizes).join(wanted, ["library_id", "gram"], "left_semi"), "grams")
         spread = held.groupBy("library_id", "gram").agg(F.count("*").alias("items"))
     else:
         held, spread = (q.sparkSession.read.parquet(f"{index}/{part}") for part in ("postings", "counts"))
@@ -322,29 +323,46 @@ def query_words(queries: DataFrame) -> DataFrame:
         .groupBy("query_id", "library_id", "word", "_all").agg(F.count("*").alias("times"))
 
 
+def _number(kind, id_) -> Column:
+    """Clips and photos of a library as one row of numbers, which are cheaper to group by."""
+    return F.col(id_) * 2 + (F.col(kind) == "photo").cast("int")
+
+
+def _item_of(number) -> list[Column]:
+    n = F.col(number)
+    return [F.when(F.pmod(n, F.lit(2)) == 1, "photo").otherwise("clip").alias("kind"), F.shiftright(n, 1).alias("id")]
+
+
 def word_hits(words: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(library_id, word, kind, id)``: items whose scoring document contains an asked word.
+    """``(library_id, word, item)``: numbers of the items whose scoring document contains an asked word.
 
     A word of letters and digits lies inside one word of the document, so asked words are looked up among the pieces
     (of up to eight letters) of a library's distinct words, and no text is held against a query.
     """
-    held = docs.select(*ITEM, F.explode(F.array_distinct(word_tokens("text", ASCII_BREAK, 2))).alias("token"))
+    held = docs.select("library_id", _number("kind", "id").alias("item"),
+                       F.explode(F.array_distinct(word_tokens("text", ASCII_BREAK, 2))).alias("token"))
     asked = words.select("library_id", "word").distinct().withColumn("_key", F.substring("word", 1, LONGEST_KEY))
     pieces = F.expr(f"""array_distinct(flatten(transform(sequence(2, least({LONGEST_KEY}, length(token))),
         n -> transform(sequence(1, length(token) - n + 1), i -> substring(token, i, n)))))""")
     parts = held.select("library_id", "token").distinct().select("library_id", "token", F.explode(pieces).alias("_key"))
     inside = asked.join(parts, ["library_id", "_key"]).where(F.contains(F.col("token"), F.col("word"))).drop("_key")
-    return inside.join(held, ["library_id", "token"]).select("library_id", "word", "kind", "id").distinct()
+    return inside.join(held, ["library_id", "token"]).select("library_id", "word", "item").distinct()
 
 
-def _floors(words: DataFrame, hits: DataFrame, terms: DataFrame, index: DataFrame, results: int) -> DataFrame:
+def _in_pool(pairs: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``(query_id, library_id, item)`` rows whose item has a word of its index that a word of the query starts."""
+    asked = terms.select("query_id", F.col("term").alias("asked"))
+    met = pairs.select("query_id", "library_id", "item").join(asked, "query_id").join(found, ["library_id", "asked", "item"], "left_semi")
+    return pairs.join(met.select("query_id", "item").distinct(), ["query_id", "item"], "left_semi")
+
+
+def _floors(words: DataFrame, hits: DataFrame, terms: DataFrame, found: DataFrame, results: int) -> DataFrame:
     """``(query_id, floor)``: matched words of the last result among one item in ``FLOOR_SAMPLE``; the last of all items
     has as many at least. Queries with fewer results there have none."""
-    some = F.pmod(F.xxhash64("kind", "id"), F.lit(FLOOR_SAMPLE)) == 0
-    pool = prefix_candidates(terms, index.where(some)).select("query_id", "kind", "id")
-    got = words.join(hits.where(some), ["library_id", "word"]).groupBy("query_id", "kind", "id").agg(F.sum("times").alias("got"))
-    known = got.join(pool, ["query_id", "kind", "id"], "left_semi")
-    return top_k(known, ["query_id"], [F.desc("got"), F.asc("kind"), F.asc("id")], results).where(F.col("rank") == results) \
+    some = F.pmod(F.xxhash64("item"), F.lit(FLOOR_SAMPLE)) == 0
+    got = words.join(hits.where(some), ["library_id", "word"]).groupBy("query_id", "library_id", "item").agg(F.sum("times").alias("got"))
+    known = _in_pool(got, terms, found.where(some))
+    return top_k(known, ["query_id"], [F.desc("got"), F.asc("item")], results, salt="item").where(F.col("rank") == results) \
         .select("query_id", F.col("got").alias("floor"))
 
 
@@ -353,32 +371,30 @@ def search_best(queries: DataFrame, index: DataFrame, net: DataFrame, docs: Data
     """The rows of `search_ranked` over every item, without scoring those that cannot be among them.
 
     ``index`` is `postings`, ``net`` the substring hits. A sample of the items gives each query a floor: matched words
-    that its last result has at least. The most frequent words whose number stays below the floor cannot lift an item
-    over it alone, so only the postings of the others are walked; an item goes on if what it has of those and could
-    still win from the frequent ones reaches the floor, and only then is its text looked at for these.
+    that its last result has at least. Postings are walked from the rarest word on. The most frequent words, up to half
+    the floor, are left out: an item goes on only if what it has of the others, and could still win from these, reaches
+    the floor, and only then is its text looked at for these.
     """
     terms, words = query_terms(queries), settle(query_words(queries), "words")
     hits = settle(word_hits(words, docs), "word-hits")
-    floors = settle(_floors(words, hits, terms, index, results), "floors")
+    found = settle(prefix_hits(terms, index).select("library_id", "asked", _number("kind", "id").alias("item")), "prefix-hits")
+    floors = settle(_floors(words, hits, terms, found, results), "floors")
     spread = hits.groupBy("library_id", "word").agg(F.count("*").alias("items"))
     common_first = Window.partitionBy("query_id").orderBy(F.desc("items"), "word")
-    weighed = words.join(spread, ["library_id", "word"]).join(floors, "query_id", "left").na.fill(0, ["floor"]).withColumn(
-        "walked", F.sum("times").over(common_first) >= F.col("floor"))
-    weighed = settle(weighed, "weighed")
-    rest = weighed.where("not walked").groupBy("query_id").agg(
-        F.sum("times").alias("slack"), F.collect_list(F.struct("word", "times")).alias("rest"))
-    walked = weighed.where("walked").join(hits, ["library_id", "word"]) \
-        .groupBy("query_id", "library_id", "kind", "id").agg(F.sum("times").alias("got"), F.first("floor").alias("floor"), F.first("_all").alias("_all"))
-    able = walked.join(rest, "query_id", "left").where(F.col("got") + F.coalesce("slack", F.lit(0)) >= F.col("floor"))
+    weighed = settle(words.join(spread, ["library_id", "word"]).join(floors, "query_id", "left").withColumn(
+        "walked", 2 * F.sum("times").over(common_first) > F.coalesce("floor", F.lit(0))), "weighed")
+    asks = weighed.groupBy("query_id").agg(
+        F.first("_all").alias("_all"), F.coalesce(F.first("floor"), F.lit(1)).alias("floor"),
+        F.sum(F.when(F.col("walked"), 0).otherwise(F.col("times"))).alias("slack"),
+        F.collect_list(F.when(~F.col("walked"), F.struct("word", "times"))).alias("rest"))
+    walked = weighed.where("walked").select("query_id", "library_id", "word", "times").join(hits, ["library_id", "word"]) \
+        .groupBy("query_id", "library_id", "item").agg(F.sum("times").alias("got"))
+    able = settle(walked.join(asks, "query_id").where("got + slack >= floor"), "able")
     # Items without any word of the query in their index are no results, whatever their scoring document says.
-    asked = terms.select("query_id", F.col("term").alias("asked"))
-    member = able.select("query_id", *ITEM).join(asked, "query_id").join(
-        prefix_hits(terms, index), ["library_id", "kind", "asked", "id"], "left_semi").select("query_id", *ITEM).distinct()
-    able = able.join(member, ["query_id", *ITEM], "left_semi")
+    able = _in_pool(able, terms, found).select("query_id", "library_id", *_item_of("item"), "got", "rest", "_all", "floor")
     won = F.aggregate(F.filter("rest", lambda w: F.contains(F.col("text"), w["word"])), F.lit(0).cast("bigint"), lambda a, w: a + w["times"])
-    full = able.where("rest is null").withColumn("won", F.lit(0).cast("bigint")).drop("rest").unionByName(
-        able.where("rest is not null").join(docs, ITEM).withColumn("won", won).drop("rest", "text"))
-    scored = full.select("query_id", *ITEM, F.try_divide(F.col("got") + F.col("won"), F.col("_all")).alias("score"))
+    scored = able.join(docs, ITEM).withColumn("got", F.col("got") + won).where("got >= floor").select(
+        "query_id", *ITEM, F.try_divide("got", "_all").alias("score"))
     netted = match_scores(net.select("query_id", *ITEM), queries.select("query_id", "text"), docs)
     pool = scored.unionByName(netted.select(*scored.columns)).groupBy("query_id", *ITEM).agg(F.max("score").alias("score"))
     return top_k(pool.join(ties, ITEM), ["query_id"], [F.desc("score"), F.desc("tie"), F.asc("kind"), F.asc("id")], results) \

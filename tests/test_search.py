@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from medialib.operators import search
+from medialib.session import settle
 from medialib.sources import schemas
 from tests.rows import photos, watched_clips
 
@@ -100,3 +103,67 @@ def test_of_many_tied_items_the_largest_tie_value_wins(spark):
     prefix = search.prefix_candidates(search.query_terms(q), search.postings(search.documents_index(c, p, people)))
     ranked = search.search_ranked(prefix, search.substring_candidates(q, c, p), q, search.memory_docs(c, p), search.tie_breaks(c, p))
     assert prefix.count() == 700 and ranked.orderBy("rank").first()["id"] == 699
+
+
+def ranks(df):
+    return sorted((r.query_id, r["rank"], r.kind, r.id, round(r.score, 9), r.tie) for r in df.collect())
+
+
+def test_bounded_search_equals_scoring_everything(spark):
+    rnd = random.Random(6)
+    common, rare = ["la", "de", "en", "mer", "a1"], ["".join(rnd.choice("abdel") for _ in range(rnd.randint(2, 11))) for _ in range(60)]
+    said = lambda n: " ".join(rnd.choice(common if rnd.random() < .6 else rare) for _ in range(n))
+    c = watched_clips(spark, [dict(id=i, library_id="ab"[i % 2], category=rnd.choice(rare), tags=rnd.choice(rare), transcript=said(rnd.randint(0, 30)),
+                                   watch_count=rnd.randint(0, 3)) for i in range(1_500)]).repartition(3)
+    p = photos(spark, [dict(id=i, library_id="ab"[i % 2], tags=said(3).replace(" ", ","), date_added_sec=1_700_000_000 + i % 5) for i in range(900)])
+    people = spark.createDataFrame([], schemas.PERSONS)
+    texts = [said(rnd.randint(1, 25)) for _ in range(40)] + ["", "?!", "de", "LA DE la de", rare[0], "zzzz unknown", "é de", "mer, mer; mer rare"]
+    q = spark.createDataFrame([(i, "ab"[i % 2], t) for i, t in enumerate(texts)], Q)
+    index = settle(search.postings(search.documents_index(c, p, people)))
+    net, docs = settle(search.substring_candidates(q, c, p)), settle(search.memory_docs(c, p))
+    plain = search.search_ranked(search.prefix_candidates(search.query_terms(q), index), net, q, docs, search.tie_breaks(c, p), 15)
+    words, terms = search.query_words(q), search.query_terms(q)
+    found = search.prefix_hits(terms, index).select("library_id", "asked", search._number("kind", "id").alias("item"))
+    assert search._floors(words, search.word_hits(words, docs), terms, found, 15).where("floor > 4").count() > 3  # bounds are at work
+    assert ranks(search.search_best(q, index, net, docs, search.tie_breaks(c, p), 15)) == ranks(plain)
+
+
+def test_bounded_search_finds_the_last_of_2000_tied_items(spark):
+    c = watched_clips(spark, [dict(id=i, category="boat", transcript="sea") for i in range(2_000)])
+    c = c.withColumn("watch_count", F.when(F.col("id") == 1_999, 9).otherwise(F.col("watch_count")).cast(c.schema["watch_count"].dataType))
+    p, people = photos(spark, []), spark.createDataFrame([], schemas.PERSONS)
+    q = spark.createDataFrame([(1, "a", "boat sea")], Q)
+    best = search.search_best(q, search.postings(search.documents_index(c, p, people)), search.substring_candidates(q, c, p),
+                              search.memory_docs(c, p), search.tie_breaks(c, p))
+    assert best.orderBy("rank").first()["id"] == 1_999 and best.count() == 60
+
+
+def test_pieces_equal_brute_force(spark):
+    texts = ["", "a", "ab", "abcabc", "é𝄞x\u0000y", None, "x" * 5_000]
+    got = {}
+    for r in search.grams(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")).collect():
+        got.setdefault(r.id, []).append(r.gram)
+
+    def number(piece):
+        out = 0
+        for ch in piece:
+            out = out << 21 | ord(ch)
+        return out
+    want = {i: sorted({number(t[k:k + n]) for n in (2, 3) for k in range(len(t) - n + 1)}) for i, t in enumerate(texts) if t and len(t) > 1}
+    assert {i: sorted(g) for i, g in got.items()} == want
+
+
+def test_stored_pieces_give_the_same_hits_and_only_their_files_are_read(spark, tmp_path):
+    c, p, _ = library(spark)
+    q = spark.createDataFrame([(i, "a", t) for i, t in enumerate(["each", "ea", "do", "beachfront", "zz", "the beachf", "_day"])], Q)
+    path = str(tmp_path / "grams")
+    search.write_gram_index(search.gram_postings(search.haystacks(c, p)), path)
+    stored = search.substring_candidates(q, c, p, path)
+    assert hits(stored) == hits(search.substring_candidates(q, c, p)) != set()
+    plan = stored._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(file" in plan or "PartitionFilters: [file" in plan
+    moved = c.withColumn("tags", F.when(F.col("id") == 2, "river").otherwise(F.col("tags")))
+    ids = spark.createDataFrame([("a", "clip", 2), ("a", "photo", 2)], "library_id string, kind string, id bigint")
+    again = search.reindex_grams(search.gram_postings(search.haystacks(c, p)), ids, search.haystacks(moved, p.where("id <> 2")))
+    fresh = search.gram_postings(search.haystacks(moved, p.where("id <> 2")))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, fresh.collect()))
