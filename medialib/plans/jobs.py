@@ -65,12 +65,12 @@ def feed_run(lib: Library, as_of: int, hour: int, tuning: feed.Tuning = feed.Tun
     affinity = taste.taste_affinity(viewers, lib.clips, taste.taste_buckets(lib.events, lib.clips))
     hidden = dups.suppression(lib.dismissals, lib.clips)
     shown = feed.open_clips(lib.watched(), hidden, tuning)
-    scores = feed.scored(shown, viewers, affinity, feed.recent_watches(lib.events), as_of, hour,
-                         {"score": tuning}, library=lib.clips)
+    known = (shown, viewers, affinity, feed.recent_watches(lib.events))
     if served is not None:
         unseen = feed.unseen_counts(viewers, feed.open_clips(lib.clips, hidden), served)
+        scores = feed.session_scores(*known, served, as_of, hour, tuning, library=lib.clips)
         return feed.session_walk(scores, served, unseen, tuning, seed)
-    return feed.reels(feed.candidates(scores, tuning), t=tuning, seed=seed)
+    return feed.reels(feed.best_candidates(*known, as_of, hour, tuning, library=lib.clips), t=tuning, seed=seed)
 
 
 def shelf_run(lib: Library, as_of: int, threshold: float = 0.5) -> DataFrame:
