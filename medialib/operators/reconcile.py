@@ -1,15 +1,18 @@
 """Keeping tables in step with the world: snapshot diff, sweep guard, retention, deletes, stats."""
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from medialib.functions.ranking import top_k
 from medialib.operators.classify import clip_junk, classify_names
+from medialib.session import settle
 from medialib.sources.evolve import with_defaults
 from medialib.sources.schemas import NEW_CLIP, NEW_PHOTO
 
 KEY = ["library_id", "id"]
-METADATA = ["display_name", "duration_ms", "size_bytes", "folder_name", "width", "height"]
+METADATA = ["uri", "display_name", "duration_ms", "size_bytes", "folder_name", "width", "height"]
 
 
 def snapshot_diff(known: DataFrame, seen: DataFrame, compare=METADATA) -> DataFrame:
@@ -139,9 +142,21 @@ def library_stats(clips: DataFrame, persons: DataFrame, vectors: DataFrame) -> D
             .na.fill(0, ["people", "flagged", "vectors", "unassigned"]))
 
 
-def observed(df: DataFrame, stage: str, *measures):
-    """Attach row counts of a stage to the run, read from the metrics once the job has run."""
-    return df.observe(stage, F.count("*").alias("rows"), *measures)
+class RunReport:
+    """What each stage of a run wrote and how long that took, from metrics observed while it was written."""
+
+    def __init__(self, run: str):
+        self.run, self.stages = run, []
+
+    def settle(self, df: DataFrame, stage: str) -> DataFrame:
+        seen, begun = Observation(f"{self.run}-{stage}-{len(self.stages)}"), time.perf_counter()
+        written = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")), stage)
+        self.stages.append((self.run, len(self.stages), stage, seen.get["rows"], time.perf_counter() - begun))
+        return written
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``(run, step, stage, rows, seconds)``, one row per stage written."""
+        return spark.createDataFrame(self.stages, "run string, step int, stage string, rows bigint, seconds double")
 
 
 def threshold_preview(clips: DataFrame, thresholds) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from medialib.operators import queues, reconcile
 from medialib.plans.binding import Binding
+from medialib.plans.jobs import Library, index_run
 from medialib.plans.registry import as_long, query, r6
 from medialib.session import scratch_dir
 from medialib.sources import bundle, catalog, evolve, schemas
@@ -61,10 +62,67 @@ def delta_read(b):
 
 @query
 def recent_events(b):
-    return catalog.recent_events(b.watch_events(), 20).select(
+    return catalog.recent_events(b.watch_events()).select(
         "viewer_id", "row_id", "video_id", *as_long("rank"))
 
 
+@query
+def events_after(b):
+    """Events stored by day, read from a cursor on."""
+    path = f"{scratch_dir(b.spark)}/events-{uuid.uuid4().hex}"
+    catalog.append_events(b.watch_events(), path)
+    stored = catalog.read_events(b.spark, path, days=True)
+    return catalog.events_after(stored, 4_000, "2024-01-21").select("row_id", "viewer_id", "library_id", "video_id")
+
+
+def _bundled(b):
+    return b.watch_events().where("library_id = 'de' AND row_id % 2 = 1").select(
+        "viewer_id", "library_id", "video_id", F.unix_millis("at").alias("at_ms"), "completion", "skipped", "hour_of_day")
+
+
+@query
+def bundle_import_events(b):
+    """Half of one library's events come in again with a bundle and are numbered after all there are."""
+    return bundle.import_events(b.watch_events(), _bundled(b)).select(
+        "viewer_id", "row_id", "library_id", "video_id", F.unix_millis("at").alias("at_ms"))
+
+
+@query
+def bundle_import_favorites(b):
+    """Favourites named twice, and some of no clip; a second import changes nothing."""
+    named = b.clips().where("id % 17 = 0").select("library_id", "id")
+    more = named.unionByName(named).unionByName(named.select("library_id", (-F.col("id") - 1).alias("id")))
+    once = bundle.import_favorites(b.clips(), more)
+    return bundle.import_favorites(once, more).select("library_id", "id", "is_favorite")
+
+
+@query
+def bundle_import_dismissals(b):
+    incoming = b.clips().where("id % 23 = 0").select("library_id", F.col("id").alias("video_id"))
+    once = bundle.import_dismissals(b.dismissals(), incoming)
+    return bundle.import_dismissals(once, incoming)
+
+
+@query
+def snapshot_diff_moved(b):
+    """Files that moved: nothing but their address differs."""
+    place = lambda df, moved: df.withColumn("uri", F.concat(F.lit("content://"), "library_id", F.lit("/"), moved))
+    known = place(b.clips(), F.col("id").cast("string"))
+    seen = place(b.clips(), F.when(F.col("id") % 5 == 0, F.col("id") + 7).otherwise(F.col("id")).cast("string"))
+    return reconcile.snapshot_diff(known, seen)
+
+
+@query
+def run_report(b):
+    """What the stages of an index run over the second snapshot wrote."""
+    report = reconcile.RunReport("nightly")
+    none = lambda ddl: b.spark.createDataFrame([], ddl)
+    library = Library(b.clips_hashed(), b.photos(), b.watch_events(), b.vectors(), b.persons(), b.denials(), b.dismissals(),
+                      b.albums(), none(schemas.GROUP_NAMES))
+    index_run(library, b.listing_new(), b.photos().where("id % 10 <> 3"), report=report)
+    return report.table(b.spark).where(F.col("stage").isin("clips", "photos", "vectors", "events")).select("run", "stage", "rows")
+
+
 @query
 def bundle_import_names(b):
     incoming = (b.persons().select("library_id", "id").withColumn("name", F.expr(
@@ -140,6 +198,13 @@ def retain_events(b):
     return reconcile.retain_events(b.watch_events(), 15).select("viewer_id", "row_id")
 
 
+@query
+def retain_events_many(b):
+    """Few viewers with many events each, cut where they are trimmed in parts first."""
+    few = b.watch_events().withColumn("viewer_id", F.col("viewer_id") % 3)
+    return reconcile.retain_events(few, 700).select("viewer_id", "row_id")
+
+
 @query
 def cascade_delete(b):
     clips, vectors = b.clips(), b.vectors()

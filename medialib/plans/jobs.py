@@ -28,12 +28,14 @@ class Library:
 
 
 def index_run(lib: Library, clip_listing: DataFrame, photo_listing: DataFrame,
-              clip_labels: DataFrame | None = None, photo_labels: DataFrame | None = None) -> Library:
+              clip_labels: DataFrame | None = None, photo_labels: DataFrame | None = None,
+              report: reconcile.RunReport | None = None) -> Library:
     """Reconcile with new listings, classify, repair identities, prune events.
 
     Every table is written before the next stage reads it, so a lost executor costs
-    one stage.
+    one stage. ``report`` takes down what each stage wrote.
     """
+    settle = (report or reconcile.RunReport("index")).settle
     clips = settle(reconcile.reconcile_clips(lib.clips, clip_listing), "clips")
     if clip_labels is not None:
         read = classify.merge_labels(clips, clip_labels, key=("library_id", "id"))
@@ -54,7 +56,7 @@ def index_run(lib: Library, clip_listing: DataFrame, photo_listing: DataFrame,
     named = identity.suggest_names(clips, persons).select("library_id", F.col("person_id").alias("id"), "suggestion")
     persons = persons.join(named, ["library_id", "id"], "left").withColumn(
         "suggested_name", F.coalesce("suggestion", "suggested_name")).drop("suggestion")
-    return Library(clips, settle(photos, "photos"), reconcile.retain_events(lib.events), vectors,
+    return Library(clips, settle(photos, "photos"), settle(reconcile.retain_events(lib.events), "events"), vectors,
                    settle(persons, "persons"), lib.denials, lib.dismissals, lib.albums, lib.group_names)
 
 

@@ -29,12 +29,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Where none is set it lies in the warehouse, which all executors share as well.
+    Where none is set it lies in the warehouse; on a cluster that must not be a folder of one machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: executors on other machines cannot read " + warehouse)
+    return warehouse + "/_scratch"
 
 
 @contextmanager

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medialib.sources import schemas
@@ -87,11 +87,20 @@ def import_group_names(local: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def import_events(local: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Events append. New row ids continue after the largest one, unique without a global sort."""
+    """Events append. A viewer's new rows are numbered by time after the largest row id there is.
+
+    Numbers follow the events themselves, so a task run again gives the same ones. They are counted per viewer and day
+    and ranked inside a day only.
+    """
     last = local.agg(F.coalesce(F.max("row_id"), F.lit(0)).alias("_last"))
+    days = incoming.withColumn("_day", F.floor(F.col("at_ms") / F.lit(86_400_000)))
+    before = Window.partitionBy("viewer_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.groupBy("viewer_id", "_day").agg(F.count("*").alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("viewer_id", "_day").orderBy("at_ms", "library_id", "video_id", "completion", "skipped", "hour_of_day")
     # A one-row table: the cross join is a broadcast of a single number.
-    fresh = incoming.crossJoin(F.broadcast(last)).select(
-        (F.col("_last") + 1 + F.monotonically_increasing_id()).alias("row_id"), "viewer_id",
+    fresh = days.withColumn("_in", F.row_number().over(inside)).join(starts, ["viewer_id", "_day"]).crossJoin(F.broadcast(last)).select(
+        (F.col("_last") + F.col("_start") + F.col("_in")).alias("row_id"), "viewer_id",
         "library_id", "video_id", F.timestamp_millis("at_ms").alias("at"), "completion",
         "skipped", "hour_of_day")
     return local.unionByName(fresh)

@@ -1,6 +1,6 @@
 """Catalogue reads: listing rows become clip and photo rows; deltas; watch-event files."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialib.functions.ranking import top_k
@@ -17,7 +17,7 @@ def read_listing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def clip_rows(listing: DataFrame) -> DataFrame:
-    """Clips from listing rows: last path part as folder, defaults for what is missing."""
+    """Clips from listing rows: last path part as folder, defaults for what is missing; ``uri`` where the listing has it."""
     path = F.regexp_replace(F.coalesce("relative_path", F.lit("")), "^/+|/+$", "")
     folder = F.substring_index(path, "/", -1)
     return listing.select(
@@ -26,7 +26,8 @@ def clip_rows(listing: DataFrame) -> DataFrame:
         .alias("display_name"),
         F.when(folder == "", "Videos").otherwise(folder).alias("folder_name"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in
-          ("duration_ms", "size_bytes", "date_added_sec", "width", "height")])
+          ("duration_ms", "size_bytes", "date_added_sec", "width", "height")],
+        *[F.coalesce(c, F.lit("")).alias(c) for c in listing.columns if c == "uri"])
 
 
 def photo_rows(listing: DataFrame) -> DataFrame:
@@ -54,8 +55,10 @@ def append_events(events: DataFrame, path: str) -> None:
     (events.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(path))
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.WATCH_EVENTS + ", day DATE").parquet(path).drop("day")
+def read_events(spark: SparkSession, path: str, days: bool = False) -> DataFrame:
+    """Stored events; with ``days`` also the day each is kept under."""
+    stored = spark.read.schema(schemas.WATCH_EVENTS + ", day DATE").parquet(path)
+    return stored if days else stored.drop("day")
 
 
 def recent_events(events: DataFrame, keep: int = 300) -> DataFrame:
@@ -63,11 +66,11 @@ def recent_events(events: DataFrame, keep: int = 300) -> DataFrame:
     return top_k(events, ["viewer_id"], [F.desc("at"), F.desc("row_id")], keep, "rank", salt="row_id")
 
 
-def events_after(events: DataFrame, row_id: int) -> DataFrame:
-    return events.where(F.col("row_id") > row_id)
-
-
-def latest_per_key(df: DataFrame, keys, order: str) -> DataFrame:
-    """Last writer wins, by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def events_after(events: DataFrame, row_id: int, seen_until: str | None = None, late_days: int = 1) -> DataFrame:
+    """Events that arrived after ``row_id``. ``seen_until``: the day of the newest event known then; of a table kept by
+    day only the days from ``late_days`` before it are read, as nothing later than that is taken in."""
+    fresh = events.where(F.col("row_id") > row_id)
+    if seen_until is None:
+        return fresh
+    first = F.date_sub(F.lit(seen_until).cast("date"), late_days)
+    return fresh.where((F.col("day") if "day" in events.columns else F.to_date("at")) >= first)

@@ -99,7 +99,7 @@ SQL = {
     "delta_read": with_views("""SELECT library_id, id, display_name, size_bytes FROM listing_new WHERE id % 13 = 0""",
                              "listing_new"),
     "recent_events": with_views("""SELECT viewer_id, row_id, video_id, rank FROM (SELECT *, row_number() OVER (
-      PARTITION BY viewer_id ORDER BY "at" DESC, row_id DESC) AS rank FROM watch_events) WHERE rank <= 20""",
+      PARTITION BY viewer_id ORDER BY "at" DESC, row_id DESC) AS rank FROM watch_events) WHERE rank <= 300""",
                                 "watch_events"),
     "bundle_import_names": with_views("""
       , incoming AS (SELECT library_id, id, CASE id % 3 WHEN 0 THEN 'ANNA' WHEN 1 THEN 'omar' ELSE 'Nobody' END AS name
@@ -115,6 +115,21 @@ SQL = {
         l.verified OR a.offer IS NOT NULL AS verified
       FROM loc l LEFT JOIN adopts a ON a.library_id = l.library_id AND a.id = l.id
       UNION ALL SELECT library_id, id, name, '', true FROM incoming WHERE library_id = 'de'""", "persons"),
+    "events_after": with_views("""SELECT row_id, viewer_id, library_id, video_id FROM watch_events WHERE row_id > 4000 AND "at" >= DATE '2024-01-20'""", "watch_events"),
+    "bundle_import_events": with_views("""SELECT viewer_id, row_id, library_id, video_id, epoch_us("at") // 1000 AS at_ms FROM watch_events
+      UNION ALL SELECT viewer_id, (SELECT max(row_id) FROM watch_events) + row_number() OVER (PARTITION BY viewer_id
+        ORDER BY epoch_us("at") // 1000, library_id, video_id, completion, skipped, hour_of_day), library_id, video_id, epoch_us("at") // 1000
+      FROM watch_events WHERE library_id = 'de' AND row_id % 2 = 1""", "watch_events"),
+    "bundle_import_favorites": with_views("SELECT library_id, id, is_favorite OR id % 17 = 0 AS is_favorite FROM clips", "clips"),
+    "bundle_import_dismissals": with_views("""SELECT library_id, video_id FROM dismissals
+      UNION SELECT library_id, id FROM clips WHERE id % 23 = 0""", "dismissals", "clips"),
+    "snapshot_diff_moved": with_views("SELECT library_id, id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM clips", "clips"),
+    "run_report": _w("""SELECT 'nightly' AS run, 'clips' AS stage, k.n AS rows FROM (SELECT count(*) + (SELECT count(*) FROM diff WHERE status = 'new') AS n
+        FROM diff JOIN guard USING (library_id) WHERE status IN ('changed', 'unchanged') OR status = 'gone' AND existing > 0 AND seen < existing // 2) k, range(2)
+      UNION ALL SELECT 'nightly', 'photos', count(*) FROM (SELECT p.*, count(*) FILTER (WHERE id % 10 <> 3) OVER w AS left_over, count(*) OVER w AS n
+        FROM photos p WINDOW w AS (PARTITION BY library_id)) WHERE id % 10 <> 3 OR left_over < n // 2
+      UNION ALL SELECT 'nightly', 'vectors', count(*) FROM vectors, range(2) GROUP BY range
+      UNION ALL SELECT 'nightly', 'events', count(*) FROM watch_events""", ["clips", "listing_new", "photos", "vectors", "watch_events"], _DIFF),
     "snapshot_diff": _w("SELECT * FROM diff", ["clips", "listing_new"], _DIFF),
     "sweep_guard": _w("SELECT *, NOT (existing > 0 AND seen < existing // 2) AS sweep_ok FROM guard",
                       ["clips", "listing_new"], _DIFF),
@@ -141,6 +156,8 @@ SQL = {
       (-1)::BIGINT AS person_id, false AS is_favorite, manual_group FROM clips""", "clips"),
     "retain_events": with_views("""SELECT viewer_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY viewer_id
       ORDER BY "at" DESC, row_id DESC) AS r FROM watch_events) WHERE r <= 15""", "watch_events"),
+    "retain_events_many": with_views("""SELECT viewer_id, row_id FROM (SELECT viewer_id % 3 AS viewer_id, row_id, row_number() OVER (PARTITION BY viewer_id % 3
+      ORDER BY "at" DESC, row_id DESC) AS r FROM watch_events) WHERE r <= 700""", "watch_events"),
     "cascade_delete": with_views("""SELECT 'clip' AS kind, library_id, id FROM clips WHERE id % 7 <> 3
       UNION ALL SELECT 'vector', v.library_id, v.id FROM vectors v WHERE NOT EXISTS (SELECT 1 FROM clips c
         WHERE c.library_id = v.library_id AND c.id = v.video_id AND c.id % 7 = 3)""", "clips", "vectors"),

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from medialib.operators import reconcile
+from medialib.operators.reconcile import RunReport, reconcile_clips, snapshot_diff
 from medialib.plans.binding import AS_OF, Binding
 from medialib.plans.jobs import Library, feed_run, index_run, search_run, shelf_run
 from medialib.session import scratch_run, settle
@@ -78,3 +79,45 @@ def test_scratch_is_empty_after_a_run(spark):
         path = df.inputFiles()[0].rsplit("/", 1)[0]
         assert df.count() == 1000
     assert spark.read.parquet(path).count() == 0
+
+
+def _events(spark, n=40):
+    return spark.sql(f"""SELECT id AS row_id, id % 3 AS viewer_id, 'a' AS library_id, id % 7 AS video_id,
+        timestamp_seconds(1704067200 + id * 7000) AS at, 0.5D AS completion, false AS skipped, 9 AS hour_of_day FROM range({n})""")
+
+
+def test_reading_after_a_cursor_opens_the_days_it_needs(spark, tmp_path):
+    catalog.append_events(_events(spark), str(tmp_path / "ev"))
+    stored = catalog.read_events(spark, str(tmp_path / "ev"), days=True)
+    fresh = catalog.events_after(stored, 30, "2024-01-03")
+    assert sorted(r.row_id for r in fresh.collect()) == list(range(31, 40))
+    assert len(fresh.inputFiles()) == len(stored.inputFiles())  # pruning is the scan's work
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(row_id), GreaterThan(row_id,30)]" in plan
+    assert sorted(r.row_id for r in catalog.events_after(_events(spark), 30).collect()) == list(range(31, 40))
+
+
+def test_imported_events_are_numbered_by_time_and_alike_on_every_run(spark):
+    local = _events(spark, 5)
+    rows = [(v, "a", i, 1_704_067_200_000 + t, 0.5, False, 9) for i, (v, t) in enumerate([(1, 50), (1, 10), (2, 10), (1, 90_000_000), (1, 10)])]
+    ddl = "viewer_id bigint, library_id string, video_id bigint, at_ms bigint, completion double, skipped boolean, hour_of_day int"
+    got = [{(r.viewer_id, r.video_id): r.row_id for r in bundle.import_events(local, spark.createDataFrame(rows, ddl).repartition(n)).where("row_id > 4").collect()}
+           for n in (1, 3)]
+    assert got[0] == got[1] == {(1, 1): 5, (1, 4): 6, (1, 0): 7, (1, 3): 8, (2, 2): 5}
+
+
+def test_a_run_report_counts_what_was_written(spark):
+    report = RunReport("r")
+    assert report.settle(spark.range(7), "first").count() == 7
+    report.settle(spark.range(0), "second")
+    rows = report.table(spark).orderBy("step").collect()
+    assert [(r.run, r.stage, r.rows) for r in rows] == [("r", "first", 7), ("r", "second", 0)] and rows[0].seconds > 0
+
+
+def test_a_moved_file_is_a_changed_one(spark):
+    known = clips(spark, [dict(id=1), dict(id=2)]).withColumn("uri", F.lit("content://old"))
+    seen = known.withColumn("uri", F.when(F.col("id") == 2, "content://new").otherwise(F.col("uri")))
+    assert {r.id: r.status for r in snapshot_diff(known, seen).collect()} == {1: "unchanged", 2: "changed"}
+    after = reconcile_clips(known, seen.select("library_id", "id", "display_name", "folder_name", "duration_ms", "size_bytes",
+                                               "date_added_sec", "width", "height", "uri"))
+    assert {r.id: r.uri for r in after.collect()} == {1: "content://old", 2: "content://new"}
