@@ -1,5 +1,6 @@
 """Near-duplicate clips: candidate pairs, sets, the copy to keep and why, content lookup, suppression."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ SAME_CONTENT, ALMOST_EXACT = 6, 3
 WINDOW = 7 * DAY
 RATIO_LOW, RATIO_HIGH = 0.75, 1.34
 CELL = ["library_id", "folder"]
+#: Pairs of linked clips up to which one task walks them.
+WALK = 20_000
 
 
 def _profiles(clips: DataFrame) -> DataFrame:
@@ -72,19 +75,47 @@ def duplicate_components(clips: DataFrame) -> DataFrame:
     return _members(clips, linked.unionByName(alone))
 
 
-def duplicate_sets(clips: DataFrame) -> DataFrame:
+def duplicate_sets(clips: DataFrame, walk: int = WALK) -> DataFrame:
     """Clips of duplicate sets as a walk in date order forms them; adds ``set_id``.
 
     In order of date (then id) every clip not yet taken takes all its untaken
-    mates. A clip's turn can be settled once no earlier unsettled clip could take
-    it or share a mate with it, so each round settles every such clip of all
-    libraries at once; a set is never gathered in one task. Rounds follow the
-    longest chain of contested clips, not the size of the data.
+    mates. Clips that no chain of mates links cannot affect each other, so linked
+    clips are labelled first; those with up to ``walk`` pairs are walked as they
+    are, one small group each, and only larger ones in rounds.
     """
-    rounds = Rounds(clips.sparkSession, "dup-edges")
-    edges = rounds.settle(duplicate_pairs(clips).select(
-        "library_id", "folder", "a", "b",
-        F.struct(F.col("time_a").alias("t"), F.col("a").alias("n")).alias("turn")))
+    edges = settle(duplicate_pairs(clips).select(
+        "library_id", "folder", "a", "b", F.col("time_a").alias("t")), "dup-pairs")
+    linked = connected_components(edges.where("a <> b"), "a", "b").select("library_id", F.col("node").alias("a"), "component")
+    named = settle(edges.join(linked, ["library_id", "a"], "left").withColumn("component", F.coalesce("component", "a")), "dup-named")
+    many = named.groupBy("library_id", "component").agg(F.count("*").alias("_n")).where(F.col("_n") > walk).select("library_id", "component")
+    small = named.join(many, ["library_id", "component"], "left_anti").groupBy("library_id", "component").applyInPandas(
+        _walk_sets, "library_id string, node bigint, set_id bigint")
+    large = named.join(many, ["library_id", "component"], "left_semi").drop("component")
+    if large.isEmpty():
+        return _members(clips, small)
+    return _members(clips, settle(small, "dup-walked").unionByName(_sets_in_rounds(large)))
+
+
+def _walk_sets(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The walk over the pairs of linked clips: ``(library_id, node, set_id)``."""
+    owner: dict[int, int] = {}
+    for (_, a), mates in pairs.groupby(["t", "a"], sort=True)["b"]:
+        free = [b for b in mates if b not in owner]
+        if a not in owner and free:
+            owner |= dict.fromkeys(free, a) | {a: a}
+    return pd.DataFrame({"library_id": pairs["library_id"].iloc[0], "node": list(owner), "set_id": list(owner.values())})
+
+
+def _sets_in_rounds(pairs: DataFrame) -> DataFrame:
+    """The same for linked clips of any number.
+
+    A clip's turn can be settled once no earlier unsettled clip could take it or
+    share a mate with it, so each round settles every such clip of all libraries
+    at once; a set is never gathered in one task. Rounds follow the longest chain
+    of contested clips, not the size of the data.
+    """
+    rounds = Rounds(pairs.sparkSession, "dup-edges")
+    edges = rounds.settle(pairs.select("library_id", "folder", "a", "b", F.struct("t", F.col("a").alias("n")).alias("turn")))
     taken = None
     while taken is None or not edges.isEmpty():
         # The earliest unsettled clip that could claim each target, itself included.
@@ -106,7 +137,7 @@ def duplicate_sets(clips: DataFrame) -> DataFrame:
         edges = rounds.settle(
             edges.join(gone.withColumnRenamed("node", "a"), ["library_id", "a"], "left_anti")
             .join(gone.withColumnRenamed("node", "b"), ["library_id", "b"], "left_anti"))
-    return _members(clips, taken)
+    return taken
 
 
 def keepers(members: DataFrame) -> DataFrame:

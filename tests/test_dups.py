@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from medialib.operators import dups, simjoin
@@ -74,7 +75,8 @@ def walk(rows):
     return sets
 
 
-def test_duplicate_sets_equal_the_walk(spark):
+@pytest.mark.parametrize("pairs", [dups.WALK, 12, 0])
+def test_duplicate_sets_equal_the_walk(spark, pairs):
     rnd = random.Random(7)
     base = [rnd.getrandbits(64) for _ in range(4)]
     rows = []
@@ -87,10 +89,19 @@ def test_duplicate_sets_equal_the_walk(spark):
                          duration_ms=rnd.choice([0, 750, 1000, 1334, 1337, 2000])))
     for r in rows:
         r["date_added_sec"] = int(r["date_added_sec"])
-    got = {r["id"]: r["set_id"] for r in dups.duplicate_sets(clips(spark, rows)).collect()}
+    got = {r["id"]: r["set_id"] for r in dups.duplicate_sets(clips(spark, rows), pairs).collect()}
     assert got == walk(rows)
 
 
+def test_a_long_chain_of_contested_clips_takes_no_rounds(spark, monkeypatch):
+    def rounds(pairs):
+        raise AssertionError("walked in rounds")
+    monkeypatch.setattr(dups, "_sets_in_rounds", rounds)
+    rows = [dict(id=i, phash=77, date_added_sec=1_000_000_000 + i * 5 * 86_400) for i in range(1_000)]
+    got = {r["id"]: r["set_id"] for r in dups.duplicate_sets(clips(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(1_000)}
+
+
 def test_keeper_order_savings_and_reasons(spark):
     rows = [dict(id=1, sharpness=5.0, size_bytes=100), dict(id=2, sharpness=9.0, size_bytes=50, smile_count=1),
             dict(id=3, sharpness=9.0, size_bytes=70, smile_count=2)]
