@@ -39,14 +39,14 @@ def dup_sets(b):
 @query
 def dup_keepers(b):
     clips = b.clips_hashed()
-    return dups.keepers(watched(b, dups.duplicate_components(clips))).select(
+    return dups.keepers(watched(b, dups.duplicate_sets(clips))).select(
         "library_id", *as_long("set_id", "keeper_id", "members", "savings_bytes"))
 
 
 @query
 def keeper_reason(b):
     clips = b.clips_hashed()
-    sets = dups.keepers(watched(b, dups.duplicate_components(clips)))
+    sets = dups.keepers(watched(b, dups.duplicate_sets(clips)))
     return dups.keeper_reason(sets).select("library_id", *as_long("set_id", "keeper_id"), "reason")
 
 

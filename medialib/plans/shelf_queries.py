@@ -14,7 +14,7 @@ def _of_kind(b, kind):
 
 def all_groups(b, dup=False):
     clips = watched(b)
-    sets = dups.keepers(watched(b, dups.duplicate_components(b.clips_hashed()))) if dup else None
+    sets = dups.keepers(watched(b, dups.duplicate_sets(b.clips_hashed()))) if dup else None
     return shelves.groups(clips, b.persons(), b.albums(), AS_OF, dup_sets=sets)
 
 
@@ -33,7 +33,7 @@ def shelf_members(b):
 
 @query
 def shelf_duplicate_members(b):
-    members = watched(b, dups.duplicate_components(b.clips_hashed()))
+    members = watched(b, dups.duplicate_sets(b.clips_hashed()))
     return shelves.duplicate_members(members, dups.keepers(members)).select(
         "library_id", *as_long("set_id", "id", "pos"), "redundant")
 
@@ -78,7 +78,7 @@ def shelf_people_fallback(b):
 
 @query
 def shelf_duplicates(b):
-    sets = dups.keepers(watched(b, dups.duplicate_components(b.clips_hashed())))
+    sets = dups.keepers(watched(b, dups.duplicate_sets(b.clips_hashed())))
     return shelves.duplicate_group(sets).select(
         "library_id", "subtitle", *as_long("size", "redundant", "savings_bytes"))
 

@@ -22,7 +22,7 @@ EDGES = f"""
   , prof AS (SELECT library_id, lower(folder_name) AS folder, phash, duration_ms, date_added_sec, count(*) AS copies, min(id) AS node
     FROM clips_h WHERE phash <> 0 GROUP BY ALL),
   edges AS (SELECT a.library_id, a.folder, a.node AS a, b.node AS b, {hd('a.phash', 'b.phash')}::BIGINT AS distance,
-      a.copies AS copies_a, b.copies AS copies_b
+      a.copies AS copies_a, b.copies AS copies_b, a.date_added_sec AS t
     FROM prof a JOIN prof b ON a.library_id = b.library_id AND a.folder = b.folder
      AND abs(a.date_added_sec - b.date_added_sec) < 604800
      AND (a.duration_ms <= 0 OR b.duration_ms <= 0 OR a.duration_ms::DOUBLE / b.duration_ms BETWEEN 0.75 AND 1.34)
@@ -33,7 +33,19 @@ SETS = EDGES + """,
   und AS (SELECT library_id, a, b FROM edges UNION SELECT library_id, b, a FROM edges),
   reach(library_id, a, b) AS (SELECT library_id, a, b FROM und UNION SELECT r.library_id, r.a, u.b FROM reach r JOIN und u
     ON u.library_id = r.library_id AND u.a = r.b),
-  comp AS (SELECT library_id, a AS node, least(a, min(b)) AS set_id FROM reach GROUP BY library_id, a),
+  linked AS (SELECT library_id, a AS node, least(a, min(b)) AS comp FROM reach GROUP BY library_id, a),
+  turns AS (SELECT e.library_id, l.comp, e.a, list(e.b) AS mates, row_number() OVER (PARTITION BY e.library_id, l.comp ORDER BY min(e.t), e.a) AS k
+    FROM edges e JOIN linked l ON l.library_id = e.library_id AND l.node = e.a GROUP BY e.library_id, l.comp, e.a),
+  -- Clip by clip in date order: whoever is free takes its free mates.
+  walk(library_id, comp, k, taken, sets) AS (
+    SELECT DISTINCT library_id, comp, 0::BIGINT, []::BIGINT[], []::STRUCT(node BIGINT, set_id BIGINT)[] FROM turns
+    UNION ALL SELECT library_id, comp, k, CASE WHEN idle THEN taken ELSE list_concat(taken, free) END,
+      CASE WHEN idle THEN sets ELSE list_concat(sets, list_transform(free, lambda m: {'node': m, 'set_id': a})) END
+    FROM (SELECT *, list_distinct(list_append(left_over, a)) AS free, list_contains(taken, a) OR len(left_over) = 0 AS idle
+      FROM (SELECT w.library_id, w.comp, t.k, w.taken, w.sets, t.a, list_filter(t.mates, lambda m: NOT list_contains(w.taken, m)) AS left_over
+        FROM walk w JOIN turns t ON t.library_id = w.library_id AND t.comp = w.comp AND t.k = w.k + 1))),
+  comp AS (SELECT library_id, s.node AS node, s.set_id AS set_id FROM (
+    SELECT library_id, unnest(arg_max(sets, k)) AS s FROM walk GROUP BY library_id, comp)),
   members AS (SELECT c.*, h.phash, k.set_id FROM clips_w c JOIN clips_h h ON h.id = c.id
     JOIN prof p ON p.library_id = c.library_id AND p.folder = lower(c.folder_name) AND p.phash = h.phash
       AND p.duration_ms = c.duration_ms AND p.date_added_sec = c.date_added_sec
@@ -76,7 +88,8 @@ def chained(extra: str, body: str, *views: str, recursive: bool = False) -> str:
 SQL = {
     "hamming_pairs": chained(pairs(6), "SELECT * FROM fp WHERE pairs > 0", "clips_h"),
     "hamming_pairs_wide": chained(pairs(10), "SELECT library_id, phash_a, phash_b, distance, pairs FROM fp WHERE pairs > 0", "clips_h"),
-    "dup_pairs": chained(EDGES, "SELECT * FROM edges", "clips_h"),
+    "dup_pairs": chained(EDGES, "SELECT * EXCLUDE (t) FROM edges", "clips_h"),
+    "dup_sets": chained(SETS, "SELECT library_id, set_id, id FROM members", "clips_h", "clips_w", recursive=True),
     "dup_keepers": chained(SETS, "SELECT library_id, set_id, keeper_id, members, savings_bytes FROM sets",
                            "clips_h", "clips_w", recursive=True),
     "keeper_reason": chained(SETS, """SELECT library_id, set_id, keeper_id, CASE
