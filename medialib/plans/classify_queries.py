@@ -108,6 +108,14 @@ def requeue_unclear(b):
     return classify.requeue_unclear(b.clips()).select("library_id", "id", "prosody_tags")
 
 
+@query
+def requeue_ids(b):
+    """Named clips wait for their voice again; names are given twice, and some are of no clip."""
+    named = b.clips().where("id % 9 = 4").select("library_id", "id")
+    ids = named.unionByName(named).unionByName(named.select("library_id", (F.col("id") + 5_000_000).alias("id")))
+    return classify.requeue_ids(b.clips(), ids).select("library_id", "id", "prosody_tags")
+
+
 @query
 def shape_transcripts(b):
     return b.clips().select(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from medialib.operators import dups, shelves
+from medialib.operators import dups, shelves, taste
 from medialib.plans.binding import AS_OF
 from medialib.plans.dup_queries import watched
 from medialib.plans.registry import as_long, query, r6
@@ -147,3 +147,21 @@ def featured_shelf(b):
 def hide_group(b):
     members = shelves.basic_members(watched(b), AS_OF).where("group_id = 'gems'")
     return shelves.hide_group(members, b.dismissals())
+
+
+@query
+def album_changes(b):
+    """Clips put on the empty album, then the first album deleted: its members are on none."""
+    clips = b.clips()
+    moved = shelves.assign_album(clips, clips.where("id % 12 = 5").select("library_id", "id"), 2)
+    left = shelves.assign_album(moved, moved.where("album_id = 1").select("library_id", "id"), -1)
+    return left.select("library_id", "id", "album_id")
+
+
+@query
+def hand_placement(b):
+    """Clips placed in a group by hand, and some of the placed ones handed back."""
+    clips = b.clips()
+    placed = shelves.assign_group(clips, clips.where("id % 10 = 3").select("library_id", "id"), " Best of ")
+    back = shelves.assign_group(placed, placed.where("id % 97 = 0 OR id % 20 = 3").select("library_id", "id"), "  ")
+    return back.select("library_id", "id", "manual_group", taste.effective_group().alias("effective_group"))

@@ -110,6 +110,7 @@ SQL = {
       FROM v""", "acoustic_windows", "clips"),
     "requeue_unclear": with_views("""SELECT library_id, id, CASE WHEN prosody_tags LIKE '%unclear%' OR prosody_tags LIKE '%flat delivery%'
       OR (speech_ratio > 0.35 AND speech_ratio < 0.55) THEN '' ELSE prosody_tags END AS prosody_tags FROM clips""", "clips"),
+    "requeue_ids": with_views("SELECT library_id, id, CASE WHEN id % 9 = 4 THEN '' ELSE prosody_tags END AS prosody_tags FROM clips", "clips"),
     "shape_transcripts": with_views(rf"""SELECT library_id, id, shaped AS line,
         len(regexp_extract_all(shaped, '[\p{{L}}\p{{Nd}}]')) >= 3 AS usable FROM (
       SELECT *, CASE WHEN length(line) <= 240 THEN line

@@ -100,6 +100,10 @@ SQL = {
       UNION ALL SELECT library_id, 'UNREVIEWED', id FROM clips WHERE brain_level < 1""", "clips"),
     "shelf_people": chained(", " + _PEOPLE, "SELECT * FROM people", "clips", "persons"),
     "shelf_people_fallback": with_views("""SELECT library_id, id FROM clips WHERE junk_score < 0.5 AND face_count > 0 AND library_id = 'fr'""", "clips"),
+    "album_changes": with_views("""SELECT library_id, id, (CASE WHEN id % 12 = 5 THEN 2 WHEN album_id = 1 THEN -1 ELSE album_id END)::BIGINT AS album_id
+      FROM clips""", "clips"),
+    "hand_placement": with_views("""SELECT library_id, id, g AS manual_group, CASE WHEN g = '' THEN category ELSE g END AS effective_group FROM (
+      SELECT *, CASE WHEN id % 97 = 0 OR id % 20 = 3 THEN '' WHEN id % 10 = 3 THEN 'Best of' ELSE manual_group END AS g FROM clips)""", "clips"),
     "shelf_duplicates": chained(SETS, """SELECT library_id, count(*) || ' sets' AS subtitle, sum(members)::BIGINT AS size,
       (sum(members) - count(*))::BIGINT AS redundant, sum(savings_bytes)::BIGINT AS savings_bytes FROM sets GROUP BY 1""",
                                 "clips_h", "clips_w", recursive=True),
