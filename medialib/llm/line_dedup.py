@@ -1,10 +1,13 @@
 """Line de-duplication by winnowing over line hashes.
 
-A text is the sequence of its lines with a word. Every line of ``lone`` words or more is a fingerprint of its own, and
-of every ``window`` consecutive hashes of ``run`` lines the least is one, so a repeated run of ``run + window - 1``
-lines or more always holds one. Fingerprints are joined with the first place that has them and the later copy is
-deleted. With a window above 1 not every run is a fingerprint, so matches are extended line by line in both directions;
-with a window of 1 each line an extension would reach has a fingerprint itself. Order is by document id.
+A text is the sequence of its lines with a word. Of every ``window`` consecutive hashes of ``run`` lines the least is a
+fingerprint, so a repeated run of ``run + window - 1`` lines or more always holds one. Fingerprints are joined with the
+first place that has them, matches are extended line by line in both directions, and the later copy is deleted. Lines of
+``lone`` words or more that lie in no such run are then deleted by their own hash: what a run has taken has an earlier
+place, so the first place of a line is never inside one. Order is by document id.
+
+Texts are kept in parts of ``PART`` lines, so that a match carries two parts and not two texts; an extension ends with
+the shorter part, and the run goes on from the fingerprints of the next one.
 """
 
 import numpy as np
@@ -17,6 +20,8 @@ from medialib.llm.decontaminate import winnow
 from medialib.llm.steps import Steps
 
 RUN, WINDOW, LONE = 2, 1, 8
+PART = 128
+_SPANS = "array<struct<from:int,to:int>>"
 
 
 def line_hashes(block: Block, words: np.ndarray, lines: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -35,10 +40,10 @@ def line_hashes(block: Block, words: np.ndarray, lines: Block) -> tuple[np.ndarr
 
 
 def line_prints(docs: DataFrame, run: int, window: int, lone: int) -> DataFrame:
-    """``(doc, hash, lines, numbers, total, prints, places, tos)`` of each row of ``docs(doc, hash, t)``.
+    """``(doc, hash, part, lines, numbers, words, prints, places)``, a row for each part of each row of ``docs(doc, hash, t)``.
 
-    ``tos``: the raw line number after the lines of a fingerprint, or -1 where the match is to be extended. ``lines``
-    is empty if none is.
+    A part repeats the first ``run - 1`` lines of the next one. ``numbers`` are raw line numbers, one more than lines:
+    the last is that of the line after, or the number of raw lines. ``words`` is empty if every line may be a single one.
     """
 
     def work(batches):
@@ -49,29 +54,29 @@ def line_prints(docs: DataFrame, run: int, window: int, lone: int) -> DataFrame:
                 bounds = np.searchsorted(owner, np.arange(block.texts + 1))
                 feeds = np.concatenate([[0], np.cumsum(block.data == 0x0A)])
                 total = feeds[block.offsets[1:]] - feeds[block.offsets[:-1]] + 1
-                prints, places, tos = [], [], []
-                for lo, hi, end in zip(bounds[:-1], bounds[1:], total, strict=True):
-                    after = np.append(number[lo:hi], end)
-                    at = np.flatnonzero(words[lo:hi] >= lone)
-                    found = [(ngram_hash(hashes[lo:hi], 1)[at], at, after[at + 1])]
-                    if lone > 1:  # else each line of a run has a fingerprint
-                        grams = ngram_hash(hashes[lo:hi], run)
-                        at = winnow(grams, min(window, max(1, len(grams))))
-                        found.append((grams[at], at, after[at + run] if window == 1 else np.full(len(at), -1)))
-                    own = [np.concatenate(x) for x in zip(*found, strict=True)]
-                    prints.append(signed(own[0]))
-                    places.append(own[1])
-                    tos.append(own[2])
-                cut = [slice(lo, hi) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-                kept = signed(hashes) if lone > 1 and window > 1 else np.zeros(0, np.int64)
+                row, part, kept = [], [], {c: [] for c in ("lines", "numbers", "words", "prints", "places")}
+                for text, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    grams = ngram_hash(hashes[lo:hi], run)
+                    at = winnow(grams, min(window, max(1, len(grams))))
+                    after = np.append(number[lo:hi], total[text])
+                    for k in range(-(-(hi - lo) // PART)):
+                        begin, end = k * PART, min(hi - lo, (k + 1) * PART + run - 1)
+                        mine = at[np.searchsorted(at, begin):np.searchsorted(at, begin + PART)]
+                        row.append(block.lo + text)
+                        part.append(k)
+                        kept["lines"].append(signed(hashes[lo + begin:lo + end]))
+                        kept["numbers"].append(after[begin:end + 1])
+                        kept["words"].append(words[lo + begin:lo + end] if lone > 1 else words[:0])
+                        kept["prints"].append(signed(grams[mine]))
+                        kept["places"].append(mine)
+                taken = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).slice(block.lo, block.texts) for c in ("doc", "hash")),
-                     lists([kept[c] for c in cut], pa.int64()), lists([number[c] for c in cut], pa.int32()),
-                     pa.array(total.astype(np.int32)), lists(prints, pa.int64()), lists(places, pa.int32()), lists(tos, pa.int32())],
-                    ["doc", "hash", "lines", "numbers", "total", "prints", "places", "tos"])
+                    [b.column("doc").take(taken), b.column("hash").take(taken), pa.array(part, pa.int32()),
+                     *(lists(v, pa.int64() if c in ("lines", "prints") else pa.int32()) for c, v in kept.items())],
+                    ["doc", "hash", "part", *kept])
 
-    return docs.mapInArrow(work, "doc bigint, hash bigint, lines array<bigint>, numbers array<int>, total int, "
-                                 "prints array<bigint>, places array<int>, tos array<int>")
+    return docs.mapInArrow(work, "doc bigint, hash bigint, part int, lines array<bigint>, numbers array<int>, "
+                                 "words array<int>, prints array<bigint>, places array<int>")
 
 
 def _extend(own: np.ndarray, src: np.ndarray, at: int, place: int) -> tuple[int, int]:
@@ -84,6 +89,13 @@ def _extend(own: np.ndarray, src: np.ndarray, at: int, place: int) -> tuple[int,
     return lo, at + (ahead if same.all() else int(same.argmin()))
 
 
+def _later(places: DataFrame) -> DataFrame:
+    """Rows of ``places(print, doc, hash, place, ...)`` whose print has an earlier place, with the first as ``src``."""
+    me = F.struct("doc", "hash", "place")
+    first = places.groupBy("print").agg(F.min(me).alias("src"), F.max(me).alias("last")).where("src < last").drop("last")
+    return places.join(first, "print").where(me > F.col("src"))
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
                   window: int = WINDOW, lone: int = LONE) -> DataFrame:
     """``(doc, hash, runs)`` for texts with repeated runs; ``runs``: [from, to) numbers of the lines to delete.
@@ -95,18 +107,24 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("t")).where(
         "doc is not null and t is not null").select("doc", F.xxhash64("t").alias("hash"), "t")
     known = steps.settle(line_prints(texts, run, window, lone), "prints")
-    flat = (known.select("doc", "hash", F.explode(F.arrays_zip("prints", "places", "tos", F.transform(
-        "places", lambda x: F.get("numbers", x)).alias("froms"))).alias("p"))
-            .select("doc", "hash", F.col("p.prints").alias("print"), F.col("p.places").alias("place"),
-                    F.col("p.froms").alias("from"), F.col("p.tos").alias("to")))
-    me = F.struct("doc", "hash", "place")
-    first = flat.groupBy("print").agg(F.min(me).alias("src"), F.max(me).alias("last")).where("src < last").drop("last")
-    hits = flat.join(first, "print").where(me > F.col("src"))
-    spans = hits.where("to >= 0").groupBy("doc", "hash").agg(F.collect_set(F.struct("from", "to")).alias("runs"))
-    if lone > 1 and window > 1:
-        spans = spans.unionByName(_extended(known, hits.where("to < 0")))
+    flat = known.select("doc", "hash", F.inline(F.arrays_zip(F.col("prints").alias("print"), F.col("places").alias("place"))))
+    parts = known.drop("prints", "places").dropDuplicates(["doc", "hash", "part"])
+    key = ["doc", "hash", "part"]
+    extended = steps.settle(_extended(parts.drop("words"), _later(flat)).groupBy(*key).agg(
+        F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+
+    free = ~F.exists(F.coalesce("places", F.array().cast(_SPANS)),
+                     lambda s: (s["from"] <= F.col("line.at")) & (F.col("line.at") < s["to"]))
+    tall = F.lit(True) if lone <= 1 else F.get("words", F.col("line.at")) >= lone
+    single = (parts.join(extended.select(*key, "places"), key, "left")
+              .withColumn("line", F.explode(F.transform(F.slice("lines", 1, PART), lambda x, i: F.struct(x.alias("print"), i.alias("at")))))
+              .where(free & tall)
+              .select("doc", "hash", "line.print", (F.col("part") * PART + F.col("line.at")).alias("place"),
+                      F.get("numbers", F.col("line.at")).alias("from"), F.get("numbers", F.col("line.at") + 1).alias("to")))
+    spans = extended.select("doc", "hash", "runs").unionByName(
+        _later(single).groupBy("doc", "hash").agg(F.collect_set(F.struct("from", "to")).alias("runs")))
     return steps.settle(spans.groupBy("doc", "hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-                        .mapInArrow(_merged, "doc bigint, hash bigint, runs array<struct<from:int,to:int>>"), "runs")
+                        .mapInArrow(_merged, f"doc bigint, hash bigint, runs {_SPANS}"), "deleted")
 
 
 def _merged(batches):
@@ -126,32 +144,39 @@ def _merged(batches):
             ["doc", "hash", "runs"])
 
 
-def _extended(known: DataFrame, hits: DataFrame) -> DataFrame:
-    """``(doc, hash, runs)``: the runs around fingerprints met, extended line by line."""
-    met = hits.groupBy("doc", "hash", F.col("src.doc").alias("src_doc"), F.col("src.hash").alias("src_hash"),
-                       (F.col("place") - F.col("src.place")).alias("shift")).agg(F.collect_set("place").alias("at"))
-    unique = known.select("doc", "hash", "lines", "numbers", "total").dropDuplicates(["doc", "hash"])
-    both = (met.join(unique, ["doc", "hash"])
-            .join(unique.select(F.col("doc").alias("src_doc"), F.col("hash").alias("src_hash"),
-                                F.col("lines").alias("src_lines")), ["src_doc", "src_hash"]))
+def _extended(parts: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(doc, hash, part, places, runs)``: the runs around fingerprints met, extended line by line.
+
+    ``places`` are lines of the part, ``runs`` the same as raw line numbers. A row ties one part with one part of a source.
+    """
+    of = lambda place: F.floor(place / PART).cast("int")
+    met = hits.groupBy("doc", "hash", of(F.col("place")).alias("part"), F.col("src.doc").alias("src_doc"), F.col("src.hash").alias("src_hash"),
+                       of(F.col("src.place")).alias("src_part")).agg(F.collect_set(F.struct(
+                           (F.col("place") % PART).alias("at"), (F.col("src.place") % PART).alias("there"))).alias("met"))
+    both = (met.join(parts, ["doc", "hash", "part"])
+            .join(parts.select(F.col("doc").alias("src_doc"), F.col("hash").alias("src_hash"), F.col("part").alias("src_part"),
+                               F.col("lines").alias("src_lines")), ["src_doc", "src_hash", "src_part"]))
+    span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
     def work(batches):
         for b in batches:
-            runs = []
-            for own, src, numbers, total, shift, at in zip(*(b.column(c).to_pylist() for c in (
-                    "lines", "src_lines", "numbers", "total", "shift", "at")), strict=True):
-                own, src, found, seen = np.asarray(own, np.int64), np.asarray(src, np.int64), [], -1
-                for place in sorted(at):
-                    if place >= seen:
-                        lo, seen = _extend(own, src, place, place - shift)
-                        found.append({"from": numbers[lo], "to": numbers[seen] if seen < len(own) else total})
-                runs.append(found)
+            places, runs = [], []
+            for own, src, numbers, met in zip(*(b.column(c).to_pylist() for c in ("lines", "src_lines", "numbers", "met")), strict=True):
+                own, src = np.asarray(own, np.int64), np.asarray(src, np.int64)
+                found, reach = [], {}
+                for at, there in sorted((m["at"], m["there"]) for m in met):
+                    if at >= reach.get(at - there, 0):  # else inside a run of the same shift
+                        lo, hi = _extend(own, src, at, there)
+                        reach[at - there] = hi
+                        found.append((lo, hi))
+                places.append([{"from": lo, "to": hi} for lo, hi in found])
+                runs.append([{"from": numbers[lo], "to": numbers[hi]} for lo, hi in found])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), b.column("hash"),
-                 pa.array(runs, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))], ["doc", "hash", "runs"])
+                [*(b.column(c) for c in ("doc", "hash", "part")), pa.array(places, span), pa.array(runs, span)],
+                ["doc", "hash", "part", "places", "runs"])
 
-    return both.select("doc", "hash", "lines", "src_lines", "numbers", "total", "shift", "at").mapInArrow(
-        work, "doc bigint, hash bigint, runs array<struct<from:int,to:int>>")
+    return both.select("doc", "hash", "part", "lines", "src_lines", "numbers", "met").mapInArrow(
+        work, f"doc bigint, hash bigint, part int, places {_SPANS}, runs {_SPANS}")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, window: int = WINDOW,
@@ -165,17 +190,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id and one text are one document and are treated alike. ``removed_col`` adds the number of deleted lines. Other
     columns, whatever their names, pass through.
     """
-    runs = repeated_runs(docs, id_col, text_col, run, window, lone).select(
-        F.col("doc").alias("_ld_doc"), F.col("hash").alias("_ld_hash"), F.col("runs").alias("_ld_runs"))
-    text = F.col(f"`{text_col}`")
+    runs = repeated_runs(docs, id_col, text_col, run, window, lone)
+    # Columns go by position, as any name may be taken.
+    named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own, text = docs.toDF(*named.values()), F.col(named[text_col])
     # Merged at every size: beyond small tables the runs are too many to broadcast, and the plan should not depend on that.
-    joined = docs.join(runs.hint("merge"), (F.col(f"`{id_col}`").cast("bigint") == F.col("_ld_doc")) & (F.xxhash64(text) == F.col("_ld_hash")),
-                       "left")
+    joined = own.join(runs.hint("merge"), (F.col(named[id_col]).cast("bigint") == F.col("doc")) & (F.xxhash64(text) == F.col("hash")),
+                      "left")
     lines = F.split(text, "\n")
-    stays = F.filter(lines, lambda x, i: ~F.exists("_ld_runs", lambda r: (i >= r["from"]) & (i < r["to"])))
-    hit = F.col("_ld_runs").isNotNull()
+    stays = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["from"]) & (i < r["to"])))
+    hit = F.col("runs").isNotNull()
     new_text = F.when(hit, F.array_join(stays, "\n")).otherwise(text)
-    columns = [new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    if removed_col:
-        columns.append(F.when(hit, F.size(lines) - F.size(stays)).otherwise(0).cast("bigint").alias(removed_col))
-    return joined.select(*columns)
+    columns = [(new_text if c == text_col else F.col(n)).alias(f"out_{n}") for c, n in named.items()]
+    columns.append(F.when(hit, F.size(lines) - F.size(stays)).otherwise(0).cast("bigint").alias("removed"))
+    out = joined.select(*columns)
+    return out.toDF(*docs.columns, removed_col) if removed_col else out.drop("removed").toDF(*docs.columns)

@@ -132,8 +132,10 @@ def _left_over(tried: DataFrame, sets: DataFrame, found: DataFrame, percent: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    percent: int = 85, bands: int = BANDS, rows: int = ROWS, hash_col: str | None = None) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per input row; ``hash_col`` adds ``xxhash64`` of its text.
+                    percent: int = 85, bands: int = BANDS, rows: int = ROWS, hash_col: str | None = None,
+                    group_col: str | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row per input row; ``hash_col`` adds ``xxhash64`` of its text,
+    ``group_col`` a name of its component that differs even where one id has texts of several components.
 
     Texts are linked where ``100 * |A & B| >= percent * |A | B|`` over their sets of distinct lower-cased (A-Z)
     ``shingle``-word shingles; a component is named by the smallest id reachable. Equal sets are one node, so masses
@@ -184,12 +186,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = connected_components(links.unionByName(more), "a", "b", keys=())
     steps.clear("items", "buckets", "rest")
 
-    # Names by smallest document id, then back to the rows. An id with several texts ties their components.
+    # Names by smallest document id, then back to the rows.
     named = (sets.select("set_id", "rep").join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
              .withColumn("component", F.coalesce("component", "set_id")))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_set = named.join(least, "component").select("set_id", "component_id")
+    by_set = named.join(least, "component").select("set_id", "component", "component_id")
     out = sig.select("doc_id", "hash", "n_shingles", "set_id").join(by_set, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
                       F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-                      *([F.col("hash").alias(hash_col)] if hash_col else []))
+                      *([F.col("hash").alias(hash_col)] if hash_col else []),
+                      *([F.coalesce("component", "hash").alias(group_col)] if group_col else []))

@@ -54,7 +54,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_lines(docs, lone=1, removed_col="n_removed")
+    out = line_dedup.dedup_lines(docs, window=3, lone=1, removed_col="n_removed")
     return out.select("doc_id", "n_removed", "text")
 
 

@@ -4,7 +4,7 @@ import pytest
 
 SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe ri so tu".split()
 #: Names that operators use inside; documents may carry them too.
-CLASHING = ("t", "doc", "hash", "key", "row", "task", "length", "score", "component", "lines", "bands", "items")
+CLASHING = ("t", "doc", "hash", "key", "row", "task", "length", "score", "component", "lines", "bands", "items", "_ld_doc", "_ld_hash", "_ld_runs", "runs", "c0")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 

@@ -84,3 +84,15 @@ def test_single_lines_and_pairs(frame, prose):
             gone |= {i, i + 1} if p in twos else set()
             twos.add(p)
         assert pairs[d] == [x for i, x in enumerate(own) if i not in gone]
+
+
+def test_runs_and_single_lines_across_parts(frame, monkeypatch):
+    """Winnowed runs, then single lines: together every later repeat goes, in texts of many parts too."""
+    rnd = random.Random(21)
+    base = [f"line {i} of it" for i in range(700)]
+    rows = [(1, "\n".join(base)), (2, "\n".join(["new start", *base[100:500], "new end", *base[90:95]])), (3, "x\n" * 900 + "\n".join(base[300:640])),
+            (4, "\n".join(rnd.choice(base[:40]) for _ in range(600))), (5, "\n".join(["x", "y"] * 400)), (5, "\n".join(base[5:300])), (5, "own 5\nx")]
+    got = [(r.doc_id, filled(r.text)) for r in dedup_lines(frame(rows), window=3, lone=1).collect()]
+    assert sorted(got) == [(1, base), (2, ["new start", "new end"]), (3, ["x"]), (4, []), (5, []), (5, ["own 5"]), (5, ["y"])]
+    wide = {r.doc_id: filled(r.text) for r in dedup_lines(frame(rows[:2]), window=4, lone=99).collect()}
+    assert wide[2][:2] == ["new start", "new end"]  # the runs are found from fingerprints alone
