@@ -23,15 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeats of a line; documents left without a word have been repeats throughout and go."""
-    out = line_dedup.dedup_lines(docs.select(COLUMNS), lone=1, removed_col="n_removed")
+    out = line_dedup.dedup_lines(docs.select(COLUMNS), window=3, lone=1, removed_col="n_removed")
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~emptied).withColumn(
         "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows equal in id and text one."""
-    kept = near_dup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, hash_col="hash").where("kept and doc_id is not null")
+    """One row of each near-duplicate group: its smallest id, of that id's texts in the group the one of least hash."""
+    found = near_dup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, hash_col="hash", group_col="group")
+    kept = found.where("kept and doc_id is not null").groupBy("doc_id", "group").agg(F.min("hash").alias("hash"))
     # Merged at every size, as most documents are kept; repeated rows then already lie together.
     own = docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
     rows = own.join(kept.select("doc_id", "hash").hint("merge"), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
