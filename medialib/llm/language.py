@@ -13,9 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medialib.functions.ranking import top_k
 from medialib.llm.quality_rank import held_out
 
-#: A dictionary is at most PIECES cuts of PIECE characters; there are at most LANGUAGES of them.
+#: A dictionary is at most PIECES cuts of PIECE characters; only the LANGUAGES languages with most texts have one.
 PIECES, PIECE, LANGUAGES = 256, 1024, 400
 LEVEL = 3
 #: The least lead over the second language, as a share of the compressed size, that is trusted.
@@ -29,28 +30,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A dictionary per language, from rows outside the held-out fold with an id, a language and a text.
 
     From every language about ``pieces`` texts are chosen by a hash of id and text, and of each a cut of ``piece``
-    characters at a hashed place; of equal texts one counts.
+    characters at a hashed place; of equal texts one counts. Beyond
+    ``LANGUAGES`` languages the ones with fewest texts are not learnt.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t"),
                        F.col(lang_col).alias("lang"))
     rows = rows.where(~held_out("doc_id", 3, 1)).where("lang is not null and t is not null and doc_id is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not counts:
+    if rows.isEmpty():
         return {}
     scale = 1 << 30
-    chance = F.lit(0)
-    for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, int(min(1.0, 2 * pieces / n) * scale)).otherwise(chance)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale)) < chance)
+    # A row a language, and at most LANGUAGES of them: what is broadcast and collected here doesn't grow with the table.
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in langs.collect()}
+    chances = docs.sparkSession.createDataFrame(
+        [(lang, int(min(1.0, 2 * pieces / n) * scale)) for lang, n in counts.items()], "lang string, chance long")
+    chosen = rows.join(F.broadcast(chances), "lang").where(F.pmod(F.xxhash64("doc_id", "t", F.lit(17)), F.lit(scale)) < F.col("chance"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.greatest(F.length("t") - F.lit(piece), F.lit(0)) + 1) + 1
     cuts = chosen.select("lang", F.xxhash64("t").alias("h"), F.substring("t", place.cast("int"), F.lit(piece)).alias("cut"))
-    # About 2 * pieces cuts a language, whatever the table's size. The language with most texts comes first.
+    # One cut of equal texts, and the first of each language by hash: ``pieces`` rows, whatever ids repeat.
+    cuts = top_k(cuts.groupBy("lang", "h").agg(F.min("cut").alias("cut")), ["lang"], [F.asc("h")], pieces)
     by: dict[str, dict[int, str]] = {}
     for r in cuts.collect():
-        by.setdefault(r["lang"], {}).setdefault(r["h"], r["cut"])
-    return {lang: "\n".join(v for _, v in sorted(by[lang].items())[:pieces]).lower().encode()
+        by.setdefault(r["lang"], {})[r["h"]] = r["cut"]
+    return {lang: "\n".join(v for _, v in sorted(by[lang].items())).lower().encode()
             for lang in sorted(by, key=lambda x: (-counts[x], x))}
 
 

@@ -8,8 +8,8 @@ Everything is DataFrame functions.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialib.llm.components import components
 from medialib.llm.steps import Steps
-from medialib.operators.components import connected_components
 
 #: (verdict, host, path start) of the production rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -64,9 +64,9 @@ _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(key, target)`` of redirects (``meta refresh``) and canonical links in ``pages(url, html)``, without loops."""
+    """``(key, target)`` of all redirects (``meta refresh``) and canonical links in ``pages(url, html)``, without loops."""
     html = F.coalesce("html", F.lit(""))
-    links = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
+    links = F.concat(*[F.regexp_extract_all(html, F.lit(tag), F.lit(1)) for tag in (_CANONICAL, _REFRESH)])
     tied = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(
         "url", F.explode(F.filter(links, lambda h: h != "")).alias("href"))
     out = tied.select("url", _target(F.col("url"), F.col("href")).alias("to")).where(
@@ -81,7 +81,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     ``verdict`` is the fitting rule's; without one it is ``block`` if an alias is blocked by a rule and none is
     explicitly allowed, else ``allow``. ``more_edges(from_url, to_url)``: redirects known from elsewhere. Null url or
     one without ``://``: empty host and path, no alias, judged ``allow`` unless a rule fits the empty host. Null html:
-    no edges. Repeated rows: each is judged alike. Ties of rules of one length go to ``allow``. Further columns are not
+    no edges; html of any length is searched whole. Repeated rows: each is judged alike. Ties of rules of one length go to ``allow``. Further columns are not
     looked at.
     """
     steps = Steps(pages.sparkSession, "aliases")
@@ -105,7 +105,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     node_host, node_path = host_and_path(F.concat(F.lit("x://"), F.col("key")))
     _, node_verdict = rule_for(node_host, node_path, rules)
     nodes = nodes.select("key", F.xxhash64("key").alias("node"), node_verdict.alias("own"))
-    tied = connected_components(edges.select(F.xxhash64("key").alias("a"), F.xxhash64("target").alias("b")), "a", "b", keys=())
+    tied = components(edges.select(F.xxhash64("key").alias("a"), F.xxhash64("target").alias("b")))
     placed = nodes.join(tied, "node")
     group = placed.groupBy("component").agg(F.coalesce(F.bool_or(F.col("own") == "block"), F.lit(False)).alias("blocked"),
                                             F.coalesce(F.bool_or(F.col("own") == "allow"), F.lit(False)).alias("allowed"))

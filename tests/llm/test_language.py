@@ -28,3 +28,11 @@ def test_edges(spark, frame):
     got = sorted(((r.doc_id or 0, r.lang_pred) for r in language.classify(frame(rows), known).collect()))
     assert got == [(0, "en"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (4, "en")]
     assert language.classify(frame([]), known).collect() == []
+
+
+def test_many_languages_and_one_id_of_many_rows(spark):
+    rows = [(i, f"l{i % 450:03d}", f"words {i} of a text") for i in range(2250)] + [(i, "l001", f"more {i}") for i in range(40)]
+    rows += [(9, "l002", f"row {i} of the same id") for i in range(3000)]
+    got = language.train(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), pieces=4)
+    assert len(got) == language.LANGUAGES and {"l001", "l002"} <= set(got)
+    assert all(len(d.split(b"\n")) <= 4 for d in got.values())

@@ -1,3 +1,6 @@
+import random
+
+from medialib.llm.components import components
 from medialib.llm.url_aliases import judge
 
 
@@ -40,3 +43,30 @@ def test_long_chain_and_known_redirects(spark):
     more = spark.createDataFrame([("http://s.net/60", "http://u.com/de/"), (None, "x")], "from_url string, to_url string")
     assert {r.verdict for r in judge(df, more_edges=more).collect()} == {"block"}
     assert judge(df.limit(0)).collect() == []
+
+
+def test_every_link_of_a_page_counts(spark):
+    far = "<p>" + "x " * 200_000
+    rows = [(1, "http://a.net/1", link("http://a.net/2") + far + link("http://u.com/de/1")),
+            (2, "http://a.net/3", refresh("http://a.net/4") + refresh("http://u.com/de/2")), (3, "http://a.net/2", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.verdict for r in judge(df).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
+def test_components_equal_union_find(spark):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(1000, 1000 + i) for i in range(1, 200)]
+    edges += [(i, i + 1) for i in range(2000, 2070)] + [(7, 7), (None, 5), (3000, -9)] * 2
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        if a is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    assert {(r.node, r.component) for r in components(df).collect()} == {(x, find(x)) for x in list(parent)}
+    assert components(df.limit(0)).collect() == []
