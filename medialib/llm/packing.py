@@ -1,11 +1,10 @@
-"""Bulk-synchronous best-fit packing of token pieces into sequences of fixed capacity.
-
-One round places all documents of one length at once, longest first: gaps are sorted by size, the documents of the
-round by rank, and a successor sweep gives ranks 1, 2, ... to the smallest gaps that hold them; a document whose gap is
-taken by a better rank falls to the next gap, what no gap holds opens new sequences, and the gaps are updated before
-the next round. As equal lengths are interchangeable, documents and gaps are kept as runs (size, count), so a round
-touches runs and not rows, and the whole state is bounded by the capacity, not by the corpus. The rows themselves stay
-distributed: they are ranked inside (length, task) groups and look their rank up in the plan.
+"""Best-fit packing of token pieces into sequences of fixed capacity, on runs of equal lengths and gaps.
+
+The dealt method, bulk-synchronous rounds with distributed sweeps, was tried and replaced: it needed more sequences and
+some hundred Spark jobs (figures in the README). Equal lengths are interchangeable, so documents and gaps are kept as
+runs (size, count), whose number is bounded by the capacity and not by the corpus; the driver places the runs, longest
+first, each in the smallest gaps that hold it, conflicts going by rank. The rows stay distributed: they are ranked
+inside (length, task) groups and look their rank up in the plan, of a few thousand rows.
 """
 
 import zlib
