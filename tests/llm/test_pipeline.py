@@ -35,3 +35,12 @@ def test_rows_of_one_id_with_unlike_texts(spark, frame, prose, tmp_path):
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = pipeline.benchmark(spark, docs, str(tmp_path))
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((d or 0, t) for d, t in rows if item not in t)
+
+
+def test_near_texts_of_one_id_leave_one_row(spark, frame, prose):
+    words = prose(200, 5).split()
+    near = " ".join([*words[:199], "other"])
+    rows = [(5, " ".join(words)), (5, near), (5, prose(80, 6)), (8, near), (9, None), (9, "")]
+    got = pipeline.near_duplicates(spark, frame(rows).select(pipeline.COLUMNS), "").collect()
+    assert sorted(r.doc_id for r in got) == [5, 5, 9, 9]
+    assert prose(80, 6) in {r.text for r in got}
