@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,23 @@ def test_mirrored_blocks_meet_once(spark):
     assert pairs(simjoin.cosine_pairs(v, 0.6, block=16)).keys() == pairs(simjoin.cosine_pairs(v, 0.6)).keys()
     seen = [(r.a, r.b) for r in simjoin.cosine_pairs(v, 0.6, block=16).collect()]
     assert len(seen) == len(set(seen))
+
+
+def test_rows_go_to_no_more_blocks_where_a_library_grows(spark):
+    def blocks(n):
+        v = spark.range(n).select(F.lit("a").alias("library_id"), "id")
+        count = lambda pdf: pd.DataFrame({"side": pdf["_side"], "n": 1})
+        return simjoin.blocked(v, v, ["library_id"], 16, count, "side int, n int", mirrored=True).count() / n
+    assert blocks(1_600) <= 1.1 * blocks(160) <= 1.1 * 9.5
+
+
+def test_slices_change_no_pair_and_no_best_person(spark, monkeypatch):
+    v = vectors(spark, [("a", 40, 3), ("b", 9, 2)]).withColumn("person_id", (F.col("id") % 7).cast("int"))
+    def found():
+        best = {(r.library_id, r.id, r.person_id): round(r.sim, 9) for r in simjoin.best_two_persons(v, v).collect()}
+        links = {(r.library_id, r.a, r.b): round(r.sim, 9) for r in simjoin.person_links(v, 0.6).collect()}
+        return pairs(simjoin.cosine_pairs(v, 0.6)).keys(), best, links
+    whole = found()
+    parts = lambda q, s: ((q.iloc[i:i + 5], simjoin.similarities(q.iloc[i:i + 5], s)) for i in range(0, len(q), 5))
+    monkeypatch.setattr(simjoin, "sliced", parts)
+    assert found() == whole and len(whole[0]) > 100
