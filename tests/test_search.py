@@ -167,3 +167,30 @@ def test_stored_pieces_give_the_same_hits_and_only_their_files_are_read(spark, t
     again = search.reindex_grams(search.gram_postings(search.haystacks(c, p)), ids, search.haystacks(moved, p.where("id <> 2")))
     fresh = search.gram_postings(search.haystacks(moved, p.where("id <> 2")))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, fresh.collect()))
+
+
+def test_pairs_are_not_shuffled_and_equal_scoring_text_by_text(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 7)
+    rnd = random.Random(5)
+    words = ["la", "lamer", "de", "mer", "a1", "été"]
+    said = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    c = watched_clips(spark, [dict(id=i, library_id="ab"[i % 2], transcript=said(rnd.randint(0, 6))) for i in range(60)])
+    p = photos(spark, [dict(id=i, library_id="ab"[(i or 0) % 2], tags=said(2)) for i in [*range(40), None]])
+    people = spark.createDataFrame([], schemas.PERSONS)
+    q = spark.createDataFrame([(i, "ab"[i % 2], said(rnd.randint(0, 5))) for i in range(20)] + [(3, "b", "mer mer zz"), (4, "a", None), (None, "a", "de")], Q)
+    index = settle(search.postings(search.documents_index(c, p, people)))
+    docs = search.memory_docs(c, p)
+    docs = settle(docs.unionByName(docs.where("id % 5 = 0")).unionByName(docs.where("id = 7").withColumn("text", F.lit("de mer"))))
+    terms = search.query_terms(q)
+    pairs = search.prefix_candidates(terms, index)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")] and "MapInArrow" in plan
+    want = {}
+    for r in terms.withColumnRenamed("term", "asked").join(search.prefix_hits(terms, index), ["library_id", "asked"]).collect():
+        want[r.query_id, r.library_id, r.kind, r.id] = want.get((r.query_id, r.library_id, r.kind, r.id), 0) + 1
+    assert {(r.query_id, r.library_id, r.kind, r.id): r.matched for r in pairs.collect()} == want and pairs.count() == len(want) > 300
+    assert any(i is None for *_, i in want) and any(i is None for i, *_ in want)
+    asked = q.select("query_id", "text")
+    rows = lambda df: sorted((r.query_id, r.kind, r.id, r.matched, -1 if r.score is None else round(r.score, 9)) for r in df.collect())
+    scored = search.match_scores(search.prefix_candidates(terms, index, texts=(asked, docs)), asked, docs)
+    assert rows(scored) == rows(search.match_scores(pairs, asked, docs))
