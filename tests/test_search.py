@@ -194,3 +194,38 @@ def test_pairs_are_not_shuffled_and_equal_scoring_text_by_text(spark, monkeypatc
     rows = lambda df: sorted((r.query_id, r.kind, r.id, r.matched, -1 if r.score is None else round(r.score, 9)) for r in df.collect())
     scored = search.match_scores(search.prefix_candidates(terms, index, texts=(asked, docs)), asked, docs)
     assert rows(scored) == rows(search.match_scores(pairs, asked, docs))
+
+
+def test_blocks_of_texts_give_the_same_hits_as_comparing_every_text(spark, monkeypatch):
+    monkeypatch.setattr(search, "LETTERS", 40)
+    rnd = random.Random(9)
+    said = lambda n: "".join(rnd.choice("abé𝄞 ") for _ in range(n))
+    c = watched_clips(spark, [dict(id=i, library_id="ab"[i % 2], display_name="", folder_name="", category="", transcript=said(rnd.randint(0, 40))) for i in range(60)]
+                      + [dict(id=None, transcript="ab ab")])
+    p = photos(spark, [dict(id=i, library_id="ab"[i % 2], display_name=said(9), folder_name="", category="") for i in range(30)])
+    texts = [said(n) for n in (1, 2, 2, 3, 3, 4, 4, 5, 6, 7)] * 2 + [None, "", "\u0001\u0001", "é𝄞", "AB", "b" * 50]
+    q = spark.createDataFrame([(i, "ab"[i % 2], t) for i, t in enumerate(texts)] + [(0, "a", texts[1]), (70, None, "ab")], Q)
+    got = search.substring_candidates(q, c, p)
+    hay = search.haystacks(c, p).where("id is not null").withColumnRenamed("text", "hay").collect()
+    want = [(r.query_id, r.library_id, h.kind, h.id) for r in q.collect() if len(r.text or "") > 1 for h in hay
+            if h.library_id == r.library_id and r.text.lower() in h.hay]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")]
+
+
+def test_scored_pairs_stay_in_their_block(spark, monkeypatch):
+    monkeypatch.setattr(search, "BEST_BLOCK", 100)
+    c = watched_clips(spark, [dict(id=i, category="boat", transcript="sea" if i % 3 else "sea sun", watch_count=i % 5) for i in range(2_000)])
+    p, people = photos(spark, [dict(id=1, tags="boat,sea")]), spark.createDataFrame([], schemas.PERSONS)
+    q = spark.createDataFrame([(1, "a", "boat sea sun"), (2, "a", "oat"), (3, "a", "?")], Q)
+    index, docs = search.postings(search.documents_index(c, p, people)), search.memory_docs(c, p)
+    net, ties = search.substring_candidates(q, c, p), search.tie_breaks(c, p)
+    best = search._block_best
+    left = []
+    monkeypatch.setattr(search, "_block_best", lambda *a: left.append(settle(best(*a))) or left[-1])
+    got = search.search_best(q, index, net, docs, ties, 15)
+    plain = search.search_ranked(search.prefix_candidates(search.query_terms(q), index), net, q, docs, ties, 15)
+    assert ranks(got) == ranks(plain) and got.count() == 30
+    # 2,001 items in 21 blocks: no query takes more than 15 out of one.
+    assert max(r["count"] for r in left[-1].groupBy("query_id").count().collect()) <= 15 * 21
