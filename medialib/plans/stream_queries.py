@@ -32,22 +32,24 @@ def _run(writer):
 
 
 def _taste(b, event_time, now=None):
-    """Taste from three deliveries of events; each holds its events twice and all of the one before again."""
+    """Taste from three deliveries of events; each holds its events twice and all of the one before again.
+
+    A delivery is as many files as tasks wrote, learned in one batch before the next one arrives.
+    """
     events, path, since, before = b.watch_events(), _folder(b, "event-files"), 0, None
+    table, cursor = jobs.taste_table(b.spark, _folder(b, "taste")), _folder(b, "cursor")
     for until, _ in DELIVERIES:
         part = events.where((F.dayofmonth("at") >= since) & (F.dayofmonth("at") < until))
         again = part if before is None else before.unionByName(part)
-        part.unionByName(again).coalesce(1).write.mode("append").parquet(path)
+        part.unionByName(again).write.mode("append").parquet(path)
         since, before = until, part
-    table = jobs.taste_table(b.spark, _folder(b, "taste"))
-    stream = jobs.event_stream(b.spark, path, 1)
-    _run(jobs.learn_taste(stream, b.clips(), table, _folder(b, "cursor"), now, event_time, late="60 days"))
+        _run(jobs.learn_taste(jobs.event_stream(b.spark, path), b.clips(), table, cursor, now, event_time, late="60 days"))
     return jobs.learned_taste(table)
 
 
 @query
 def stream_taste(b):
-    """Taste learned from event files arriving one by one, every event delivered at least twice."""
+    """Taste learned from three deliveries of event files, every event delivered at least twice."""
     now = F.lit(AS_OF * 1000)
     return _taste(b, True, now).select("viewer_id", "library_id", "key", "likes", "dislikes", "last_seen_ms")
 

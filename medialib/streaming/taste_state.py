@@ -25,45 +25,41 @@ def fade(likes: float, dislikes: float, elapsed_ms: float) -> tuple[float, float
 class TasteProcessor(StatefulProcessor):
     """Fades the buckets a viewer had by the time since it last learned, then adds the batch's votes.
 
-    ``learned_at`` starts at the batch's ``now_ms`` and follows the newest vote. State: one map entry a bucket, so a
-    batch reads and writes the buckets it touches; fading touches all of that viewer's.
+    ``learned_at`` starts at the batch's ``now_ms`` and follows the newest vote. State: one value with all buckets of the
+    viewer, read once and written once a batch; every other call would be a round trip to the state store per bucket.
     """
 
     def __init__(self, fading: bool):
         self.fading = fading
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buckets = handle.getMapState("buckets", "key string", "likes double, dislikes double, last_seen_ms bigint")
-        self.learned = handle.getValueState("learned", "at_ms bigint")
+        self.taste = handle.getValueState("taste", (
+            "at_ms bigint, keys array<string>, likes array<double>, dislikes array<double>, last_seen_ms array<bigint>"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now, votes = 0, {}
         for some in rows:
             now = max(now, int(some["now_ms"].max()))
-            voted = some[some["key"].notna()].groupby("key").agg(
-                likes=("liked", "sum"), dislikes=("disliked", "sum"), at=("at_ms", "max"))
-            for v in voted.itertuples():
-                had = votes.get(v.Index, (0.0, 0.0, 0))
-                votes[v.Index] = (had[0] + v.likes, had[1] + v.dislikes, max(had[2], int(v.at)))
-        stamp = self.learned.get()[0] if self.learned.exists() else None
+            voted = some[some["key"].notna()]
+            for name, liked, disliked, at in zip(*(voted[c].tolist() for c in ("key", "liked", "disliked", "at_ms")), strict=True):
+                had = votes.get(name, (0.0, 0.0, 0))
+                votes[name] = (had[0] + liked, had[1] + disliked, max(had[2], int(at)))
+        stamp, buckets = None, {}
+        if self.taste.exists():
+            stamp, *columns = self.taste.get()
+            buckets = {name: tuple(bucket) for name, *bucket in zip(*columns, strict=True)}
         changed: dict[str, tuple[float, float, int] | None] = {}
         if self.fading and stamp is not None:
-            # The state is listed before it is changed: an iterator over it does not allow both.
-            for (name,), (likes, dislikes, seen) in list(self.buckets.iterator()):
+            for name, (likes, dislikes, seen) in buckets.items():
                 left = fade(likes, dislikes, now - stamp)
                 if left != (likes, dislikes):
                     changed[name] = None if left is None else (*left, seen)
         for name, (likes, dislikes, at) in votes.items():
-            had = changed[name] if name in changed else self.buckets.getValue((name,))
-            had = had or (0.0, 0.0, 0)
-            changed[name] = (had[0] + float(likes), had[1] + float(dislikes), max(int(had[2]), at))
-        for name, bucket in changed.items():
-            if bucket is None:
-                self.buckets.removeKey((name,))
-            else:
-                self.buckets.updateValue((name,), bucket)
+            had = (changed[name] if name in changed else buckets.get(name)) or (0.0, 0.0, 0)
+            changed[name] = (had[0] + likes, had[1] + dislikes, max(int(had[2]), at))
+        kept = {name: bucket for name, bucket in (buckets | changed).items() if bucket is not None}
         stamp = max([stamp if stamp is not None else now, *(at for _, _, at in votes.values())])
-        self.learned.update((stamp,))
+        self.taste.update((stamp, list(kept), *([bucket[k] for bucket in kept.values()] for k in range(3))))
         yield pd.DataFrame({
             "viewer_id": key[0], "library_id": key[1], "key": [*changed, None],
             "likes": [b[0] if b else 0.0 for b in changed.values()] + [0.0],

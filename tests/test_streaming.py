@@ -1,12 +1,14 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from medialib.session import settle
 from medialib.sources import catalog, schemas
 from medialib.streaming import jobs
+from medialib.streaming.taste_state import TasteProcessor, fade
 from medialib.streaming.upserts import Upserts
 from tests.rows import clips
 
@@ -165,3 +167,39 @@ def test_vectors_are_placed_as_they_arrive(spark, tmp_path):
         go()
     assert {r["id"]: r["person_id"] for r in table.read().collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
     assert {r["id"] for r in spark.read.parquet(f"{table.root}/batch=1").collect()} == {3, 4}
+
+
+def test_a_batch_reads_and_writes_the_state_of_a_viewer_once():
+    class Value:
+        calls, held = 0, None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, row):
+            self.calls, self.held = self.calls + 1, row
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return states.setdefault(name, Value())
+
+        def getMapState(self, *a):  # noqa: N802
+            raise AssertionError("a round trip for each bucket")
+
+    states, day = {}, 86_400_000
+    votes = lambda names, at: pd.DataFrame({"key": names, "liked": 1.0, "disliked": 0.0, "at_ms": at, "now_ms": at})
+    learner = TasteProcessor(True)
+    learner.init(Handle())
+    names = [f"k{i}" for i in range(200)]
+    list(learner.handleInputRows((1, "a"), iter([votes(names, 0), votes([*names[:100], None], 0)]), None))
+    got = next(learner.handleInputRows((1, "a"), iter([votes(["k0", "new"], 21 * day)]), None)).set_index("key")
+    assert [v.calls for v in states.values()] == [3]
+    # After three weeks one vote is too little to keep, two are not unless a half-life has gone by.
+    want = {n: fade(2.0 if i < 100 else 1.0, 0.0, 21 * day) for i, n in enumerate(names)}
+    assert got.loc["k0", "likes"] == (want["k0"] or (0.0,))[0] + 1 and got.loc["new", "likes"] == 1.0
+    kept = dict(zip(states["taste"].held[1], states["taste"].held[2], strict=True))
+    assert kept == {n: b[0] for n, b in want.items() if b} | {"k0": got.loc["k0", "likes"], "new": 1.0}
