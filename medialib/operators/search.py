@@ -17,6 +17,8 @@ RESULTS = 60
 LONGEST_KEY = 8
 #: Folders a gram index is dealt to.
 GRAM_FILES = 128
+#: Pieces of letters a task hands on at once.
+PIECES = 1 << 16
 #: Items of a library that meet its queries in one piece.
 BLOCK = 4_096
 #: Items of all libraries that make one block more when only the best of each block are kept.
@@ -261,30 +263,33 @@ def _block_pairs(asked: DataFrame, held: DataFrame) -> DataFrame:
             .mapInArrow(work, "query_id bigint, library_id string, item bigint, matched bigint, _said bigint, _found bigint"))
 
 
+def _cut(batches, sizes: tuple[int, ...]):
+    """The batches of `grams`: as many texts together as have ``PIECES`` pieces, or one with more."""
+    for b in batches:
+        keep = [n for n in b.schema.names if n != "text"]
+        found, first, held = [], 0, 0
+        for i, text in enumerate(b.column("text").to_pylist()):
+            letters = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+            packed = [np.zeros(0, np.int64)]
+            for n in sizes:
+                if len(letters) >= n:
+                    piece = letters[:len(letters) - n + 1]
+                    for k in range(1, n):
+                        piece = piece << 21 | letters[k:len(letters) - n + 1 + k]
+                    packed.append(piece)
+            found.append(np.unique(np.concatenate(packed)))
+            held += len(found[-1])
+            if held >= PIECES or i + 1 == b.num_rows:
+                at = pa.array(np.repeat(np.arange(first, i + 1), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n in keep), pa.array(np.concatenate(found))], [*keep, "gram"])
+                found, first, held = [], i + 1, 0
+
+
 def grams(texts: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     """The columns of ``texts`` but ``text``, and ``gram``: each distinct piece of so many letters, as the number its code
-    points make (21 bits each). Texts are cut whole, a batch at a time."""
+    points make (21 bits each). Texts are cut whole; a task holds the pieces of few at a time."""
     schema = ", ".join(f"{n} {t}" for n, t in texts.dtypes if n != "text") + ", gram bigint"
-
-    def work(batches):
-        for b in batches:
-            found = []
-            for text in b.column("text").to_pylist():
-                letters = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
-                packed = [np.zeros(0, np.int64)]
-                for n in sizes:
-                    if len(letters) >= n:
-                        piece = letters[:len(letters) - n + 1]
-                        for k in range(1, n):
-                            piece = piece << 21 | letters[k:len(letters) - n + 1 + k]
-                        packed.append(piece)
-                found.append(np.unique(np.concatenate(packed)))
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            keep = [n for n in b.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n in keep), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))],
-                                             [*keep, "gram"])
-
-    return texts.mapInArrow(work, schema)
+    return texts.mapInArrow(lambda batches: _cut(batches, sizes), schema)
 
 
 def haystacks(clips: DataFrame, photos: DataFrame) -> DataFrame:
@@ -314,9 +319,13 @@ def write_gram_index(postings: DataFrame, path: str) -> None:
 
 
 def reindex_grams(index: DataFrame, ids: DataFrame, hay: DataFrame) -> DataFrame:
-    """Replace the postings of the named items only; those no longer in ``hay`` go."""
-    return index.join(ids.select(*ITEM), ITEM, "left_anti").unionByName(
-        gram_postings(hay.join(ids.select(*ITEM), ITEM, "left_semi")).select(*index.columns))
+    """Replace the postings of the named items only; those no longer in ``hay`` go.
+
+    The names are written first: Spark then knows how few they are and neither shuffles nor sorts the postings for them.
+    """
+    named = settle(ids.select(*ITEM).distinct(), "renamed")
+    return index.join(named, ITEM, "left_anti").unionByName(
+        gram_postings(hay.join(named, ITEM, "left_semi")).select(*index.columns))
 
 
 def substring_candidates(queries: DataFrame, clips: DataFrame, photos: DataFrame, index: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from medialib.operators import search
@@ -169,6 +170,28 @@ def test_stored_pieces_give_the_same_hits_and_only_their_files_are_read(spark, t
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, fresh.collect()))
 
 
+def test_a_task_holds_the_pieces_of_few_texts(monkeypatch):
+    monkeypatch.setattr(search, "PIECES", 10)
+    texts = ["abcdef", None, "ab", "", "abcdefghijklmnop", "xyz", "abab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    out = list(search._cut([batch, batch.slice(0, 0)], (2, 3)))
+    # The longest text has 29 pieces; it may come after fewer than ten.
+    assert len(out) == 3 and max(b.num_rows for b in out) < 10 + 29
+    pieces = {(i, sum(ord(c) << 21 * (n - 1 - k) for k, c in enumerate(t[j:j + n])))
+              for i, t in enumerate(texts) for n in (2, 3) for j in range(len(t or "") - n + 1)}
+    rows = [r for b in out for r in zip(b.column("id").to_pylist(), b.column("gram").to_pylist(), strict=True)]
+    assert len(rows) == len(pieces) and set(rows) == pieces
+
+
+def test_reindexing_a_few_items_does_not_shuffle_the_index(spark):
+    c, p, _ = library(spark)
+    hay = search.haystacks(c, p)
+    ids = spark.createDataFrame([("a", "clip", 2), ("a", "clip", 2), ("a", "photo", None)], "library_id string, kind string, id bigint")
+    again = search.reindex_grams(search.gram_postings(hay), ids, hay)
+    assert "Exchange hashpartitioning" not in again._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, search.gram_postings(hay).collect()))
+
+
 def test_pairs_are_not_shuffled_and_equal_scoring_text_by_text(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 7)
     rnd = random.Random(5)
