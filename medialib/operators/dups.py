@@ -1,6 +1,8 @@
 """Near-duplicate clips: candidate pairs, sets, the copy to keep and why, content lookup, suppression."""
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ SAME_CONTENT, ALMOST_EXACT = 6, 3
 WINDOW = 7 * DAY
 RATIO_LOW, RATIO_HIGH = 0.75, 1.34
 CELL = ["library_id", "folder"]
-#: Pairs of linked clips up to which one task walks them.
-WALK = 20_000
+#: Pairs of linked clips up to which one task walks them; it reads them in order and holds one entry a clip.
+WALK = 1_000_000
 
 
 def _profiles(clips: DataFrame) -> DataFrame:
@@ -81,43 +83,71 @@ def duplicate_sets(clips: DataFrame, walk: int = WALK) -> DataFrame:
     In order of date (then id) every clip not yet taken takes all its untaken
     mates. Clips that no chain of mates links cannot affect each other, so linked
     clips are labelled first; those with up to ``walk`` pairs are walked as they
-    are, one small group each, and only larger ones in rounds.
+    are, many groups a task in one pass over sorted pairs, and only larger ones in rounds.
     """
     edges = settle(duplicate_pairs(clips).select(
         "library_id", "folder", "a", "b", F.col("time_a").alias("t")), "dup-pairs")
     linked = connected_components(edges.where("a <> b"), "a", "b").select("library_id", F.col("node").alias("a"), "component")
-    named = settle(edges.join(linked, ["library_id", "a"], "left").withColumn("component", F.coalesce("component", "a")), "dup-named")
+    named = settle(edges.join(linked, ["library_id", "a"], "left").withColumn("component", F.coalesce("component", "a"))
+                   .where("a IS NOT NULL AND b IS NOT NULL"), "dup-named")
     many = named.groupBy("library_id", "component").agg(F.count("*").alias("_n")).where(F.col("_n") > walk).select("library_id", "component")
-    small = named.join(many, ["library_id", "component"], "left_anti").groupBy("library_id", "component").applyInPandas(
-        _walk_sets, "library_id string, node bigint, set_id bigint")
-    large = named.join(many, ["library_id", "component"], "left_semi").drop("component")
+    small = _walked(named.join(many, ["library_id", "component"], "left_anti"))
+    large = named.join(many, ["library_id", "component"], "left_semi")
     if large.isEmpty():
         return _members(clips, small)
-    return _members(clips, settle(small, "dup-walked").unionByName(_sets_in_rounds(large)))
+    return _members(clips, settle(small, "dup-walked").unionByName(_sets_in_rounds(large, walk)))
 
 
-def _walk_sets(pairs: pd.DataFrame) -> pd.DataFrame:
-    """The walk over the pairs of linked clips: ``(library_id, node, set_id)``."""
-    owner: dict[int, int] = {}
-    for (_, a), mates in pairs.groupby(["t", "a"], sort=True)["b"]:
-        free = [b for b in mates if b not in owner]
-        if a not in owner and free:
-            owner |= dict.fromkeys(free, a) | {a: a}
-    return pd.DataFrame({"library_id": pairs["library_id"].iloc[0], "node": list(owner), "set_id": list(owner.values())})
+def _walked(pairs: DataFrame) -> DataFrame:
+    return (pairs.select("library_id", "component", "t", "a", "b").repartition("library_id", "component")
+            .sortWithinPartitions("library_id", "component", "t", "a")
+            .mapInArrow(_walk_sets, "library_id string, node bigint, set_id bigint"))
+
 
+def _walk_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The walk over pairs that come by linked clips, then by turn: ``(library_id, node, set_id)``.
 
-def _sets_in_rounds(pairs: DataFrame) -> DataFrame:
-    """The same for linked clips of any number.
+    Only the owners of one group of linked clips are held, never its pairs.
+    """
+    owner: dict[int, int] = {}
+    here = turn = None
+    free, done = False, ([], [], [])
+
+    def close():
+        for out, more in zip(done, ([here[0]] * len(owner) if here else [], owner, owner.values()), strict=True):
+            out.extend(more)
+
+    def flush():
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(done, (pa.string(), pa.int64(), pa.int64()), strict=True)],
+                                          ["library_id", "node", "set_id"])
+
+    for batch in batches:
+        for library, component, t, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if here != (library, component):
+                close()
+                owner, here, turn = {}, (library, component), None
+            if turn != (t, a):
+                turn, free = (t, a), a not in owner
+            if free and b not in owner:
+                owner[b] = owner[a] = a
+        yield flush()
+        done = ([], [], [])
+    close()
+    yield flush()
+
+
+def _sets_in_rounds(pairs: DataFrame, walk: int) -> DataFrame:
+    """The same for linked clips of any number, until ``walk`` pairs are left of all, which are walked.
 
     A clip's turn can be settled once no earlier unsettled clip could take it or
     share a mate with it, so each round settles every such clip of all libraries
-    at once; a set is never gathered in one task. Rounds follow the longest chain
-    of contested clips, not the size of the data.
+    at once; a set is never gathered in one task. Settled clips leave with all their
+    pairs, so the walk over what is left goes on where the rounds end.
     """
     rounds = Rounds(pairs.sparkSession, "dup-edges")
-    edges = rounds.settle(pairs.select("library_id", "folder", "a", "b", F.struct("t", F.col("a").alias("n")).alias("turn")))
+    edges = rounds.settle(pairs.select("library_id", "component", "a", "b", F.struct("t", F.col("a").alias("n")).alias("turn")))
     taken = None
-    while taken is None or not edges.isEmpty():
+    while taken is None or edges.count() > walk:
         # The earliest unsettled clip that could claim each target, itself included.
         selves = edges.select("library_id", "a", "turn").distinct()
         claims = edges.select("library_id", F.col("b").alias("node"), "turn").unionByName(
@@ -137,7 +167,7 @@ def _sets_in_rounds(pairs: DataFrame) -> DataFrame:
         edges = rounds.settle(
             edges.join(gone.withColumnRenamed("node", "a"), ["library_id", "a"], "left_anti")
             .join(gone.withColumnRenamed("node", "b"), ["library_id", "b"], "left_anti"))
-    return taken
+    return taken.unionByName(_walked(edges.withColumn("t", F.col("turn.t"))))
 
 
 def keepers(members: DataFrame) -> DataFrame:

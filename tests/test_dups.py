@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,45 @@ def test_duplicate_sets_equal_the_walk(spark, pairs):
     assert got == walk(rows)
 
 
+def test_many_linked_clips_are_walked_in_one_pass_over_their_pairs(spark, monkeypatch):
+    def rounds(pairs, walk):
+        raise AssertionError("walked in rounds")
+    monkeypatch.setattr(dups, "_sets_in_rounds", rounds)
+    # Two groups of 200 clips that are mates of each other: 39,800 pairs each, more than one task grouped before.
+    rows = [dict(id=i, library_id="ab"[i % 2], phash=77, date_added_sec=1_700_000_000 + i) for i in range(400)]
+    got = {r["id"]: r["set_id"] for r in dups.duplicate_sets(clips(spark, rows)).collect()}
+    assert got == {i: i % 2 for i in range(400)}
+
+
+def test_rounds_end_where_what_is_left_can_be_walked(spark, monkeypatch):
+    rounds = []
+    kept = dups.settle
+    monkeypatch.setattr(dups, "settle", lambda df, label="step": rounds.append(label) or kept(df, label))
+    # A chain of 24 clips settles two a round; a pair of mates each way and none of copies.
+    rows = [dict(id=i, phash=77, date_added_sec=1_000_000_000 + i * 5 * 86_400) for i in range(24)]
+    got = {r["id"]: r["set_id"] for r in dups.duplicate_sets(clips(spark, rows), 40).collect()}
+    assert got == {i: i - i % 2 for i in range(24)} and rounds.count("dup-round") == 2
+
+
+def test_the_walk_over_batches_equals_the_walk_over_groups():
+    rnd = random.Random(11)
+    rows, want = [], set()
+    for group in range(40):
+        pairs = sorted({(rnd.randrange(3), rnd.randrange(9), rnd.randrange(9)) for _ in range(rnd.randrange(1, 30))})
+        owner = {}
+        for turn in sorted({p[:2] for p in pairs}):
+            mates = [b for t, a, b in pairs if (t, a) == turn and b not in owner]
+            if turn[1] not in owner and mates:
+                owner |= dict.fromkeys(mates, turn[1]) | {turn[1]: turn[1]}
+        rows += [("ab"[group % 2], group, *p) for p in pairs]
+        want |= {("ab"[group % 2], group, *o) for o in owner.items()}
+    # Nodes are told apart by their group.
+    rows = [(lib, g, t, 100 * g + a, 100 * g + b) for lib, g, t, a, b in rows]
+    table = pa.Table.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["library_id", "component", "t", "a", "b"])
+    out = [r for b in dups._walk_sets(iter(table.to_batches(max_chunksize=7))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(out) == len(want) and set(out) == {(lib, 100 * g + n, 100 * g + s) for lib, g, n, s in want}
+
+
 def test_a_long_chain_of_contested_clips_takes_no_rounds(spark, monkeypatch):
     def rounds(pairs):
         raise AssertionError("walked in rounds")
